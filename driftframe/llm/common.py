@@ -71,11 +71,11 @@ def powers(n: int) -> np.ndarray:
 class Words:
     """The words of some texts: hash, text index, first byte and length of each, in order."""
 
-    __slots__ = ("hash", "text", "start", "size", "first", "raw", "bounds")
+    __slots__ = ("hash", "text", "start", "size", "first", "raw", "bounds", "table")
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, table: np.ndarray = WORDS):
         """raw: the texts' bytes on end; bounds: n + 1 offsets into them, from 0."""
-        self.raw, self.bounds = raw, bounds
+        self.raw, self.bounds, self.table = raw, bounds, table
         value = table[raw]
         inside = value != 0
         begins = inside.copy()
@@ -100,6 +100,17 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
         self.text = np.repeat(np.arange(len(bounds) - 1), np.diff(self.first))
 
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hash of the first k bytes of each word, 0 for words that aren't longer."""
+        long = self.size > k
+        at = self.start[long]
+        total = np.zeros(len(at), np.uint64)
+        for i in range(k):
+            total += self.table[self.raw[at + i]] * powers(k)[i]
+        out = np.zeros(len(self.start), np.uint64)
+        out[long] = mix(total + np.uint64(0xE7037ED1A0B428DB * k & MASK64))
+        return out
+
     def windows(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each run of k words within one text."""
         h = self.hash if hashes is None else hashes
