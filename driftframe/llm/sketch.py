@@ -29,11 +29,11 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return c.mix(hashes + np.uint64(0x632BE59BD9B4E019 * (row + 1) & c.MASK64)) >> np.uint64(64 - bits)
 
 
-def partition_rows(hashes: np.ndarray, bits: int):
+def partition_rows(hashes: np.ndarray, bits: int, depth: int = DEPTH):
     """A partition's part of the sketch as a record batch; hashes has one entry for each occurrence."""
     per_row = 1 << bits - SLICE_BITS
     out: tuple[list, list, list] = ([], [], [])
-    for row in range(DEPTH):
+    for row in range(depth):
         cell = np.sort(cells(hashes, row, bits))
         first = np.ones(len(cell), bool)
         first[1:] = cell[1:] != cell[:-1]
@@ -68,31 +68,31 @@ def merged(parts: DataFrame) -> DataFrame:
 class Repeated:
     """The merged sketch: which hashes are estimated to occur twice or more.  Never a repeated one missed."""
 
-    def __init__(self, bits: int, blob: bytes):
-        self.bits, self.blob = bits, blob
+    def __init__(self, bits: int, blob: bytes, depth: int = DEPTH):
+        self.bits, self.blob, self.depth = bits, blob, depth
         self._array: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.bits, self.blob
+        return self.bits, self.blob, self.depth
 
     def __setstate__(self, state):
-        self.bits, self.blob = state
+        self.bits, self.blob, self.depth = state
         self._array = None
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         if self._array is None:
-            self._array = np.frombuffer(self.blob, np.uint8).reshape(DEPTH, -1)
+            self._array = np.frombuffer(self.blob, np.uint8).reshape(self.depth, -1)
         out = np.ones(len(hashes), bool)
-        for row in range(DEPTH):
+        for row in range(self.depth):
             cell = cells(hashes, row, self.bits)
             out &= (self._array[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def collect(parts: DataFrame, bits: int) -> Repeated:
-    """The merged sketch on the driver, to be broadcast: DEPTH x 2^bits / 8 bytes, 128 MB at most."""
+def collect(parts: DataFrame, bits: int, depth: int = DEPTH) -> Repeated:
+    """The merged sketch on the driver, to be broadcast: depth x 2^bits / 8 bytes, 128 MB at most."""
     size = 1 << SLICE_BITS - 3
-    blob = bytearray(DEPTH << bits - 3)
+    blob = bytearray(depth << bits - 3)
     for row in merged(parts).toLocalIterator(prefetchPartitions=True):
         blob[row[0] * size : (row[0] + 1) * size] = row[1]
-    return Repeated(bits, bytes(blob))
+    return Repeated(bits, bytes(blob), depth)
