@@ -4,7 +4,7 @@ Encoding reads a text in blocks of any size and holds a bounded state:
 
 * The pre-tokeniser cuts the text into pieces.  A piece is final once two later pieces are known, so the
   last two pieces of a block wait for the next block.
-* Short pieces are merged at once and remembered in a bounded cache.
+* Short pieces are merged at once (new ones of a batch of texts together) and remembered in a bounded cache.
 * A piece that grows past ``LONG`` characters goes through :class:`MergeTransducer` byte by byte.  It
   keeps, for every prefix, the last token of that prefix's encoding.  A token that ends at or before the
   common ancestor of all states within the merge list's sufficient lookahead can't change any more and
@@ -21,21 +21,24 @@ import json
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
+from .merges import BatchMerger
 
 #: White space as the pre-tokeniser's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the byte-level vocabulary's published pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^%s\p{L}\p{N}]+|[%s]+(?![^%s])|[%s]+" % ((SPACE,) * 4)
 #: The same cuts, but for those within a run of other characters than white space.
+PIECE = regex.compile(PATTERN)
 COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Characters fed at once; pieces longer than LONG characters are merged by the transducer.
 BLOCK, LONG = 1 << 16, 512
-#: Entries of a worker's cache; on overflow it starts anew.
+#: Entries of a worker's cache.
 CACHE = 300_000
 
 
@@ -71,6 +74,13 @@ class Vocabulary:
         self._merged: dict[bytes, list[int]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._suffixes: dict | None = None
+        self._batch: BatchMerger | None = None
+        self.unknown = 0  # chunks that found no room in the cache
+
+    def batch(self) -> BatchMerger:
+        if self._batch is None:
+            self._batch = BatchMerger([(*pair, new) for pair, (_, new) in sorted(self.merges.items(), key=lambda x: x[1][0])])
+        return self._batch
 
     def sufficient_lookahead(self) -> int:
         """Bytes past a prefix after which the merges decide where its last token ends.
@@ -199,10 +209,12 @@ class Encoder:
 
     ``runs`` and ``last`` are the same with each run of ids as a pair (ids, the ids in decimals)."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: dict | None = None):
+    def __init__(self, vocabulary: Vocabulary, cache: dict | None = None, fresh: dict | None = None):
+        """cache, fresh: known runs of chunks."""
         self.v = vocabulary
         self.cache = {} if cache is None else cache
-        self.pattern = regex.compile(PATTERN)
+        self.fresh = {} if fresh is None else fresh
+        self.pattern = PIECE
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.held = ""
         self.open: tuple | None = None  # (continuation pattern, transducer) of a long piece
@@ -223,18 +235,8 @@ class Encoder:
         return self._run(ids)
 
     def _chunks(self, chunks: list[str]) -> list[tuple]:
-        cache = self.cache
-        out = []
-        for x in chunks:
-            run = cache.get(x)
-            if run is None:
-                run = self._chunk(x)
-                if len(x) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[x] = run
-            out.append(run)
-        return out
+        of, also = self.cache.get, self.fresh.get
+        return [of(x) or also(x) or self._chunk(x) for x in chunks]
 
     def _plain(self, text: str) -> list[tuple]:
         """Runs of a text without special strings, as a whole."""
@@ -337,12 +339,41 @@ def worker(path: str) -> tuple[Vocabulary, dict]:
     return _worker[path]
 
 
-def digests(text: str, v: Vocabulary, cache: dict) -> tuple[int, str, str]:
-    """Number of ids, sha256 of the ids in decimals, sha256 of the text decoded from them; constant memory besides the text."""
-    encoder, decoder = Encoder(v, cache), Decoder(v)
+def fresh_runs(v: Vocabulary, cache: dict, chunks: list[list[str]]) -> dict:
+    """Runs of the short chunks that the cache doesn't have, their pieces merged together; the cache takes them while it has room."""
+    missing = [x for x in {x for row in chunks for x in row if x not in cache} if len(x) <= 64]
+    pieces = [[p.encode() for p in PIECE.findall(x)] for x in missing]
+    unique = list({p for row in pieces for p in row})
+    if not unique:
+        return {}
+    ids = np.array(v.single, np.int32)[np.frombuffer(b"".join(unique), np.uint8)]
+    merged = dict(zip(unique, v.batch().merge(ids, np.array([len(p) for p in unique])), strict=True))
+    out = {}
+    for x, row in zip(missing, pieces, strict=True):
+        run = tuple(memoryview(b"".join([merged[p] for p in row])).cast("i"))
+        out[x] = run, ",".join(map(str, run))
+    if len(cache) + len(out) <= CACHE:
+        cache.update(out)
+    else:
+        v.unknown += len(out)
+        if v.unknown > 50 * CACHE:  # the texts have moved on: remember anew
+            cache.clear()
+            v.unknown = 0
+    return out
+
+
+def digests(text: str, v: Vocabulary, cache: dict, fresh: dict | None = None, chunks: list[str] | None = None) -> tuple[int, str, str]:
+    """Number of ids, sha256 of the ids in decimals, sha256 of the text decoded from them; constant memory besides the text.
+
+    chunks: the coarse cuts of a text without special strings, where they are known."""
+    encoder, decoder = Encoder(v, cache, fresh), Decoder(v)
     of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-    blocks = (encoder.runs(text[i : i + BLOCK]) for i in range(0, len(text), BLOCK)) if len(text) > BLOCK else (encoder._whole(text),)
-    for runs in chain(blocks, (encoder.last(),)):
+    if chunks is not None:
+        blocks = (encoder._chunks(chunks),)
+    else:
+        blocks = chain((encoder.runs(text[i : i + BLOCK]) for i in range(0, len(text), BLOCK)), (None,))
+    for runs in blocks:
+        runs = encoder.last() if runs is None else runs
         ids = list(chain.from_iterable([run[0] for run in runs]))
         if ids:
             of_ids.update((("," if n else "") + ",".join([run[1] for run in runs if run[0]])).encode())
@@ -352,6 +383,14 @@ def digests(text: str, v: Vocabulary, cache: dict) -> tuple[int, str, str]:
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
+def digest_rows(texts: list[str], v: Vocabulary, cache: dict) -> list[tuple[int, str, str]]:
+    """digests() of some texts; short ones are cut together, so that their new words are merged together."""
+    special = re.compile("|".join(map(re.escape, v.special))) if v.special else None
+    chunks = [COARSE.findall(t) if len(t) <= BLOCK and not (special and special.search(t)) else None for t in texts]
+    fresh = fresh_runs(v, cache, [x for x in chunks if x])
+    return [digests(t, v, cache, fresh, x) for t, x in zip(texts, chunks, strict=True)]
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; one row for each row of docs."""
     c.small_batches(docs.sparkSession)
@@ -359,7 +398,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v, cache = worker(path)
         for batch in batches:
-            rows = [digests(text or "", v, cache) for text in batch.column(1).to_pylist()]
+            rows = digest_rows([text or "" for text in batch.column(1).to_pylist()], v, cache)
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

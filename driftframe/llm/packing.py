@@ -15,9 +15,9 @@ columns are ignored, an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +26,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from .bpe import byte_letters
+from .merges import BatchMerger
 
 WINDOW, END = 2048, 1
 #: Items of an index shard, and ids of a partition of items.
 SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
 #: BM25's usual constants; ids of a query; neighbours asked for.
 K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
+#: Ids of a run whose smallest hash places an item.
+RUN = 8
 CACHE = 300_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Words between ASCII white space: the tokeniser's cuts never cross it.
-CUT = re.compile(r"[^ \t\n\r]+")
+#: Words between white space, which the tokeniser's cuts never cross; str.split() also cuts at 0x1c-0x1f.
+CUT = re.compile("[^ \t\n\r]+")
 
 _worker: dict[str, tuple] = {}
 
 
+#: Words of plain letters, whose lower case and composed form are those of their letters one by one.
+#: A line: such a word and the stops after it, or any other.
+PLAIN = re.compile("^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,48})([.,]*)|([^\n]+))$", re.MULTILINE)
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, with a bounded memory of words.
 
-    The normaliser and the pre-tokeniser of the file treat white space as a cut, so a text's ids are the
-    ids of its words on end."""
+    The normaliser and the pre-tokeniser of the file treat white space as a cut, so a text's ids are the ids
+    of its words on end.  New words of plain letters are merged together (their merges are the file's); all
+    others go to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,25 +65,68 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
+        self.merger = BatchMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        letters = {b: ch for ch, b in byte_letters().items()}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
+        self.kind = "<u2" if len(vocab) < 1 << 16 and max(vocab.values()) < 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        self.unknown = 0  # words that found no room in the memory
+
+    def library(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[w] = np.array(e.ids, self.kind).tobytes()
+        return out
+
+    def letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters in lower case."""
+        if not words:
+            return {}
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(x) for x in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.inner[data]
+        last = np.cumsum(sizes) - 1
+        ids[last] = self.last[data[last]]
+        return dict(zip(words, self.merger.merge(ids, sizes, self.kind), strict=True))
+
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        plain, cores, ends, others = [], [], [], []
+        for w, (core, end, _) in zip(words, PLAIN.findall("\n".join(words)), strict=True):
+            if core:
+                plain.append(w)
+                cores.append(core)
+                ends.append(end)
+            else:
+                others.append(w)
+        cores = "\n".join(cores).lower().split("\n") if cores else []
+        of = self.letters(list(dict.fromkeys(cores)))
+        end_of = {"": b""} | self.library([x for x in dict.fromkeys(ends) if x])
+        out = self.library(others)
+        out.update(zip(plain, [of[core] + end_of[end] for core, end in zip(cores, ends, strict=True)], strict=True))
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        words = [CUT.findall(text) for text in texts]
-        missing = {w for row in words for w in row if w not in known}
-        spare: dict[str, tuple[int, ...]] = {}
-        if missing:
-            if len(known) + len(missing) > CACHE:
+        words = [CUT.findall(t) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
+        found = [list(map(known.get, row)) for row in words]
+        missing = {w for row, got in zip(words, found, strict=True) for w, ids in zip(row, got, strict=True) if ids is None}
+        new = self.encode_words(missing) if missing else {}
+        if len(known) + len(new) <= CACHE:
+            known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
+        else:
+            self.unknown += len(new)
+            if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
                 known.clear()
-                missing = {w for row in words for w in row}
-            missing = list(missing)
-            for i in range(0, len(missing), 20_000):
-                part = missing[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (known if len(w) <= 64 else spare)[w] = tuple(e.ids)
-        if spare:
-            return [list(chain.from_iterable([spare[w] if len(w) > 64 else known[w] for w in row])) for row in words]
-        return [list(chain.from_iterable([known[w] for w in row])) for row in words]
+                self.unknown = 0
+        return [np.frombuffer(b"".join([new[w] if ids is None else ids for w, ids in zip(row, got, strict=True)]), self.kind) for row, got in zip(words, found, strict=True)]
 
 
 def worker(path: str) -> WordTokenizer:
@@ -86,10 +139,28 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def place_of(ids: np.ndarray) -> int:
-    """The smallest hash of the runs of 8 ids (of all of them, if fewer)."""
-    k = min(8, len(ids))
-    return int(c.roll(c.mix(ids.astype(np.uint64)), k).min().view(np.int64))
+def places_of(rows: list[np.ndarray]) -> list[int]:
+    """For each row of ids the smallest hash of its runs of 8 ids (of its last ids, if it has fewer)."""
+    if not rows:
+        return []
+    sizes = np.array([len(x) for x in rows])
+    hashes = c.mix(np.concatenate(rows).astype(np.uint64))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(len(rows), np.uint64)
+    long = np.flatnonzero(sizes >= RUN)
+    if len(long):
+        rolled = c.roll(hashes, RUN)
+        # runs that begin in a row and end in it
+        ends = np.zeros(len(rolled) + 2, np.int64)
+        np.add.at(ends, starts[long], 1)
+        np.add.at(ends, starts[long] + sizes[long] - RUN + 1, -1)
+        inside = np.cumsum(ends)[: len(rolled)] > 0
+        masked = np.where(inside, rolled, np.uint64(c.MASK64))
+        edges = np.stack([starts[long], starts[long] + sizes[long] - RUN + 1], axis=1).ravel()
+        out[long] = np.minimum.reduceat(np.append(masked, np.uint64(c.MASK64)), edges)[::2]
+    for i in np.flatnonzero(sizes < RUN):
+        out[i] = c.roll(hashes[starts[i] : starts[i] + sizes[i]], int(sizes[i]))[0]
+    return out.view(np.int64).tolist()
 
 
 def items(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -99,17 +170,18 @@ def items(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches):
         tokenizer = worker(path)
         for batch in batches:
+            texts = tokenizer.ids([t or "" for t in batch.column(1).to_pylist()])
+            texts = [np.append(ids, np.array([END], ids.dtype)) for ids in texts]
+            placed = places_of([ids[len(ids) - len(ids) % window :] if len(ids) % window else ids[-window:] for ids in texts])
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids.append(END)
-                array = np.array(ids, dtype=np.uint32)
-                n = len(array)
+            for doc_id, ids, place in zip(batch.column(0).to_pylist(), texts, placed, strict=True):
+                n = len(ids)
                 tail = n - n % window
-                place = place_of(array[tail:] if tail < n else array[-window:])
-                rows += [(0, doc_id, i, window, crc(array[i : i + window]), n, place, None) for i in range(0, tail, window)]
+                rows += [(0, doc_id, i, window, crc(ids[i : i + window]), n, place, None) for i in range(0, tail, window)]
                 if tail < n:
-                    rows.append((1, doc_id, tail, n - tail, None, n, place, array[tail:].astype("<u4").tobytes() if array.max() >> 16 else array[tail:].astype("<u2").tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("kind", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "place", "ids"), row, strict=True)) for row in rows], schema=SCHEMA)
+                    rows.append((1, doc_id, tail, n - tail, None, n, place, ids[tail:].tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * len(SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ITEMS)
 
@@ -216,7 +288,7 @@ def pack(rows: DataFrame, window: int = WINDOW, shard_items: int = SHARD_ITEMS)
                     sequence += 1
                     full.append((doc_id, first, length, code, total, sequence, 0))
                 else:
-                    pool.append((doc_id, first, total, np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4")))
+                    pool.append((doc_id, first, total, np.frombuffer(ids, f"<u{len(ids) // length}")))
             if full:
                 yield table(full)
             while len(pool) >= shard_items:
