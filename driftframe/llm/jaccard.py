@@ -2,14 +2,17 @@
 
 1. Shared shingles.  A count-min row over all shingles says which occur in two documents or more (never missing
    one).  A document with a partner shares at least 75 % of its set; the others are alone and done.
-2. Classes.  Documents with equal sets are one class, represented by one text.
-3. Candidates.  Two sets with the similarity share one of the first n - ceil(0.75 n) + 1 hashes of each.  Blocks
-   of those come together by hash; neighbours by size within the bound are joined, and the components of these
-   candidate links are places where all links lie.
+2. Classes.  Documents with equal sets are one class, represented by one text.  A second row counts the classes
+   of each shingle: classes that share less than 75 % with other classes are done as well.
+3. Candidates.  Shingles are put in one order, those of the fewest classes first.  Two sets with the similarity
+   share one of the first n - ceil(0.75 n) + 1 of each, so passages that many texts share seldom bring others
+   together.  Blocks of those hashes come together by hash; neighbours by size within the bound are joined, and
+   the components of these candidate links are the places where all links lie.
 4. T-occurrence search within a place.  In ascending size, each set is looked up in inverted lists of the
    groups found so far: the short lists are merged on a heap that skips (MergeSkip), the long ones are probed by
    binary search (DivideSkip).  A group that reaches the overlap a link needs is checked against its members,
-   until one is exactly similar.  A place too large for a task is cut into blocks and searched in pairs of them.
+   until one is exactly similar.  A place too large for a task is first compared with one of its sets, the
+   pivot; the sets linked to it are one component, so only pairs of blocks with the other sets are searched.
 5. The components of the links give each document the smallest doc_id of its component.
 
 Words are separated by 0x20 and 0x09-0x0D, A-Z folded.  With fewer than five words the whole sequence is one
@@ -34,8 +37,8 @@ from . import graph, sketch
 SHINGLE = 5
 #: Similarity as a ratio of integers.
 NEED, OF = 75, 100
-#: Bytes of text to a task of the search, documents to a block of a large place, prefix hashes to a bucket.
-TASK_BYTES, BLOCK_BYTES, BUCKET_HASHES, HELD = 6_000_000, 3_000_000, 1_500_000, 3_000_000
+#: Bytes of text to a task of the search; bytes and sets to a block of a large place; prefix hashes to a bucket.
+TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 1_500_000, 3_000_000
 #: DivideSkip's constant for the number of long lists.
 MU = 0.0085
 
@@ -110,8 +113,25 @@ def measured(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, BASE)
 
 
-def prefix_blocks(classes: DataFrame, parts: int) -> DataFrame:
-    """Blocks of (hash, node, set size) of the sets' prefixes, by hash."""
+def count_parts(classes: DataFrame, bits: int) -> DataFrame:
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for _, _, _, h in sets_of(batch.column(0)):
+                held.append(h)
+                n += len(h)
+            if n >= HELD:
+                yield sketch.count_rows(np.concatenate(held), bits)
+                held, n = [], 0
+        if held:
+            yield sketch.count_rows(np.concatenate(held), bits)
+
+    return classes.select("text").mapInArrow(run, sketch.PARTS)
+
+
+def prefix_blocks(classes: DataFrame, counts, parts: int) -> DataFrame:
+    """Blocks of (hash, node, set size) of the prefixes of the sets that share enough with other classes, by hash."""
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def send(held):
         h, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -124,7 +144,11 @@ def prefix_blocks(classes: DataFrame, parts: int) -> DataFrame:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for first, rows, edges, h in sets_of(batch.column(1)):
                 size = np.diff(edges)
-                length = np.where(size > 0, size - -(-NEED * size // OF) + 1, 0)
+                count = shared.value(h)
+                known = np.concatenate([[0], np.cumsum(count > 1)])
+                enough = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
+                length = np.where(enough, size - -(-NEED * size // OF) + 1, 0)
+                h = h[np.lexsort((h, count, np.repeat(np.arange(rows), size)))]
                 place = np.arange(len(h)) - np.repeat(edges[:-1], size)
                 pick = place < np.repeat(length, size)
                 held.append((h[pick], np.repeat(nodes[first : first + rows], size)[pick], np.repeat(size, size)[pick]))
@@ -277,20 +301,59 @@ def search(placed: DataFrame) -> DataFrame:
     return placed.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def placed(classes: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of the search: small places share tasks; a large one is cut into blocks, and each pair of blocks is a task."""
+def pivot_links(rows: DataFrame) -> DataFrame:
+    """Rows (place, node, text, pivot, pivot_text) with linked: whether the set is similar to its place's pivot."""
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def is_similar(text, pivot):
+        known: dict[str, np.ndarray] = {}
+        out = []
+        for _, n, edges, h in sets_of(pa.array(text, pa.string(), from_pandas=True)):
+            for i in range(n):
+                other = pivot.iloc[len(out)]
+                if other not in known:
+                    known.clear()
+                    known[other] = next(h for _, _, _, h in sets_of(pa.array([other], pa.string())))
+                out.append(similar(h[edges[i] : edges[i + 1]], known[other]))
+        return pd.Series(out, dtype=bool)
+
+    return rows.withColumn("linked", is_similar("text", "pivot_text"))
+
+
+def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the search, and the links to pivots.
+
+    Small places share tasks.  In a large one, blocks of sets that aren't linked to the pivot meet each block."""
     rows = classes.join(places, "node").select("node", "text", F.col("component").alias("place"))
-    sizes = rows.groupBy("place").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("n"))
+    sizes = rows.groupBy("place").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("n"), F.min("node").alias("pivot"))
+    sizes = sizes.withColumn("large", (F.col("bytes") > BLOCK_BYTES) | (F.col("n") > BLOCK_SETS)).withColumnRenamed("place", "p")
+    rows = c.written(rows.join(sizes, F.col("place") == F.col("p")).drop("p"), "jaccard-places")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     tasks = max(1, -(-total // TASK_BYTES))
-    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("n") / 4000))).cast("int")
-    rows = rows.join(sizes.select(F.col("place").alias("p"), blocks.alias("blocks")), F.col("place") == F.col("p")).drop("p")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != block)))
-    rows = rows.withColumn("other", other)
-    low, high = F.least(block, "other"), F.greatest(block, "other")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("place"), F.lit(tasks))).otherwise(F.xxhash64("place", low, high))
-    return rows.select(task.alias("task"), "place", "node", "text")
+    small = rows.where(~F.col("large")).select(F.pmod(F.xxhash64("place"), F.lit(tasks)).alias("task"), "place", "node", "text")
+    large = rows.where("large")
+    pivots = large.where("node = pivot").select(F.col("place").alias("p"), F.col("text").alias("pivot_text"))
+    large = pivot_links(large.join(pivots, F.col("place") == F.col("p")).drop("p")).drop("pivot_text")
+    large = c.written(large, "jaccard-large")
+    found = large.where("linked AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.length("text")) / BLOCK_BYTES, F.count("*") / BLOCK_SETS))).cast("int")
+    counts = large.groupBy("place").agg(
+        F.sum(F.when(F.col("linked"), 1).otherwise(0)).alias("n_linked"),
+        F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("n_others"),
+        blocks.alias("blocks"),
+    )
+    share = F.col("blocks") / (F.col("n_linked") + F.col("n_others"))
+    counts = counts.select(F.col("place").alias("p"), F.ceil(F.col("n_linked") * share).cast("int").alias("b_linked"), F.ceil(F.col("n_others") * share).cast("int").alias("b_others")).where("b_others > 0")
+    large = large.join(counts, F.col("place") == F.col("p"))
+    block = F.when(F.col("linked"), F.pmod(F.xxhash64("node"), F.col("b_linked"))).otherwise(F.col("b_linked") + F.pmod(F.xxhash64("node"), F.col("b_others"))).cast("int")
+    large = large.withColumn("block", block)
+    first = F.when(F.col("linked"), F.col("b_linked")).otherwise(F.lit(0))
+    met = F.sequence(first, F.col("b_linked") + F.col("b_others") - 1)
+    met = F.when(F.col("b_linked") + F.col("b_others") == 1, met).otherwise(F.filter(met, lambda x: x != F.col("block")))
+    large = large.withColumn("other", F.explode(met))
+    task = F.xxhash64("place", F.least("block", "other"), F.greatest("block", "other"))
+    return small.unionByName(large.select(task.alias("task"), "place", "node", "text")), found
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -306,8 +369,11 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = c.written(classes.select(F.xxhash64("d1", "d2").alias("node"), "d1", "d2", "least", "text"), "jaccard-classes")
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(c.parallelism(spark), -(-chars // 24 // BUCKET_HASHES))
-    places = graph.components(candidate_links(prefix_blocks(classes, parts)))
-    found = graph.components(search(placed(classes, places)))
+    bits = min(sketch.MAX_COUNT_BITS, sketch.width_bits(chars // 12))
+    counts = sketch.collect_counts(count_parts(classes, bits), bits)
+    places = graph.components(candidate_links(prefix_blocks(classes, counts, parts)))
+    rows, found = placed(classes, places)
+    found = graph.components(search(rows).unionByName(found))
     members = classes.select("node", "d1", "d2", "least").join(found, "node")
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     members = members.join(least, "component").select("d1", "d2", "component_id")

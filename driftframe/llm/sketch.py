@@ -17,6 +17,8 @@ DEPTH = 2
 SLICE_BITS = 16
 #: log2 of the widest row: 2 rows x 2^29 cells are 128 MB, whatever the corpus.
 MIN_BITS, MAX_BITS = 18, 29
+#: The same for a row of counts of a byte: 64 MB.
+MAX_COUNT_BITS = 26
 PARTS = "slice int, once binary, twice binary"
 
 
@@ -65,6 +67,44 @@ def merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("slice").applyInArrow(add, "slice int, bits binary")
 
 
+def count_rows(hashes: np.ndarray, bits: int):
+    """A partition's part of one row of counts: cells of each slice and their counts, up to 255."""
+    cell, count = np.unique(cells(hashes, 0, bits), return_counts=True)
+    low = (cell & np.uint64(0xFFFF)).astype("<u2")
+    slices = (cell >> np.uint64(SLICE_BITS)).astype(np.int64)
+    edges = np.searchsorted(slices, np.arange((1 << bits - SLICE_BITS) + 1))
+    some = np.flatnonzero(np.diff(edges))
+    count = np.minimum(count, 255).astype(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()), pa.array([count[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary())], ["slice", "once", "twice"])
+
+
+class Counts:
+    """One merged row of counts up to 255, a byte a cell; never below the true count (or 255)."""
+
+    def __init__(self, bits: int, blob: bytes):
+        self.bits, self.blob = bits, blob
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.blob, np.uint8)[cells(hashes, 0, self.bits)]
+
+
+def collect_counts(parts: DataFrame, bits: int) -> Counts:
+    """The merged counts on the driver, to be broadcast: 2^bits bytes."""
+    size = 1 << SLICE_BITS
+
+    def add(key, table):
+        total = np.zeros(size, np.uint8)
+        for cell, count in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
+            at, n = np.frombuffer(cell, "<u2"), np.frombuffer(count, np.uint8)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 255)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    blob = bytearray(1 << bits)
+    for row in parts.groupBy("slice").applyInArrow(add, "slice int, bits binary").toLocalIterator(prefetchPartitions=True):
+        blob[row[0] * size : (row[0] + 1) * size] = row[1]
+    return Counts(bits, bytes(blob))
+
+
 class Repeated:
     """The merged sketch: which hashes are estimated to occur twice or more.  Never a repeated one missed."""
 
