@@ -36,7 +36,8 @@ SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
 K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
 #: Ids of a run whose smallest hash places an item.
 RUN = 8
-CACHE = 300_000
+#: Words that a worker remembers (about 200 MB).
+CACHE = 1_000_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
