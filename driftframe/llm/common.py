@@ -20,7 +20,7 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Texts of one Arrow batch, so that long documents stay within an executor's memory.
 ROWS_PER_BATCH = 256
 #: Bytes of text hashed at once (one longer document is taken alone).
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 18
 MASK64 = (1 << 64) - 1
 NULL_ID = (1 << 63) - 1
 
