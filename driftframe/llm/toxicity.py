@@ -1,7 +1,7 @@
 """A toxicity classifier with counterfactual regularisation.
 
 Features are the distinct terms of a text (runs of letters and digits, A-Z folded) and their prefixes of four
-to seven bytes, as hashes.  A logistic regression with an L1 penalty is fitted by proximal gradient steps on a
+to seven bytes, hashed into 2^22 cells.  A logistic regression with an L1 penalty is fitted by proximal gradient steps on a
 bounded, documented sample of labelled rows.  In each labelled text that mentions a group, the identity terms
 are swapped for those of another group of the same kind, and the squared change of the score (its log odds)
 is penalised: a mention as such must not move a score, so neutral mentions aren't taken for attacks.
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Labelled rows learned from, at most: those with the smallest hash of doc_id.
-SAMPLE = 15_000
+SAMPLE = 12_000
 #: Features kept, at most; documents of the sample that must have a feature;
 #: and the deviations by which the labels of those documents differ from the rest, at least.
 FEATURES, MIN_DOCUMENTS, LIFT = 200_000, 3, 4.0
 PREFIXES = (4, 5, 6, 7)
+#: log2 of the cells that features are hashed into.
+CELL_BITS = 22
 #: L1 and counterfactual penalties, gradient steps, and the score from which a text counts as toxic.
 L1, COUNTERFACTUAL, STEPS, THRESHOLD = 2e-4, 1.0, (200, 600), 0.7
 
@@ -51,12 +53,9 @@ def features(words: c.Words) -> tuple[np.ndarray, np.ndarray]:
         keep = h != 0
         hashes.append(h[keep])
         texts.append(words.text[keep])
-    h, t = np.concatenate(hashes), np.concatenate(texts)
-    order = np.lexsort((h, t))
-    h, t = h[order], t[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    return t[new], h[new]
+    cell = (np.concatenate(hashes) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    pairs = np.unique(np.concatenate(texts) << CELL_BITS | cell)
+    return pairs >> CELL_BITS, pairs & (1 << CELL_BITS) - 1
 
 
 def term_features(term: str) -> np.ndarray:
@@ -70,7 +69,7 @@ def swaps(terms: set[int], table: dict[int, list[tuple[np.ndarray, np.ndarray]]]
 
 
 def swap_table() -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """Term's hash -> (its features, those of the term it is swapped for)."""
+    """Term's cell -> (its features, those of the term it is swapped for)."""
     out: dict[int, list] = {}
     for kind in IDENTITY:
         for i, group in enumerate(kind):
@@ -78,13 +77,13 @@ def swap_table() -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
                 for other in kind[:i] + kind[i + 1 :]:
                     if j < len(other):
                         raw = term.encode()
-                        key = int(c.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), c.TERMS).hash[0])
+                        key = int(c.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), c.TERMS).hash[0] >> np.uint64(64 - CELL_BITS))
                         out.setdefault(key, []).append((term_features(term), term_features(other[j])))
     return out
 
 
 class Model:
-    """Sorted feature hashes, their weights and the bias."""
+    """Sorted features, their weights and the bias."""
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
         self.hashes, self.weights, self.bias = hashes, weights, bias
@@ -99,35 +98,39 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: tuple[int, int] = STEPS) -> Model:
-    """rows: distinct feature hashes of each labelled text.
+    """rows: distinct features of each labelled text.
 
     The first steps choose the features under the L1 penalty; the others fit those alone, under a quarter of it."""
     n = len(rows)
     if not n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    text = np.repeat(np.arange(n), [len(x) for x in rows])
-    hashes = np.concatenate(rows)
-    vocabulary, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    positive = np.bincount(column, labels[text], len(vocabulary))
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    cells = 1 << CELL_BITS
     rate = labels.mean()
+    count, positive = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for row, label in zip(rows, labels, strict=True):  # a row's features are distinct
+        count[row] += 1
+        if label:
+            positive[row] += 1
     # the features whose documents differ most from the rest
-    lift = np.abs(positive - count * rate) / np.sqrt(count * max(rate * (1 - rate), 1e-9))
+    lift = np.abs(positive - count * rate) / np.sqrt(np.maximum(count, 1) * max(rate * (1 - rate), 1e-9))
     lift[count < MIN_DOCUMENTS] = -1
     chosen = np.flatnonzero(lift > LIFT)
     if len(chosen) > FEATURES:
         chosen = np.sort(chosen[np.argpartition(-lift[chosen], FEATURES)[:FEATURES]])
     table = swap_table()  # features of identity terms stay, whatever their lift: the penalty is about them
     identity = np.unique(np.concatenate([h for pairs in table.values() for pair in pairs for h in pair]))
-    chosen = np.union1d(chosen, np.flatnonzero(np.isin(vocabulary, identity)))
-    new = np.full(len(vocabulary), -1)
-    new[chosen] = np.arange(len(chosen))
-    column = new[column]
-    text, column = text[column >= 0], column[column >= 0]
-    vocabulary, size = vocabulary[chosen], len(chosen)
+    vocabulary = np.union1d(chosen, identity[count[identity] > 0])
+    size = len(vocabulary)
+    new = np.full(cells, -1, np.int32)
+    new[vocabulary] = np.arange(size)
+    columns = [new[row] for row in rows]
+    columns = [x[x >= 0] for x in columns]
+    text = np.repeat(np.arange(n), [len(x) for x in columns])
+    column = np.concatenate(columns).astype(np.int64)
     pairs: list[tuple[int, float]] = []
     signs: list[float] = []
     n_swaps = 0
-    known = np.array(sorted(table), np.uint64)
+    known = np.array(sorted(table), np.int64)
     for row in rows:
         for gone, came in swaps({int(x) for x in known[np.isin(known, row)]}, table):
             for part, sign in ((gone, -1.0), (came, 1.0)):
@@ -195,12 +198,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> Mo
             for _, n, raw, bounds in c.text_blocks(batch.column(2)):
                 text, h = features(c.Words(raw, bounds, c.TERMS))
                 edges = np.searchsorted(text, np.arange(n + 1))
-                out += [h[edges[i] : edges[i + 1]].tobytes() for i in range(n)]
+                out += [h[edges[i] : edges[i + 1]].astype("<i4").tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "features"])
 
     # at most `sample` rows (repeated rows of a labelled document count again)
     got = rows.mapInArrow(run, "doc_id long, toxic int, features binary").orderBy("doc_id", "toxic").limit(2 * sample).toArrow()
-    return fit([np.frombuffer(x, np.uint64) for x in got.column("features").to_pylist()], np.array(got.column("toxic").to_pylist(), float), **how)
+    return fit([np.frombuffer(x, "<i4") for x in got.column("features").to_pylist()], np.array(got.column("toxic").to_pylist(), float), **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
