@@ -329,14 +329,9 @@ class Decoder:
         return text
 
 
-_worker: dict[str, tuple] = {}
-
-
 def worker(path: str) -> tuple[Vocabulary, dict]:
     """This process's vocabulary and cache for a path."""
-    if path not in _worker:
-        _worker[path] = Vocabulary(path), {}
-    return _worker[path]
+    return c.remembered(("bpe", path), lambda: (Vocabulary(path), {}))
 
 
 def fresh_runs(v: Vocabulary, cache: dict, chunks: list[list[str]]) -> dict:

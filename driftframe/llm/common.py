@@ -216,6 +216,22 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_memory: dict = {}
+
+
+def remembered(key, make):
+    """A worker's own object for a key; only the last key's object is kept, as workers serve many stages."""
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
+def forget() -> None:
+    """Frees what an earlier stage left in this worker."""
+    _memory.clear()
+
+
 def packed(array: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(array.astype(kind, copy=False)).tobytes()
 

@@ -73,6 +73,7 @@ def least_shared(n: int) -> int:
 
 def sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches):
+        c.forget()
         held, n = [], 0
         for batch in batches:
             for _, _, _, h in sets_of(batch.column(0)):
@@ -95,6 +96,7 @@ def measured(docs: DataFrame, shared) -> DataFrame:
     estimate = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
+        c.forget()
         for batch in batches:
             texts = batch.column(1)
             n, d1, d2, keep = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, bool))
@@ -115,6 +117,7 @@ def measured(docs: DataFrame, shared) -> DataFrame:
 
 def count_parts(classes: DataFrame, bits: int) -> DataFrame:
     def run(batches):
+        c.forget()
         held, n = [], 0
         for batch in batches:
             for _, _, _, h in sets_of(batch.column(0)):
@@ -139,6 +142,7 @@ def prefix_blocks(classes: DataFrame, counts, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), *(pa.array([c.packed(x[r], k) for _, r in rows], pa.binary()) for x, k in ((h, "<u8"), (node, "<i8"), (size, "<i4")))], ["part", "h", "node", "size"])
 
     def run(batches):
+        c.forget()
         held, total = [], 0
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)

@@ -108,6 +108,7 @@ def count_words(train: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([c.packed(r[2]["h"], "<u8") for r in rows], pa.binary()), pa.array([c.packed(r[2]["n"], "<i8") for r in rows], pa.binary())], ["part", "h", "n"])
 
     def run(batches):
+        c.forget()
         held, total = [], 0
         for _, _, _, tokens in blocks_of(batches):
             held.append(tokens.hash)
@@ -196,6 +197,7 @@ def group_words(train: DataFrame, known: Vocabulary) -> np.ndarray:
     shared = train.sparkSession.sparkContext.broadcast((known.hashes, known.rank))
 
     def run(batches):
+        c.forget()
         hashes, rank = shared.value
         held, total = [], 0
 
@@ -277,6 +279,7 @@ def gradient(train: DataFrame, known: Vocabulary, weights: np.ndarray | None, bi
     shared = train.sparkSession.sparkContext.broadcast((known, weights, bias))
 
     def run(batches):
+        c.forget()
         known, weights, bias = shared.value
         total = np.zeros((KINDS, CLASSES, ROWS), np.float32)
         some = False
@@ -352,6 +355,7 @@ def scored_blocks(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        c.forget()
         model = shared.value
         known = model.known
         per_class = np.log10(known.class_tokens + 0.1 * (known.class_words + 1))

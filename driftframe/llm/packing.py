@@ -36,8 +36,8 @@ SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
 K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
 #: Ids of a run whose smallest hash places an item.
 RUN = 8
-#: Words that a worker remembers (about 200 MB).
-CACHE = 1_000_000
+#: Words that a worker remembers (about 80 MB).
+CACHE = 400_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,8 +45,6 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Words between white space, which the tokeniser's cuts never cross; str.split() also cuts at 0x1c-0x1f.
 CUT = re.compile("[^ \t\n\r]+")
 
-_worker: dict[str, tuple] = {}
-
 
 #: Words of plain letters, whose lower case and composed form are those of their letters one by one.
 #: A line: such a word and the stops after it, or any other.
@@ -131,9 +129,7 @@ class WordTokenizer:
 
 
 def worker(path: str) -> WordTokenizer:
-    if path not in _worker:
-        _worker[path] = WordTokenizer(path)
-    return _worker[path]
+    return c.remembered(("packing", path), lambda: WordTokenizer(path))
 
 
 def crc(ids: np.ndarray) -> int:

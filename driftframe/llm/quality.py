@@ -32,7 +32,9 @@ SUPPORT, RANGES = 30, 1.6
 LEAST = {"chars_per_token": 0.08, "fallback_share": 0.10, "entropy": 0.05}
 #: A text can't be too rich in tokens: these have no upper bound.
 ONE_SIDED = {"entropy"}
-CACHE = 250_000
+CACHE = 200_000
+#: Bands that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_BANDS = 50_000
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double, script string, text_hash long"
 
@@ -45,9 +47,6 @@ SCRIPT[65:91] = SCRIPT[97:123] = SCRIPT[0xC3:0xCA] = 1
 SCRIPT[0xCE:0xD0], SCRIPT[0xD0:0xD5], SCRIPT[0xD6:0xD8], SCRIPT[0xD8:0xDC], SCRIPT[0xE0:0xE2], SCRIPT[0xE3:0xEE] = 2, 3, 4, 5, 6, 7
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "east asian")
 
-_worker: dict[str, tuple] = {}
-
-
 class Fertility:
     """Token ids of words, remembered for short words."""
 
@@ -55,30 +54,31 @@ class Fertility:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.unknown = 0  # words that found no room
         n = self.model.get_piece_size()
         self.fallback = np.array([self.model.is_byte(i) for i in range(n)])
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         known = self.known
-        missing = {w for row in texts for w in row if w not in known}
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = {w for row in texts for w in row}
-        missing = list(missing)
+        found = [list(map(known.get, row)) for row in texts]
+        missing = list({w for row, got in zip(texts, found, strict=True) for w, ids in zip(row, got, strict=True) if ids is None})
+        new: dict[str, bytes] = {}
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
-            known.update(zip(part, self.model.encode(part, num_threads=1), strict=True))
-        out = [np.fromiter((i for w in row for i in known[w]), np.int64) for row in texts]
-        for w in [w for w in missing if len(w) > 64]:
-            del known[w]
-        return out
+            new.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(part, self.model.encode(part, num_threads=1), strict=True))
+        if len(known) + len(new) <= CACHE:
+            known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
+        else:
+            self.unknown += len(new)
+            if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
+                known.clear()
+                self.unknown = 0
+        return [np.frombuffer(b"".join([new[w] if ids is None else ids for w, ids in zip(row, got, strict=True)]), "<i4") for row, got in zip(texts, found, strict=True)]
 
 
 def worker(path: str) -> Fertility:
-    if path not in _worker:
-        _worker[path] = Fertility(path)
-    return _worker[path]
+    return c.remembered(("quality", path), lambda: Fertility(path))
 
 
 def repeated_words(words: c.Words, n: int, k: int = REPEAT) -> np.ndarray:
@@ -197,12 +197,13 @@ def judged(docs: DataFrame, path: str) -> DataFrame:
 
     The measures are written once to the shared folder: the bands need all of them before a text is judged."""
     rows = c.written(with_classes(measured(docs, path)), "quality-measures")
-    found = bands(rows)
+    found = c.written(bands(rows), "quality-bands")
+    small = F.broadcast if found.count() <= BROADCAST_BANDS else (lambda df: df)
     bounds = [f"{side}_{x}" for x in LEAST for side in ("low", "high")]
     by_size = found.where(F.col("__df_size").isNotNull()).select(F.col("__df_band").alias("__s_band"), F.col("__df_size").alias("__s_size"), F.struct(*bounds).alias("__df_own"))
     overall = found.where(F.col("__df_size").isNull()).select(F.col("__df_band").alias("__a_band"), F.struct(*bounds).alias("__df_all"))
-    joined = rows.join(by_size, (F.col("__df_band") == F.col("__s_band")) & (F.col("__df_size") == F.col("__s_size")), "left")
-    joined = joined.join(overall, F.col("__df_band") == F.col("__a_band"), "left")
+    joined = rows.join(small(by_size), (F.col("__df_band") == F.col("__s_band")) & (F.col("__df_size") == F.col("__s_size")), "left")
+    joined = joined.join(small(overall), F.col("__df_band") == F.col("__a_band"), "left")
     band = F.coalesce("__df_own", "__df_all")
     inside = F.lit(True)
     for x in LEAST:

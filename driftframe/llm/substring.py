@@ -57,6 +57,7 @@ def anchors(words: c.Words, window: int, anchor: int) -> tuple[np.ndarray, np.nd
 
 def sketch_parts(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
     def run(batches):
+        c.forget()
         held, n = [], 0
         for batch in batches:
             for _, _, raw, bounds in c.text_blocks(batch.column(0)):
@@ -117,6 +118,7 @@ def window_blocks(docs: DataFrame, repeated, parts: int, window: int, anchor: in
         return block_batch(out)
 
     def run(batches):
+        c.forget()
         held, n = [], 0
         for batch in batches:
             ids = c.ids_of(batch.column(0))
@@ -211,6 +213,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = with_spans(docs.select("doc_id", "text"), removals(docs, window)).select("doc_id", "text", "__df_spans")
 
     def run(batches):
+        c.forget()
         for batch in batches:
             n, gone, sha = [], [], []
             for text, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

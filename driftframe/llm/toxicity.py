@@ -193,6 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> Mo
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__df_id")).select("doc_id", "__df_toxic", "text")
 
     def run(batches):
+        c.forget()
         for batch in batches:
             out = []
             for _, n, raw, bounds in c.text_blocks(batch.column(2)):
