@@ -91,9 +91,8 @@ def sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
 BASE = "doc_id long, n_shingles long, d1 long, d2 long, text string"
 
 
-def measured(docs: DataFrame, shared) -> DataFrame:
-    """Every row's set size and digest, and the text of those that share enough to have a partner."""
-    estimate = docs.sparkSession.sparkContext.broadcast(shared)
+def measured(docs: DataFrame, estimate) -> DataFrame:
+    """Every row's set size and digest, and the text of those that share enough by a broadcast estimate to have a partner."""
 
     def run(batches):
         c.forget()
@@ -132,9 +131,10 @@ def count_parts(classes: DataFrame, bits: int) -> DataFrame:
     return classes.select("text").mapInArrow(run, sketch.PARTS)
 
 
-def prefix_blocks(classes: DataFrame, counts, parts: int) -> DataFrame:
-    """Blocks of (hash, node, set size) of the prefixes of the sets that share enough with other classes, by hash."""
-    shared = classes.sparkSession.sparkContext.broadcast(counts)
+def prefix_blocks(classes: DataFrame, shared, parts: int) -> DataFrame:
+    """Blocks of (hash, node, set size) of the prefixes of the sets that share enough with other classes, by hash.
+
+    shared: the broadcast counts of classes."""
 
     def send(held):
         h, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -366,16 +366,18 @@ def linked(docs: DataFrame) -> DataFrame:
     c.small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch.width_bits(chars // 12)  # some six characters to a shingle, four cells to each
-    shared = sketch.collect(sketch_parts(docs, bits), bits, 1)
-    base = c.written(measured(docs, shared), "jaccard-base")
+    estimate = spark.sparkContext.broadcast(sketch.collect(sketch_parts(docs, bits), bits, 1))
+    base = c.written(measured(docs, estimate), "jaccard-base")
+    estimate.destroy()
     known = base.where(F.col("text").isNotNull())
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     classes = c.written(classes.select(F.xxhash64("d1", "d2").alias("node"), "d1", "d2", "least", "text"), "jaccard-classes")
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(c.parallelism(spark), -(-chars // 24 // BUCKET_HASHES))
     bits = min(sketch.MAX_COUNT_BITS, sketch.width_bits(chars // 12))
-    counts = sketch.collect_counts(count_parts(classes, bits), bits)
+    counts = spark.sparkContext.broadcast(sketch.collect_counts(count_parts(classes, bits), bits))
     places = graph.components(candidate_links(prefix_blocks(classes, counts, parts)))
+    counts.destroy()
     rows, found = placed(classes, places)
     found = graph.components(search(rows).unionByName(found))
     members = classes.select("node", "d1", "d2", "least").join(found, "node")

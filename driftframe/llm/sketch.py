@@ -15,10 +15,10 @@ from . import common as c
 
 DEPTH = 2
 SLICE_BITS = 16
-#: log2 of the widest row: 2 rows x 2^29 cells are 128 MB, whatever the corpus.
-MIN_BITS, MAX_BITS = 18, 29
-#: The same for a row of counts of a byte: 64 MB.
-MAX_COUNT_BITS = 26
+#: log2 of the widest row: 2 rows x 2^28 cells are 64 MB, whatever the corpus.
+MIN_BITS, MAX_BITS = 18, 28
+#: The same for a row of counts of a byte: 32 MB.
+MAX_COUNT_BITS = 25
 PARTS = "slice int, once binary, twice binary"
 
 
@@ -130,7 +130,7 @@ class Repeated:
 
 
 def collect(parts: DataFrame, bits: int, depth: int = DEPTH) -> Repeated:
-    """The merged sketch on the driver, to be broadcast: depth x 2^bits / 8 bytes, 128 MB at most."""
+    """The merged sketch on the driver, to be broadcast: depth x 2^bits / 8 bytes, 64 MB at most."""
     size = 1 << SLICE_BITS - 3
     blob = bytearray(depth << bits - 3)
     for row in merged(parts).toLocalIterator(prefetchPartitions=True):
