@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Labelled rows learned from, at most: those with the smallest hash of doc_id.
-SAMPLE = 12_000
+SAMPLE = 9_000
 #: Features kept, at most; documents of the sample that must have a feature;
 #: and the deviations by which the labels of those documents differ from the rest, at least.
 FEATURES, MIN_DOCUMENTS, LIFT = 200_000, 3, 4.0
@@ -106,17 +106,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l1: float = L1, counterfactu
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     cells = 1 << CELL_BITS
     rate = labels.mean()
-    count, positive = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    count, positive = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
     for row, label in zip(rows, labels, strict=True):  # a row's features are distinct
         count[row] += 1
         if label:
             positive[row] += 1
     # the features whose documents differ most from the rest
-    lift = np.abs(positive - count * rate) / np.sqrt(np.maximum(count, 1) * max(rate * (1 - rate), 1e-9))
-    lift[count < MIN_DOCUMENTS] = -1
-    chosen = np.flatnonzero(lift > LIFT)
-    if len(chosen) > FEATURES:
-        chosen = np.sort(chosen[np.argpartition(-lift[chosen], FEATURES)[:FEATURES]])
+    some = np.flatnonzero(count >= MIN_DOCUMENTS)
+    lift = np.abs(positive[some] - count[some] * rate) / np.sqrt(count[some] * max(rate * (1 - rate), 1e-9))
+    some, lift = some[lift > LIFT], lift[lift > LIFT]
+    chosen = np.sort(some[np.argpartition(-lift, FEATURES)[:FEATURES]]) if len(some) > FEATURES else some
     table = swap_table()  # features of identity terms stay, whatever their lift: the penalty is about them
     identity = np.unique(np.concatenate([h for pairs in table.values() for pair in pairs for h in pair]))
     vocabulary = np.union1d(chosen, identity[count[identity] > 0])
@@ -204,7 +203,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> Mo
 
     # at most `sample` rows (repeated rows of a labelled document count again)
     got = rows.mapInArrow(run, "doc_id long, toxic int, features binary").orderBy("doc_id", "toxic").limit(2 * sample).toArrow()
-    return fit([np.frombuffer(x, "<i4") for x in got.column("features").to_pylist()], np.array(got.column("toxic").to_pylist(), float), **how)
+    features_, labels_ = got.column("features").to_pylist(), np.array(got.column("toxic").to_pylist(), float)
+    del got
+    model = fit([np.frombuffer(x, "<i4") for x in features_], labels_, **how)
+    del features_
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
