@@ -36,8 +36,8 @@ SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
 K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
 #: Ids of a run whose smallest hash places an item.
 RUN = 8
-#: Words that a worker remembers (about 80 MB).
-CACHE = 400_000
+#: Words that a worker remembers for good and words met once in each of two generations (about 80 MB each).
+CACHE, MET_ONCE = 400_000, 400_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,6 +51,23 @@ CUT = re.compile("[^ \t\n\r]+")
 PLAIN = re.compile("^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,48})([.,]*)|([^\n]+))$", re.MULTILINE)
 
 
+def words_of(text: str) -> list[str]:
+    return CUT.findall(text) if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
+
+
+class Memory(dict):
+    """Ids of words met twice or more.  A word that isn't there is put into ``fresh`` and gives a buffer, filled later."""
+
+    def __init__(self):
+        self.fresh: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        ids = self.fresh.get(word)
+        if ids is None:
+            self.fresh[word] = ids = bytearray()
+        return ids
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, with a bounded memory of words.
 
@@ -73,7 +90,10 @@ class WordTokenizer:
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
         self.kind = "<u2" if len(vocab) < 1 << 16 and max(vocab.values()) < 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.known = Memory()
+        #: words met once, lately and before that
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.unknown = 0  # words that found no room in the memory
 
     def library(self, words: list[str]) -> dict[str, bytes]:
@@ -96,7 +116,7 @@ class WordTokenizer:
         ids[last] = self.last[data[last]]
         return dict(zip(words, self.merger.merge(ids, sizes, self.kind), strict=True))
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
         plain, cores, ends, others = [], [], [], []
         for w, (core, end, _) in zip(words, PLAIN.findall("\n".join(words)), strict=True):
             if core:
@@ -113,19 +133,35 @@ class WordTokenizer:
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        words = [CUT.findall(t) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
-        found = [list(map(known.get, row)) for row in words]
-        missing = {w for row, got in zip(words, found, strict=True) for w, ids in zip(row, got, strict=True) if ids is None}
-        new = self.encode_words(missing) if missing else {}
-        if len(known) + len(new) <= CACHE:
-            known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        else:
-            self.unknown += len(new)
-            if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
-                known.clear()
-                self.unknown = 0
-        return [np.frombuffer(b"".join([new[w] if ids is None else ids for w, ids in zip(row, got, strict=True)]), self.kind) for row, got in zip(words, found, strict=True)]
+        found = [list(map(self.known.__getitem__, words_of(t))) for t in texts]
+        self.learn()
+        return [np.frombuffer(b"".join(row), self.kind) for row in found]
+
+    def learn(self) -> None:
+        """Fills the buffers of the fresh words and remembers them: at the second meeting for good."""
+        known, fresh = self.known, self.known.fresh
+        known.fresh = {}
+        new, young, older = [], self.young.get, self.older.get
+        for w, buffer in fresh.items():
+            ids = young(w) or older(w)
+            if ids is None:
+                new.append(w)
+                continue
+            buffer += ids
+            if len(known) < CACHE:
+                known[w] = ids
+            else:
+                self.young[w] = ids
+                self.unknown += 1
+        for w, ids in (self.encode_words(new) if new else {}).items():
+            fresh[w] += ids
+            if len(w) <= 64:
+                self.young[w] = ids
+        if len(self.young) > MET_ONCE:
+            self.older, self.young = self.young, {}
+        if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
+            known.clear()
+            self.unknown = 0
 
 
 def worker(path: str) -> WordTokenizer:
