@@ -15,6 +15,7 @@ columns are ignored, an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -36,8 +37,8 @@ SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
 K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
 #: Ids of a run whose smallest hash places an item.
 RUN = 8
-#: Words that a worker remembers for good and words met once in each of two generations (about 80 MB each).
-CACHE, MET_ONCE = 400_000, 400_000
+#: Words that a worker remembers for good (about 80 MB), and the latest words met once, at most (150 MB).
+CACHE, MET_ONCE = 400_000, 800_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,9 +92,7 @@ class WordTokenizer:
         self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
         self.kind = "<u2" if len(vocab) < 1 << 16 and max(vocab.values()) < 1 << 16 else "<u4"
         self.known = Memory()
-        #: words met once, lately and before that
-        self.young: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # words met once, the latest last
         self.unknown = 0  # words that found no room in the memory
 
     def library(self, words: list[str]) -> dict[str, bytes]:
@@ -117,6 +116,8 @@ class WordTokenizer:
         return dict(zip(words, self.merger.merge(ids, sizes, self.kind), strict=True))
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
         plain, cores, ends, others = [], [], [], []
         for w, (core, end, _) in zip(words, PLAIN.findall("\n".join(words)), strict=True):
             if core:
@@ -139,26 +140,24 @@ class WordTokenizer:
 
     def learn(self) -> None:
         """Fills the buffers of the fresh words and remembers them: at the second meeting for good."""
-        known, fresh = self.known, self.known.fresh
+        known, young, fresh = self.known, self.young, self.known.fresh
         known.fresh = {}
-        new, young, older = [], self.young.get, self.older.get
-        for w, buffer in fresh.items():
-            ids = young(w) or older(w)
-            if ids is None:
-                new.append(w)
-                continue
-            buffer += ids
-            if len(known) < CACHE:
-                known[w] = ids
-            else:
-                self.young[w] = ids
-                self.unknown += 1
-        for w, ids in (self.encode_words(new) if new else {}).items():
+        met = list(map(young.get, fresh))
+        for (w, buffer), ids in zip(fresh.items(), met, strict=True):
+            if ids is not None:
+                buffer += ids
+                if len(known) < CACHE:
+                    known[w] = ids
+                else:
+                    self.unknown += 1
+        new = self.encode_words([w for w, ids in zip(fresh, met, strict=True) if ids is None])
+        for w, ids in new.items():
             fresh[w] += ids
-            if len(w) <= 64:
-                self.young[w] = ids
-        if len(self.young) > MET_ONCE:
-            self.older, self.young = self.young, {}
+        young.update(new)
+        for w in [w for w in new if len(w) > 64]:
+            del young[w]
+        if len(young) > MET_ONCE:  # the older half goes
+            self.young = dict(itertools.islice(young.items(), len(young) - MET_ONCE // 2, None))
         if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
             known.clear()
             self.unknown = 0
