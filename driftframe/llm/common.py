@@ -7,6 +7,8 @@ combined from those with a few array operations.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -212,6 +214,16 @@ def drop_written(df: DataFrame) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Gives back what the driver no longer refers to: its own free blocks, and the JVM's dead broadcasts, shuffles and heap."""
+    gc.collect()  # Python's handles keep JVM objects alive
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

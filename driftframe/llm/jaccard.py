@@ -369,6 +369,7 @@ def linked(docs: DataFrame) -> DataFrame:
     estimate = spark.sparkContext.broadcast(sketch.collect(sketch_parts(docs, bits), bits, 1))
     base = c.written(measured(docs, estimate), "jaccard-base")
     estimate.destroy()
+    c.release(spark)
     known = base.where(F.col("text").isNotNull())
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     classes = c.written(classes.select(F.xxhash64("d1", "d2").alias("node"), "d1", "d2", "least", "text"), "jaccard-classes")
@@ -378,8 +379,10 @@ def linked(docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(sketch.collect_counts(count_parts(classes, bits), bits))
     places = graph.components(candidate_links(prefix_blocks(classes, counts, parts)))
     counts.destroy()
+    c.release(spark)
     rows, found = placed(classes, places)
     found = graph.components(search(rows).unionByName(found))
+    c.release(spark)
     members = classes.select("node", "d1", "d2", "least").join(found, "node")
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     members = members.join(least, "component").select("d1", "d2", "component_id")

@@ -81,7 +81,7 @@ def count_rows(hashes: np.ndarray, bits: int):
 class Counts:
     """One merged row of counts up to 255, a byte a cell; never below the true count (or 255)."""
 
-    def __init__(self, bits: int, blob: bytes):
+    def __init__(self, bits: int, blob: bytes | bytearray):
         self.bits, self.blob = bits, blob
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
@@ -102,13 +102,13 @@ def collect_counts(parts: DataFrame, bits: int) -> Counts:
     blob = bytearray(1 << bits)
     for row in parts.groupBy("slice").applyInArrow(add, "slice int, bits binary").toLocalIterator(prefetchPartitions=True):
         blob[row[0] * size : (row[0] + 1) * size] = row[1]
-    return Counts(bits, bytes(blob))
+    return Counts(bits, blob)
 
 
 class Repeated:
     """The merged sketch: which hashes are estimated to occur twice or more.  Never a repeated one missed."""
 
-    def __init__(self, bits: int, blob: bytes, depth: int = DEPTH):
+    def __init__(self, bits: int, blob: bytes | bytearray, depth: int = DEPTH):
         self.bits, self.blob, self.depth = bits, blob, depth
         self._array: np.ndarray | None = None
 
@@ -135,4 +135,4 @@ def collect(parts: DataFrame, bits: int, depth: int = DEPTH) -> Repeated:
     blob = bytearray(depth << bits - 3)
     for row in merged(parts).toLocalIterator(prefetchPartitions=True):
         blob[row[0] * size : (row[0] + 1) * size] = row[1]
-    return Repeated(bits, bytes(blob), depth)
+    return Repeated(bits, blob, depth)

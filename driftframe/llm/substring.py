@@ -190,6 +190,7 @@ def removals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     bits = sketch.width_bits(chars // 30)  # a word is about six characters, an anchor stands for some five words
     parts = max(c.parallelism(spark), -(-chars // BUCKET_CHARS))
     repeated = sketch.collect(sketch_parts(docs, bits, window, anchor), bits)
+    c.release(spark)
     blocks = window_blocks(docs, repeated, parts, window, anchor)
     return spans(removed_places(blocks, parts), window)
 

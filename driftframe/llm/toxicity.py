@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> Mo
     del got
     model = fit([np.frombuffer(x, "<i4") for x in features_], labels_, **how)
     del features_
-    pa.default_memory_pool().release_unused()
+    c.release(docs.sparkSession)
     return model
 
 
