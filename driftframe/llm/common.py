@@ -214,13 +214,18 @@ def drop_written(df: DataFrame) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def trim() -> None:
+    """Gives this process's free blocks back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def release(spark: SparkSession) -> None:
     """Gives back what the driver no longer refers to: its own free blocks, and the JVM's dead broadcasts, shuffles and heap."""
     gc.collect()  # Python's handles keep JVM objects alive
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -234,14 +239,16 @@ _memory: dict = {}
 def remembered(key, make):
     """A worker's own object for a key; only the last key's object is kept, as workers serve many stages."""
     if key not in _memory:
-        _memory.clear()
+        forget()
         _memory[key] = make()
+        trim()  # building it leaves about as much behind
     return _memory[key]
 
 
 def forget() -> None:
-    """Frees what an earlier stage left in this worker."""
+    """Frees what an earlier stage left in this worker, and gives it back to the system."""
     _memory.clear()
+    trim()
 
 
 def packed(array: np.ndarray, kind: str) -> bytes:

@@ -39,6 +39,8 @@ K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
 RUN = 8
 #: Words that a worker remembers for good (about 80 MB), and the latest words met once, at most (150 MB).
 CACHE, MET_ONCE = 400_000, 800_000
+#: The same where other stages share the executors' memory (about 60 MB a worker).
+LEAN_WORDS = 100_000, 200_000
 
 ITEMS = "kind int, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,7 +78,7 @@ class WordTokenizer:
     of its words on end.  New words of plain letters are merged together (their merges are the file's); all
     others go to the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: tuple[int, int] = (CACHE, MET_ONCE)):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,6 +93,7 @@ class WordTokenizer:
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
         self.kind = "<u2" if len(vocab) < 1 << 16 and max(vocab.values()) < 1 << 16 else "<u4"
+        self.cache, self.met_once = words
         self.known = Memory()
         self.young: dict[str, bytes] = {}  # words met once, the latest last
         self.unknown = 0  # words that found no room in the memory
@@ -146,7 +149,7 @@ class WordTokenizer:
         for (w, buffer), ids in zip(fresh.items(), met, strict=True):
             if ids is not None:
                 buffer += ids
-                if len(known) < CACHE:
+                if len(known) < self.cache:
                     known[w] = ids
                 else:
                     self.unknown += 1
@@ -156,15 +159,15 @@ class WordTokenizer:
         young.update(new)
         for w in [w for w in new if len(w) > 64]:
             del young[w]
-        if len(young) > MET_ONCE:  # the older half goes
-            self.young = dict(itertools.islice(young.items(), len(young) - MET_ONCE // 2, None))
-        if self.unknown > 50 * CACHE:  # the texts have moved on: remember anew
+        if len(young) > self.met_once:  # the older half goes
+            self.young = dict(itertools.islice(young.items(), len(young) - self.met_once // 2, None))
+        if self.unknown > 50 * self.cache:  # the texts have moved on: remember anew
             known.clear()
             self.unknown = 0
 
 
-def worker(path: str) -> WordTokenizer:
-    return c.remembered(("packing", path), lambda: WordTokenizer(path))
+def worker(path: str, words: tuple[int, int]) -> WordTokenizer:
+    return c.remembered(("packing", path, words), lambda: WordTokenizer(path, words))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -195,12 +198,12 @@ def places_of(rows: list[np.ndarray]) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def items(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def items(docs: DataFrame, path: str, window: int = WINDOW, words: tuple[int, int] = (CACHE, MET_ONCE)) -> DataFrame:
     """Full windows (kind 0, without ids) and tails (kind 1, with their ids)."""
     c.small_batches(docs.sparkSession)
 
     def run(batches):
-        tokenizer = worker(path)
+        tokenizer = worker(path, words)
         for batch in batches:
             texts = tokenizer.ids([t or "" for t in batch.column(1).to_pylist()])
             texts = [np.append(ids, np.array([END], ids.dtype)) for ids in texts]
@@ -229,8 +232,10 @@ class Index:
         sizes = np.array([len(x) for x in ids])
         keys = np.repeat(np.arange(n, dtype=np.int64), sizes) << 32 | np.concatenate(ids).astype(np.int64)
         keys, tf = np.unique(keys, return_counts=True)
-        self.item, self.term = keys >> 32, keys & 0xFFFFFFFF
-        self.terms, dense, df = np.unique(self.term, return_inverse=True, return_counts=True)
+        self.item, term = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.uint32)
+        del keys
+        _, dense, df = np.unique(term, return_inverse=True, return_counts=True)
+        dense = dense.astype(np.int32)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = self.idf[dense] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.item] / sizes.mean()))
         order = np.argsort(dense, kind="stable")
@@ -296,10 +301,14 @@ def fill(pool: list[tuple], window: int) -> tuple[list[list[tuple]], list[tuple]
             pieces, space = [], window
 
 
-def pack(rows: DataFrame, window: int = WINDOW, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Pieces of the sequences from the items of items(), already partitioned and sorted."""
+def pack(rows: DataFrame, window: int = WINDOW, shard_items: int = SHARD_ITEMS, lean: bool = False) -> DataFrame:
+    """Pieces of the sequences from the items of items(), already partitioned and sorted.
+
+    lean: a worker frees its memory of words first."""
 
     def run(batches):
+        if lean:
+            c.forget()
         sequence = (TaskContext.get().partitionId() << 40) - 1
         pool: list[tuple] = []
 
@@ -356,14 +365,16 @@ def powers_of_two(pieces: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
+def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, lean: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document.
+
+    lean: workers remember fewer words, and none while they pack; the pieces are the same."""
     spark = docs.sparkSession
-    rows = c.written(items(docs, path, window), "packing-items")
+    rows = c.written(items(docs, path, window, LEAN_WORDS if lean else (CACHE, MET_ONCE)), "packing-items")
     ids = rows.agg(F.sum(F.when(F.col("kind") == 1, F.col("length")))).first()[0] or 0
     parts = max(1, -(-ids // PARTITION_IDS), min(c.parallelism(spark), -(-ids // (SHARD_ITEMS * 256))))
     dealt = rows.repartitionByRange(parts, "place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start")
-    return pack(dealt, window)
+    return pack(dealt, window, lean=lean)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
