@@ -94,6 +94,20 @@ def test_packing(docs, none):
             at += length
         assert at == 256 or at & (at - 1) == 0
     assert packing.pack_documents(none, WORD).count() == 0
+    lean = packing.pack_documents(docs, WORD, window=256, lean=True).collect()
+    assert sorted(map(str, lean)) == sorted(map(str, pieces))
+
+
+def test_words_beyond_the_memory():
+    """A memory that overflows, and starts anew, gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    t, small = Tokenizer.from_file(WORD), packing.WordTokenizer(WORD, (2, 4))
+    texts = [" ".join(f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}, straße x{i}." for i in range(n, n + 60)) for n in (0, 30, 0, 90, 30, 0)]
+    for _ in range(3):
+        for text in texts:
+            assert small.ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(small.young) <= 4 and len(small.known) <= 2
 
 
 def test_media(docs, none, spark):
