@@ -2,13 +2,13 @@
 
 Templates are license notices.  A text is cut into overlapping windows, one set for each size class of the
 templates: a window has twice the class's words and the next begins half a window later, so an occurrence of a
-template lies in a window that is at most about twice its length.  A window's MinHash values, one to a band,
-retrieve templates; with a Jaccard similarity J to the template a window is missed with probability
-(1 - J)^BANDS, below 1e-5 for J = 0.3 and 32 bands.  Retrieved pairs are verified exactly: the share of the
-template's five-word shingles that the window holds must be 0.75 or more.
+template lies in a window.  The share of the template's five-word shingles that the window holds must be
+0.75 or more.
 
-Before that, a lossless filter: each template has cue words that leave too few shingles for 0.75 when they
-are absent, so a text, and a window, without any cue can't match.
+Retrieval loses nothing: of a template's shingles so many are its keys that the others are too few for 0.75,
+so a window that matches holds a key.  Windows meet templates by their keys, and the pairs are verified exactly.
+Before that, each template has cue words that leave too few shingles for 0.75 when they are absent, so a text,
+and a window, without any cue can't match.
 
 Words are runs of ASCII letters and digits, in lower case.  Null and empty texts match nothing; every text
 that matches gives one row for each license; rows repeated in documents count once (by id and text); a null
@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, BANDS = 5, 32
+SHINGLE = 5
 NEED, OF = 75, 100
 
 #: Public license notices by SPDX-like name.
@@ -73,16 +73,17 @@ def size_class(text: str) -> int:
     return 1 << max(3, (len(words_of(text)) - 1).bit_length())
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, size, shingles, bands: as large as the templates given, whatever the corpus."""
-    rows = spark.createDataFrame([(name, size_class(text), shingles_of(text)) for name, text in templates.items()], "license string, size int, shingles array<string>")
-    return rows.withColumn("bands", bands_of(F.col("shingles")))
+def keys_of(text: str) -> list[str]:
+    """Shingles of which every occurrence of the template with 0.75 of its shingles holds one: the longest ones."""
+    shingles = shingles_of(text)
+    need = -(-NEED * len(shingles) // OF)
+    return sorted(shingles, key=lambda s: (-len(s), s))[: len(shingles) - need + 1]
 
 
-def bands_of(shingles: Column) -> Column:
-    """The smallest seeded hash of the shingles, for each band."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """license, size, shingles, keys: as large as the templates given, whatever the corpus."""
+    rows = [(name, size_class(text), shingles_of(text), keys_of(text)) for name, text in templates.items()]
+    return spark.createDataFrame(rows, "license string, size int, shingles array<string>, keys array<string>")
 
 
 def windows(texts: DataFrame, sizes: list[int], cues: list[str]) -> DataFrame:
@@ -111,9 +112,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     texts = docs.select("doc_id", "text").where(holds).withColumn("text_hash", F.xxhash64("text"))
     parts = windows(texts, sorted({size_class(t) for t in templates.values()}), cues)
     key = ["doc_id", "text_hash", "size", "window"]
-    banded = parts.select(*key, "shingles", F.posexplode(bands_of(F.col("shingles"))).alias("band", "value"))
-    library = table.select(F.col("license"), F.col("size").alias("t_size"), F.posexplode("bands").alias("t_band", "t_value"))
-    met = banded.join(F.broadcast(library), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
+    keys = sorted({k for t in templates.values() for k in keys_of(t)})
+    keyed = parts.select(*key, "shingles", F.explode(F.array_intersect("shingles", F.array(*map(F.lit, keys)))).alias("value"))
+    library = table.select(F.col("license"), F.col("size").alias("t_size"), F.explode("keys").alias("t_value"))
+    met = keyed.join(F.broadcast(library), (F.col("size") == F.col("t_size")) & (F.col("value") == F.col("t_value")))
     retrieved = met.groupBy(*key, "license").agg(F.first("shingles").alias("shingles"))
     known = table.select(F.col("license").alias("t_license"), F.col("shingles").alias("wanted"))
     verified = retrieved.join(F.broadcast(known), F.col("license") == F.col("t_license"))

@@ -200,6 +200,22 @@ def test_license(spark, none):
     assert license.scan(none).count() == 0
 
 
+def test_license_retrieves_all_that_the_exact_check_accepts(spark):
+    """Every template, whole and with 0.75 of its shingles, at any place between words of its own."""
+    texts, want = [], set()
+    for name, text in license.TEMPLATES.items():
+        shingles, whole = license.shingles_of(text), license.words_of(text)
+        need = -(-license.NEED * len(shingles) // license.OF)
+        for part in (whole, whole[: need + 4], whole[-need - 4 :]):
+            for before in range(0, 70, 7):
+                i = len(texts)
+                around = [f"w{i}x{j}" for j in range(130)]
+                texts.append((i, " ".join(around[:before] + part + around[before:])))
+                want.add((i, name))
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert want <= {(r.doc_id, r.license) for r in license.scan(rows).collect()}
+
+
 def test_jaccard(docs, none, monkeypatch):
     def brute():
         sets = []
