@@ -6,12 +6,17 @@ rows repeated.  Queries return plain columns, so that a row-by-row comparison wi
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.cells import Typed, to_cell
 from .functions.filters import predicate
 from .operators import diff, profile
 from .plans.spec import OPERATORS, rule_for
+from .sinks.report import encoded, safe_text
 from .sources.tables import from_frame
 
 
@@ -198,19 +203,38 @@ def inspect_key_candidates(spark, sf_dir):
 
 
 def key_sha256(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.sha2(F.concat(F.lit('[["string","'), "n_name", F.lit('"]]')), 256).alias("digest"))
+    digest = F.udf(lambda cell: hashlib.sha256(encoded([cell]).encode("utf-8", "surrogatepass")).hexdigest())
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), digest(to_cell(Typed(F.col("n_name"), "string"))).alias("digest"))
+
+
+def safe(text):
+    """The reports' safe text of a column."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(safe_text, na_action="ignore")
+
+    return run(text)
+
+
+def begun(text):
+    """Texts that begin in each of the ways that are encoded, and as they are."""
+    return F.concat(F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "json:", ""])), (F.col("doc_id") % 6 + 1).cast("int")), text)
 
 
 def csv_safe_text(spark, sf_dir):
-    text = F.substring("text", 1, 40)
-    risky = F.concat(F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "json:", ""])), (F.col("doc_id") % 6 + 1).cast("int")), F.regexp_replace(text, "[^A-Za-z ]", ""))
-    safe = F.when(risky.rlike("^([=+@\\t\\r\\n-]|json:)"), F.concat(F.lit('json:"'), risky, F.lit('"'))).otherwise(risky)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), safe.alias("safe"))
+    text = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), safe(begun(text)).alias("safe"))
+
+
+def csv_safe_whole_text(spark, sf_dir):
+    """Whole texts with all their characters.  Without SQL, which doesn't write JSON's escapes this way."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), safe(begun(F.col("text"))).alias("safe"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (key_diff_status, key_diff_summary, key_diff_changed_cells, key_diff_missing, key_diff_duplicates, key_diff_three_way, key_diff_composite, key_diff_tolerance, key_diff_normalized, key_diff_invalid_keys, row_diff, multiset_diff, column_alias_mapping, filter_date_ordered, inspect_types, inspect_empty_ratio, inspect_key_candidates, key_sha256, csv_safe_text)
+    for f in (key_diff_status, key_diff_summary, key_diff_changed_cells, key_diff_missing, key_diff_duplicates, key_diff_three_way, key_diff_composite, key_diff_tolerance, key_diff_normalized, key_diff_invalid_keys, row_diff, multiset_diff, column_alias_mapping, filter_date_ordered, inspect_types, inspect_empty_ratio, inspect_key_candidates, key_sha256, csv_safe_text, csv_safe_whole_text)
 }
 assert set(FILTERS) == set(OPERATORS)
 for _op, (_table, _key, _column, _operand, _) in FILTERS.items():

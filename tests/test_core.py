@@ -135,6 +135,17 @@ def test_compare_and_inspect_from_the_command_line(spark, tmp_path):
     assert json.loads(err.getvalue())["code"] == "SHEET_NOT_FOUND"
 
 
+def test_safe_text_of_whole_documents(spark, tmp_path):
+    texts = ["plain", 'a "quoted", text', "tab\tline\r\nend", "\x01\x1f\\ é日本", "x" * 50 + '"tail, of a long text"\n', "\tbegins with a tab", None, ""]
+    rows = [(i, t) for n, t in enumerate(texts) for i in range(6 * n, 6 * n + 6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in rows:
+        whole = None if t is None else ["=", "+", "-", "@", "json:", ""][i % 6] + t
+        want[i] = whole if whole is None or whole[:1] not in list("=+-@\t") and whole[:5] != "json:" else "json:" + json.dumps(whole, ensure_ascii=False)
+    assert dict(map(tuple, entry.queries()["csv_safe_whole_text"](spark, str(tmp_path)).collect())) == want
+
+
 def test_usage():
     assert parse(["compare", "--spec", "x"])["--spec"] == ["x"]
     for bad in ([], ["compare"], ["inspect", "--files", "a.xlsx", "--sheet", "s"], ["inspect", "--sheet", "s"], ["compare", "--spec", "x", "--spec", "y"]):
