@@ -9,12 +9,13 @@ import traceback
 from .errors import UsageError, failure
 from .functions.cells import js_json
 
+#: The usage lines and option names of the command line.
 COMPARE = "usage: driftframe compare --spec <path> [--progress] [--keep-temp]"
 INSPECT = "usage: driftframe inspect --files <a.xlsx> <b.xlsx> [more.xlsx...] --sheet <name> [--full-types]"
 
 
 def parse(args: list[str]) -> dict:
-    """Options of a command; each may be given once.  --keep-temp is accepted: Spark removes its own spill."""
+    """Options of a command; each may be given once."""
     if args[:1] == ["compare"]:
         usage, flags, valued = COMPARE, {"--progress", "--keep-temp"}, {"--spec": 1}
     elif args[:1] == ["inspect"]:
@@ -58,13 +59,13 @@ def main(args: list[str], spark=None, out=None, err=None) -> int:
             out.write(js_json({"status": "NEEDS_INPUT", "code": "HEADER_DUPLICATED", "files": needs} if needs else result) + "\n")
             return 3 if needs else 0
         progress = Progress(err) if "--progress" in options else None
-        published = run.compare_path(spark, options["--spec"][0], progress)
-        if progress:
-            progress.finish("")
+        published = run.compare_path(spark, options["--spec"][0], progress, "--keep-temp" in options)
         out.write(js_json(published) + "\n")
         return 0
     except Exception as e:
         code, said = failure(e)
+        if getattr(e, "temp_directory", None):
+            said["tempDirectory"] = e.temp_directory
         if os.environ.get("DRIFTFRAME_DEBUG") == "1":
             said["stack"] = traceback.format_exc()
         err.write(js_json(said) + "\n")

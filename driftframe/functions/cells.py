@@ -55,10 +55,10 @@ def tag_of(kind: T.DataType) -> str:
 
 
 def text_rule(text: Column, rule: dict) -> Column:
-    """Trim, then case; '' is judged before the trim."""
+    """Trim, then case; '' is judged before the trim.  Without a rule, the column itself."""
     out = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "") if rule.get("trim") else text
     out = F.lower(out) if rule.get("caseSensitive") is False else out
-    return F.when(text != "", out).otherwise(F.lit(None) if rule.get("emptyEqualsNull") else out)
+    return F.when(text != "", out) if rule.get("emptyEqualsNull") else out
 
 
 def number_rule(value: Column) -> Column:
@@ -82,6 +82,15 @@ def normalise(value: Column, kind: T.DataType, rule: dict) -> Typed:
     return Typed(value, tag)
 
 
+def unchecked(value: Column, kind: T.DataType, rule: dict) -> Typed:
+    """normalise() for filters: numbers as they are, so that a filter reaches the scan.
+
+    Rows that a filter leaves out aren't checked for numbers that aren't finite."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return Typed(value.cast("double"), "number")
+    return normalise(value, kind, rule)
+
+
 def _scalar(cell: Column, rule: dict, fields: tuple[str, ...] = ("type", "num", "str", "bool", "ts")) -> dict[str, Column]:
     text = text_rule(cell["str"], rule)
     is_text = cell["type"] == "string"

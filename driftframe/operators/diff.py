@@ -1,7 +1,9 @@
 """N-way comparison of versions against a baseline: by key, by row position, or as multisets.
 
-All versions are tagged, united and grouped by key in one exchange; each group is classified by its counts
-before any value is looked at.  Results are DataFrames; nothing is collected.
+All versions are tagged, united and grouped by key in one exchange.  What is exchanged of a row is its key, its
+number and 128 bits of hash of its compared values; counts and hashes classify a key, in a hash aggregation.  The
+values are read again for the keys whose hashes differ, and only those are compared cell by cell.  Results are
+DataFrames; nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,34 +15,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DriftError, LimitError
-from ..functions.cells import Typed, equal, normalise, tag_of, to_cell
-from ..functions.filters import all_of, predicate
+from ..functions.cells import Typed, equal, normalise, tag_of, to_cell, unchecked
+from ..functions.filters import all_of, condition, fails, true
 from ..plans.mapping import resolve
 from ..plans.spec import by_key, comparison_columns, rule_for
 from ..sources.tables import ROW, Version
 
-FILE = "__file"
+FILE, STATE, SIZE = "__file", "__state", "__bytes"
+#: States of a scanned row: it takes part, its key has a blank, a filter leaves it out.
+TAKEN, INVALID, LEFT_OUT = 0, 1, 2
+#: Bytes of a row besides its cells, as limits count them.
+ROW_BYTES = 150
 
 
 class Scan(NamedTuple):
-    """A version after mapping, normalisation and filters: ROW and one column v<i> for each column."""
+    """A version after mapping and normalisation: cells by column and the filters' condition, over the source."""
 
     id: str
-    frame: DataFrame
-    columns: list[str]
-    tags: dict[str, str]
-    valid: Column | None  # key cells are present
+    source: DataFrame
+    cells: dict[str, Typed]
+    keeps: Column
+
+    @property
+    def counted(self) -> bool:
+        return "cell_count" in self.source.columns
 
 
 class Result(NamedTuple):
-    """Lazy results; those that a mode doesn't have are None."""
+    """Lazy results; those that a mode doesn't have are None.
+
+    tally has one row for each key, and besides one for the invalid rows and one for those left out."""
 
     classified: DataFrame
+    tally: DataFrame
     changed: DataFrame | None
     missing: DataFrame | None
     duplicates: DataFrame | None
     multiset: DataFrame | None
     counters: DataFrame
+    aligned: DataFrame | None  # each key with the values of each version
+    key: Column  # of tally and classified: the key as an array of cells
+
+
+class Plan(NamedTuple):
+    """What the steps of a comparison share."""
+
+    ids: list[str]
+    base: int
+    keys: list[str]
+    key_cells: list[Typed]
+    cells: dict[str, Typed]  # of the compared columns
+    rules: dict[str, dict]
+    sheet: str
 
 
 def value_name(i: int) -> str:
@@ -48,130 +74,231 @@ def value_name(i: int) -> str:
 
 
 def prepare(version: Version, spec: dict, standard: list[str] | None) -> tuple[Scan, list[str]]:
-    """Maps, normalises and filters a version; the scan's frame has no invalid-key rows removed yet."""
+    """Maps, normalises and filters a version."""
     columns, mapping = resolve(version.headers, spec, version.id, standard)
     types = {f.name: f.dataType for f in version.frame.schema.fields}
     cells: dict[str, Typed] = {}
     for name in columns:
         source = version.columns[mapping[name] - 1]
         cells[name] = normalise(F.col(f"`{source}`"), types[source], rule_for(spec, name))
-    values = [cells[name].value.alias(value_name(i)) for i, name in enumerate(columns)]
-    frame = version.frame.select(ROW, *(["cell_count"] if "cell_count" in version.frame.columns else []), *values)
-    tags = {name: cells[name].tag for name in columns}
-    return Scan(version.id, frame, columns, tags, None), columns
-
-
-def cell_of(scan: Scan, name: str) -> Typed:
-    return Typed(F.col(value_name(scan.columns.index(name))), scan.tags[name])
-
+    conditions = []
+    for f in spec.get("filters", ()):
+        source = version.columns[mapping[f["column"]] - 1]
+        rule = rule_for(spec, f["column"])
+        cell = unchecked(F.col(f"`{source}`"), types[source], rule)
+        conditions.append((condition(cell, f, rule), fails(cell, f)))
+    return Scan(version.id, version.frame, cells, all_of(conditions)), columns
 
-def keep(scan: Scan, spec: dict) -> Column:
-    """The spec's filters over a scan."""
-    return all_of([predicate(cell_of(scan, f["column"]), f, rule_for(spec, f["column"])) for f in spec.get("filters", ())])
 
-
-def valid_key(scan: Scan, spec: dict) -> Column:
+def scans_of(versions: list[Version], spec: dict) -> tuple[list[Scan], list[str], dict[str, str]]:
+    """Scans in spec order, their columns and tags; the baseline fixes the columns, a column's cells have one form in all."""
+    base = next(v for v in versions if v.id == spec["baseline"])
+    first, columns = prepare(base, spec, None)
+    scans = [first if v is base else prepare(v, spec, columns)[0] for v in versions]
+    types = [{f.name: f.dataType for f in s.source.select(*(s.cells[c].value.alias(value_name(i)) for i, c in enumerate(columns))).schema.fields} for s in scans]
+    out: list[dict[str, Typed]] = [{} for _ in scans]
+    for i, name in enumerate(columns):
+        kinds, tags = {t[value_name(i)].simpleString() for t in types}, {s.cells[name].tag for s in scans}
+        for s, cells in zip(scans, out, strict=True):
+            cell = s.cells[name]
+            if len(tags) > 1:
+                cell = Typed(to_cell(cell), "cell")
+            elif len(kinds) > 1:
+                cell = Typed(cell.value.cast("double" if tags == {"number"} else "timestamp_ntz" if tags == {"date"} else types[0][value_name(i)]), cell.tag)
+            cells[name] = cell
+    scans = [s._replace(cells=cells) for s, cells in zip(scans, out, strict=True)]
+    return scans, columns, {name: scans[0].cells[name].tag for name in columns}
+
+
+def valid_key(spec: dict, columns: list[str], tags: dict[str, str]) -> Column:
+    """Over the value columns: no key cell is blank."""
     if not by_key(spec):
         return F.lit(True)
-    blanks = [cell_of(scan, k).blank for k in spec["mode"]["keyColumns"]]
-    return ~functools.reduce(lambda a, b: a | b, blanks)
+    return functools.reduce(lambda a, b: a & b, [~Typed(F.col(value_name(columns.index(k))), tags[k]).blank for k in spec["mode"]["keyColumns"]])
 
 
-def scans_of(versions: list[Version], spec: dict) -> tuple[list[Scan], list[str]]:
-    """Scans in spec order; the baseline fixes the columns, and the cells of a column have one form in all."""
-    base = next(v for v in versions if v.id == spec["baseline"])
-    first, columns = prepare(base, spec, None)
-    scans = [first if v is base else prepare(v, spec, columns)[0] for v in versions]
-    out = []
-    for s in scans:
-        values = []
-        for i, name in enumerate(columns):
-            column = F.col(value_name(s.columns.index(name)))
-            types = [dict(x.frame.dtypes)[value_name(x.columns.index(name))] for x in scans]
-            tags = {x.tags[name] for x in scans}
-            if len(set(types)) > 1:
-                column = to_cell(Typed(column, s.tags[name])) if len(tags) > 1 else column.cast("double" if tags == {"number"} else "timestamp_ntz" if tags == {"date"} else types[0])
-            values.append(column.alias(value_name(i)))
-        extra = ["cell_count"] if "cell_count" in s.frame.columns else []
-        frame = s.frame.select(ROW, *extra, *values)
-        tags = {name: tag_of(frame.schema[value_name(i)].dataType) for i, name in enumerate(columns)}
-        out.append(Scan(s.id, frame, columns, tags, None))
-    return out, columns
-
-
-def united(scans: list[Scan], spec: dict) -> DataFrame:
-    """All rows that take part, with the number of their version in spec order."""
+def united(scans: list[Scan], spec: dict, columns: list[str], tags: dict[str, str]) -> DataFrame:
+    """All rows that take part, with the number of their version in spec order; filters reach the scans."""
     parts = []
     for i, s in enumerate(scans):
-        kept = s.frame.where(keep(s, spec))
-        kept = kept.where(valid_key(s, spec)) if by_key(spec) else kept
-        parts.append(kept.select(F.lit(i).alias(FILE), ROW, *(value_name(j) for j in range(len(s.columns)))))
+        rows = s.source.where(s.keeps).select(F.lit(i).alias(FILE), ROW, *(s.cells[c].value.alias(value_name(j)) for j, c in enumerate(columns)))
+        parts.append(rows.where(valid_key(spec, columns, tags)) if by_key(spec) else rows)
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def scan_counters(scans: list[Scan], spec: dict) -> DataFrame:
-    """file, total, matched, invalid, cells of each version."""
+def flagged(scans: list[Scan], spec: dict, columns: list[str], tags: dict[str, str]) -> DataFrame:
+    """All rows with their state; those that don't take part have null values, so they group into one row each."""
+    parts = []
+    for i, s in enumerate(scans):
+        kept = true(s.keeps)
+        rows = s.source.select(F.lit(i).alias(FILE), ROW, (F.col("cell_count") if s.counted else F.lit(len(columns))).cast("long").alias("cells"), kept.alias("__kept"), *(F.when(kept, s.cells[c].value).alias(value_name(j)) for j, c in enumerate(columns)))
+        state = F.when(~F.col("__kept"), LEFT_OUT).when(valid_key(spec, columns, tags), TAKEN).otherwise(INVALID)
+        rows = rows.withColumn(STATE, state)
+        names = [value_name(j) for j in range(len(columns))]
+        parts.append(rows.select(FILE, STATE, "cells", *(F.when(F.col(STATE) == TAKEN, F.col(x)).alias(x) for x in (ROW, *names))))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def scan_counters(scans: list[Scan], spec: dict, columns: list[str], tags: dict[str, str]) -> DataFrame:
+    """file, total, matched, invalid, cells of each version: a scan of the filters' and the key's columns alone."""
     parts = []
     for s in scans:
-        passes, valid = keep(s, spec), valid_key(s, spec)
-        cells = F.sum("cell_count") if "cell_count" in s.frame.columns else F.count("*") * len(s.columns)
-        parts.append(s.frame.select(F.lit(s.id).alias("file"), passes.alias("p"), valid.alias("k"), *(["cell_count"] if "cell_count" in s.frame.columns else [])).groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("p") & F.col("k")).alias("matched"), F.count_if(F.col("p") & ~F.col("k")).alias("invalid"), F.coalesce(cells, F.lit(0)).cast("long").alias("cells")))
+        keys = spec["mode"]["keyColumns"] if by_key(spec) else []
+        extra = ["cell_count"] if s.counted else []
+        rows = s.source.select(F.lit(s.id).alias("file"), true(s.keeps).alias("p"), *extra, *(s.cells[k].value.alias(value_name(columns.index(k))) for k in keys))
+        valid = valid_key(spec, columns, tags)
+        cells = F.sum("cell_count") if s.counted else F.count("*") * len(columns)
+        parts.append(rows.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("p") & valid).alias("matched"), F.count_if(F.col("p") & ~valid).alias("invalid"), F.coalesce(cells, F.lit(0)).cast("long").alias("cells")))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
 def compare(versions: list[Version], spec: dict) -> Result:
     """The comparison that the spec asks for, over versions in spec order."""
-    scans, columns = scans_of(versions, spec)
+    scans, columns, tags = scans_of(versions, spec)
     ids = [v.id for v in versions]
     base = ids.index(spec["baseline"])
     compared = comparison_columns(spec, columns)
-    rows = united(scans, spec)
-    typed = {name: Typed(F.col(value_name(i)), scans[base].tags[name]) for i, name in enumerate(columns)}
-    counters = scan_counters(scans, spec)
+    typed = {name: Typed(F.col(value_name(i)), tags[name]) for i, name in enumerate(columns)}
     mode = spec["mode"].get("type", "key")
     if mode == "multiset":
-        classified, found = multiset(rows, ids, base, compared, typed, versions[base].sheet)
-        return Result(classified, None, None, None, found, counters)
-    keys = ["__row"] if mode == "row" else [value_name(columns.index(k)) for k in spec["mode"]["keyColumns"]]
-    key_cells = [Typed(F.col(ROW), "number")] if mode == "row" else [typed[k] for k in spec["mode"]["keyColumns"]]
-    rules = {name: rule_for(spec, name) for name in compared}
-    classified = classify(rows, ids, base, keys, {c: typed[c] for c in compared}, {c: value_name(columns.index(c)) for c in compared}, rules)
-    sheet = versions[base].sheet
-    key = F.array(*(to_cell(k) for k in key_cells)).alias("key")
-    return Result(classified, changed(classified, ids, compared, key, {c: typed[c].tag for c in compared}, sheet), missing(classified, ids, base, key, sheet), duplicates(classified, ids, key), None, counters)
-
-
-def classify(rows: DataFrame, ids: list[str], base: int, keys: list[str], cells: dict[str, Typed], names: dict[str, str], rules: dict[str, dict]) -> DataFrame:
-    """One row for each key: counts n<i>, the single row f<i> of each version, differ_<j>, status.
-
-    Precedence: duplicate, missing, then changed or identical against the baseline."""
-    picked = F.struct(F.col(ROW).alias("row"), *(F.col(names[c]).alias(f"c{j}") for j, c in enumerate(cells)))
-    counts = [F.count_if(F.col(FILE) == i).alias(f"n{i}") for i in range(len(ids))]
-    firsts = [F.first(F.when(F.col(FILE) == i, picked), ignorenulls=True).alias(f"f{i}") for i in range(len(ids))]
-    groups = rows.groupBy(*keys).agg(*counts, *firsts)
-    n = [F.col(f"n{i}") for i in range(len(ids))]
-    duplicate = functools.reduce(lambda a, b: a | b, [x > 1 for x in n])
-    absent = functools.reduce(lambda a, b: a | b, [x == 0 for x in n])
+        keys = [value_name(columns.index(c)) for c in compared]
+        key_cells = [typed[c] for c in compared]
+    elif mode == "row":
+        keys, key_cells = [ROW], [Typed(F.col(ROW), "number")]
+    else:
+        keys = [value_name(columns.index(k)) for k in spec["mode"]["keyColumns"]]
+        key_cells = [typed[k] for k in spec["mode"]["keyColumns"]]
+    plan = Plan(ids, base, keys, key_cells, {} if mode == "multiset" else {c: typed[c] for c in compared}, {c: rule_for(spec, c) for c in compared}, versions[base].sheet)
+    rows = united(scans, spec, columns, tags)
+    sized = [typed[c] for c in columns] if "resources" in spec else None
+    tally = grouped(flagged(scans, spec, columns, tags), plan, mode == "multiset", sized)
+    counters = scan_counters(scans, spec, columns, tags)
+    out = Result(grouped(rows, plan, mode == "multiset"), tally, None, None, None, None, counters, None, key_of(plan))
+    return derived(out, rows, plan, mode == "multiset")
+
+
+def derived(result: Result, rows: DataFrame, plan: Plan, multiset: bool) -> Result:
+    """The details that follow from the classified keys."""
+    if multiset:
+        return result._replace(multiset=count_differences(result.classified, plan))
+    return result._replace(
+        changed=changed(result.classified, rows, plan),
+        missing=missing(result.classified, plan),
+        duplicates=duplicates(result.classified, plan),
+        aligned=aligned(rows, plan),
+    )
+
+
+def fingerprint(plan: Plan) -> tuple[list[Column], list[str]]:
+    """What the row hash covers, and the columns of numbers within a tolerance, which it leaves out.
+
+    Spark's hash skips nulls, so what is null is hashed too."""
+    parts: list[Column] = []
+    near = []
+    for name, cell in plan.cells.items():
+        tolerant = "numericTolerance" in plan.rules[name]
+        if cell.tag == "cell":
+            fields = [x for x in ("type", "num", "str", "bool", "ts", "formula", "result", "target", "tooltip") if not (tolerant and x == "num")]
+            parts += [cell.value[x] for x in fields] + [cell.value[x].isNull() for x in ("target", "tooltip")]
+        else:
+            parts.append(cell.value.isNull())
+            if not (tolerant and cell.tag == "number"):
+                parts.append(cell.value)
+        if tolerant and cell.tag in ("cell", "number"):
+            near.append(name)
+    return parts, near
+
+
+def grouped(rows: DataFrame, plan: Plan, multiset: bool, sized: list[Typed] | None = None) -> DataFrame:
+    """One row for each key: counts n<i> and row numbers row<i> of each version, and the key's status.
+
+    Precedence: duplicate, missing, then changed or identical against the baseline.  Buffers are numbers only, which
+    keeps the aggregation a hash aggregation.  sized: the cells that count for the bytes of a key's rows."""
+    n_files = range(len(plan.ids))
+    parts, near = fingerprint(plan)
+    has_state = STATE in rows.columns
+    own: dict[str, Column] = {}
+    if not multiset:
+        own = {"__h0": F.xxhash64(F.lit(0), *parts), "__h1": F.xxhash64(F.lit(-1), *parts, F.lit(1))}
+        own |= {f"__t{j}": plan.cells[c].part("number") for j, c in enumerate(near)}
+    if sized is not None:
+        # the JSON text of the cells, as a row's size
+        own[SIZE] = F.length(F.to_json(F.struct(*(x.value.alias(f"c{j}") for j, x in enumerate(sized))))).cast("long") + ROW_BYTES
+    if has_state:
+        own = {k: F.when(F.col(STATE) == TAKEN, v) for k, v in own.items()}
+    rows = rows.withColumns(own) if own else rows
+    values = [k for k in own if k != SIZE]
+
+    def of(i: int, x: str) -> Column:
+        return F.when(F.col(FILE) == i, F.col(x))
+
+    totals = [F.count(of(i, FILE)).alias(f"n{i}") for i in n_files]
+    if not multiset:
+        totals += [F.max(of(i, x)).alias(f"{x}_{i}") for i in n_files for x in values]
+        totals += [F.max(of(i, ROW)).alias(f"row{i}") for i in n_files]
+    if sized is not None:
+        totals.append(F.sum(SIZE).alias(SIZE))
+    if has_state:
+        totals.append(F.sum("cells").alias("cells"))
+    groups = rows.groupBy(*([STATE] if has_state else []), *plan.keys).agg(*totals)
+    n = [F.col(f"n{i}") for i in n_files]
+    if multiset:
+        same = functools.reduce(lambda a, b: a & b, [x == n[plan.base] for x in n])
+        status = F.when(same, "identical").otherwise("changed")
+    else:
+        differs = [_differs(values, plan, near, i) for i in n_files if i != plan.base]
+        duplicate = functools.reduce(lambda a, b: a | b, [x > 1 for x in n])
+        absent = functools.reduce(lambda a, b: a | b, [x == 0 for x in n])
+        status = F.when(duplicate, "duplicate").when(absent, "missing").when(functools.reduce(lambda a, b: a | b, differs), "changed").otherwise("identical")
+    if has_state:
+        status = F.when(F.col(STATE) == TAKEN, status)
+    return groups.withColumn("status", status).drop(*(f"{x}_{i}" for i in n_files for x in values))
+
+
+def _differs(values: list[str], plan: Plan, near: list[str], i: int) -> Column:
+    """Whether version i's row differs from the baseline's, where both have one."""
+    out = F.lit(False)
+    for x in values:
+        a, b = F.col(f"{x}_{plan.base}"), F.col(f"{x}_{i}")
+        if x.startswith("__t"):  # which of them are numbers is in the hashes
+            tolerance = plan.rules[near[int(x[3:])]]["numericTolerance"]
+            out |= F.coalesce(F.abs(a - b) > F.lit(float(tolerance)), F.lit(False))
+        else:
+            out |= a != b
+    return out
+
+
+def aligned(rows: DataFrame, plan: Plan) -> DataFrame:
+    """One row for each key: counts n<i>, the row f<i> of each version with its cells, and differ_<j> of each column."""
+    picked = F.struct(F.col(ROW).alias("row"), *(c.value.alias(f"c{j}") for j, c in enumerate(plan.cells.values())))
+    counts = [F.count_if(F.col(FILE) == i).alias(f"n{i}") for i in range(len(plan.ids))]
+    firsts = [F.first(F.when(F.col(FILE) == i, picked), ignorenulls=True).alias(f"f{i}") for i in range(len(plan.ids))]
+    groups = rows.groupBy(*plan.keys).agg(*counts, *firsts)
     differs = []
-    for j, c in enumerate(cells):
-        others = [~equal(Typed(F.col(f"f{base}")[f"c{j}"], cells[c].tag), Typed(F.col(f"f{i}")[f"c{j}"], cells[c].tag), rules[c]) for i in range(len(ids)) if i != base]
+    for j, (c, cell) in enumerate(plan.cells.items()):
+        others = [~equal(Typed(F.col(f"f{plan.base}")[f"c{j}"], cell.tag), Typed(F.col(f"f{i}")[f"c{j}"], cell.tag), plan.rules[c]) for i in range(len(plan.ids)) if i != plan.base]
         differs.append(functools.reduce(lambda a, b: a | b, others).alias(f"differ_{j}"))
-    groups = groups.select("*", *differs)
-    any_differs = functools.reduce(lambda a, b: a | b, [F.col(f"differ_{j}") for j in range(len(cells))], F.lit(False))
-    status = F.when(duplicate, "duplicate").when(absent, "missing").when(any_differs, "changed").otherwise("identical")
-    return groups.withColumn("status", status)
+    return groups.select("*", *differs)
+
+
+def key_of(plan: Plan) -> Column:
+    return F.array(*(to_cell(k) for k in plan.key_cells)).alias("key")
+
 
+def changed(classified: DataFrame, rows: DataFrame, plan: Plan) -> DataFrame:
+    """key, sheet, column, place of the column, and for each version a struct of value and row.
 
-def changed(classified: DataFrame, ids: list[str], columns: list[str], key: Column, tags: dict[str, str], sheet: str) -> DataFrame:
-    """key, sheet, column, place of the column, and for each version a struct of value and row."""
+    The values are those of the keys whose hashes differ; what the other keys hold isn't exchanged."""
+    wanted = classified.where("status = 'changed'").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(plan.keys)))
+    on = functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(plan.keys)])
+    found = aligned(rows.join(wanted, on), plan)  # keys are there once; a semi join would go into every version's scan
     entries = []
-    for j, name in enumerate(columns):
-        files = [F.struct(to_cell(Typed(F.col(f"f{i}")[f"c{j}"], tags[name])).alias("value"), F.col(f"f{i}")["row"].alias("row")).alias(f"file{i}") for i in range(len(ids))]
+    for j, (name, cell) in enumerate(plan.cells.items()):
+        files = [F.struct(to_cell(Typed(F.col(f"f{i}")[f"c{j}"], cell.tag)).alias("value"), F.col(f"f{i}")["row"].alias("row")).alias(f"file{i}") for i in range(len(plan.ids))]
         entries.append(F.when(F.col(f"differ_{j}"), F.struct(F.lit(name).alias("column"), F.lit(j).alias("place"), *files)))
-    rows = classified.where("status = 'changed'")
     if not entries:
-        rows, entries = rows.where("false"), [F.struct(F.lit("").alias("column"), F.lit(0).alias("place"))]
-    exploded = rows.select(key, F.lit(sheet).alias("sheet"), F.explode(F.array_compact(F.array(*entries))).alias("x"))
+        found, entries = found.where("false"), [F.struct(F.lit("").alias("column"), F.lit(0).alias("place"))]
+    exploded = found.select(key_of(plan), F.lit(plan.sheet).alias("sheet"), F.explode(F.array_compact(F.array(*entries))).alias("x"))
     return exploded.select("key", "sheet", "x.*")
 
 
@@ -179,52 +306,66 @@ def present(ids: list[str], there: bool) -> Column:
     return F.array_compact(F.array(*(F.when((F.col(f"n{i}") > 0) == there, F.lit(x)) for i, x in enumerate(ids))))
 
 
-def missing(classified: DataFrame, ids: list[str], base: int, key: Column, sheet: str) -> DataFrame:
-    relation = F.when(F.col(f"n{base}") > 0, "DELETED").otherwise("ADDED")
-    return classified.where("status = 'missing'").select(key, F.lit(sheet).alias("sheet"), present(ids, True).alias("presentFiles"), present(ids, False).alias("missingFiles"), relation.alias("baselineRelation"))
+def missing(classified: DataFrame, plan: Plan) -> DataFrame:
+    relation = F.when(F.col(f"n{plan.base}") > 0, "DELETED").otherwise("ADDED")
+    return classified.where("status = 'missing'").select(key_of(plan), F.lit(plan.sheet).alias("sheet"), present(plan.ids, True).alias("presentFiles"), present(plan.ids, False).alias("missingFiles"), relation.alias("baselineRelation"))
 
 
-def duplicates(classified: DataFrame, ids: list[str], key: Column) -> DataFrame:
-    files = F.array_compact(F.array(*(F.when(F.col(f"n{i}") > 1, F.lit(x)) for i, x in enumerate(ids))))
-    return classified.where("status = 'duplicate'").select(key, files.alias("files"))
+def duplicates(classified: DataFrame, plan: Plan) -> DataFrame:
+    files = F.array_compact(F.array(*(F.when(F.col(f"n{i}") > 1, F.lit(x)) for i, x in enumerate(plan.ids))))
+    return classified.where("status = 'duplicate'").select(key_of(plan), files.alias("files"))
 
 
-def multiset(rows: DataFrame, ids: list[str], base: int, compared: list[str], typed: dict[str, Typed], sheet: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of each combination of values in each version; combinations whose counts differ."""
-    keys = [typed[c].value for c in compared]
-    counts = [F.count_if(F.col(FILE) == i).alias(f"n{i}") for i in range(len(ids))]
-    groups = rows.groupBy(*keys).agg(*counts)
-    same = functools.reduce(lambda a, b: a & b, [F.col(f"n{i}") == F.col(f"n{base}") for i in range(len(ids))])
-    groups = groups.withColumn("status", F.when(same, "identical").otherwise("changed"))
-    values = F.array(*(to_cell(typed[c]) for c in compared)).alias("values")
-    relation = F.when(F.col(f"n{base}") == 0, "ADDED").otherwise("DELETED")
-    found = groups.where("status = 'changed'").select(values, F.lit(sheet).alias("sheet"), *(F.col(f"n{i}").alias(f"count{i}") for i in range(len(ids))), relation.alias("baselineRelation"))
-    return groups, found
+def count_differences(groups: DataFrame, plan: Plan) -> DataFrame:
+    """Combinations of values whose counts differ between the versions."""
+    relation = F.when(F.col(f"n{plan.base}") == 0, "ADDED").otherwise("DELETED")
+    return groups.where("status = 'changed'").select(key_of(plan).alias("values"), F.lit(plan.sheet).alias("sheet"), *(F.col(f"n{i}").alias(f"count{i}") for i in range(len(plan.ids))), relation.alias("baselineRelation"))
+
+
+def summed(result: Result) -> DataFrame:
+    """One row: rows scanned, matched and invalid, cells, and keys by status; all from one pass over the versions."""
+    files = [x for x in result.tally.columns if x[0] == "n" and x[1:].isdigit()]
+    rows = functools.reduce(lambda a, b: a + b, [F.col(x) for x in files])
+    keys = [F.count_if((F.col(STATE) == TAKEN) & (F.col("status") == s)).alias(f"{s}_keys") for s in ("identical", "changed", "missing", "duplicate")]
+
+    def total(state: int | None) -> Column:
+        return F.coalesce(F.sum(rows if state is None else F.when(F.col(STATE) == state, rows)), F.lit(0))
+
+    return result.tally.agg(total(None).alias("total_rows"), total(TAKEN).alias("matched_rows"), total(INVALID).alias("invalid_rows"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), *keys)
 
 
 def summary(result: Result, n_files: int) -> dict:
     """The eight counters of a comparison."""
-    by_status = {r["status"]: r["count"] for r in result.classified.groupBy("status").count().collect()}
-    seen = result.counters.agg(F.sum("total"), F.sum("matched"), F.sum("invalid")).first()
+    row = summed(result).first()
     return {
         "files": n_files,
-        "totalRowsScanned": seen[0] or 0,
-        "matchedRows": seen[1] or 0,
-        "identicalKeys": by_status.get("identical", 0),
-        "changedKeys": by_status.get("changed", 0),
-        "missingKeys": by_status.get("missing", 0),
-        "duplicateKeys": by_status.get("duplicate", 0),
-        "invalidRows": seen[2] or 0,
+        "totalRowsScanned": row["total_rows"],
+        "matchedRows": row["matched_rows"],
+        "identicalKeys": row["identical_keys"],
+        "changedKeys": row["changed_keys"],
+        "missingKeys": row["missing_keys"],
+        "duplicateKeys": row["duplicate_keys"],
+        "invalidRows": row["invalid_rows"],
     }
 
 
-def enforce(result: Result, versions: list[Version], spec: dict) -> None:
-    """Limits on scanned rows and cells, and the policy that forbids duplicate keys."""
-    limits = spec.get("resources") or {}
-    seen = result.counters.agg(F.sum("total"), F.sum("cells")).first()
-    for code, name, value in (("ROW_LIMIT_EXCEEDED", "maxRows", seen[0]), ("CELL_LIMIT_EXCEEDED", "maxCells", seen[1])):
-        if name in limits and (value or 0) > limits[name]:
+def within(limits: dict, rows: int, cells: int) -> None:
+    """Limits on scanned rows and cells."""
+    for code, name, value in (("ROW_LIMIT_EXCEEDED", "maxRows", rows), ("CELL_LIMIT_EXCEEDED", "maxCells", cells)):
+        if name in limits and value > limits[name]:
             raise LimitError(code, f"comparison exceeds resources.{name}")
+
+
+def enforce(result: Result, spec: dict) -> None:
+    """Limits on scanned rows and cells and on the bytes of one key's rows, and the policy that forbids duplicate keys."""
+    limits = spec.get("resources") or {}
+    if "maxRows" in limits or "maxCells" in limits:
+        row = summed(result).first()
+        within(limits, row["total_rows"], row["cells"])
+    if "maxPartitionBytes" in limits and SIZE in result.tally.columns:
+        largest = result.tally.where(F.col(STATE) == TAKEN).agg(F.max(SIZE)).first()[0] or 0
+        if largest > limits["maxPartitionBytes"]:
+            raise LimitError("HOT_KEY_TOO_LARGE", "single key exceeds resources.maxPartitionBytes")
     if spec.get("duplicateKeyPolicy") == "fail" and result.duplicates is not None:
         first = result.duplicates.limit(1).collect()
         if first:

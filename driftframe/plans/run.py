@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import threading
+import time
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InputError, LimitError, tagged
+from ..errors import DriftError, InputError, LimitError, tagged
 from ..operators import diff, profile
-from ..sinks.report import write_report
-from ..sources import xlsx
+from ..sinks import report
+from ..sinks.report import encoded
+from ..sources import store, xlsx
+from ..sources.tables import Version
 from ..streaming.progress import Progress
-from .spec import by_key, load_spec
+from .mapping import resolve
+from .spec import load_spec
 
 
 def input_bytes(files: list[dict]) -> int:
@@ -26,63 +33,150 @@ def input_bytes(files: list[dict]) -> int:
 
 
 class Deadline:
-    """Cancels the session's running jobs once the time is over."""
+    """Ends a run once its time is over: check() raises, and the run's own jobs are cancelled, by their tag.
 
-    def __init__(self, spark: SparkSession, milliseconds: int):
-        self.over = False
-        self.spark = spark
-        self.timer = threading.Timer(milliseconds / 1000, self._end)
-        self.timer.daemon = True
+    Jobs of others in the same session go on.  The timer strikes again each second, as a job may begin after it."""
 
-    def _end(self) -> None:
-        self.over = True
-        self.spark.sparkContext.cancelAllJobs()
+    def __init__(self, spark: SparkSession, milliseconds: float, clock=time.monotonic):
+        self.context, self.clock = spark.sparkContext, clock
+        self.seconds = milliseconds / 1000
+        self.tag = f"driftframe-{uuid.uuid4().hex}"
+        self.ended, self.late = threading.Event(), False
 
-    def __enter__(self):
-        self.timer.start()
-        return self
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self.ended.wait(min(wait, threading.TIMEOUT_MAX)):
+            self.late = True
+            self.context.cancelJobsWithTag(self.tag)
+            wait = 1.0
 
-    def __exit__(self, kind, error, trace):
-        self.timer.cancel()
+    @property
+    def over(self) -> bool:
+        return self.late or self.clock() - self.began > self.seconds
+
+    def check(self) -> None:
         if self.over:
-            raise LimitError("RUNTIME_LIMIT_EXCEEDED", "comparison exceeds resources.maxRuntimeMs") from error
+            raise LimitError("RUNTIME_LIMIT_EXCEEDED", "comparison exceeds resources.maxRuntimeMs")
 
+    def __enter__(self):
+        self.began = self.clock()
+        self.context.addJobTag(self.tag)
+        threading.Thread(target=self._watch, daemon=True).start()
+        return self
 
-def check_hot_keys(result: diff.Result, limit: int) -> None:
-    """No single key may hold more bytes than a partition may: sizes by key, the largest only comes here."""
-    largest = result.classified.select(F.max(F.length(F.to_json(F.struct(*result.classified.columns))))).first()[0] or 0
-    if largest > limit:
-        raise LimitError("HOT_KEY_TOO_LARGE", "comparison exceeds resources.maxPartitionBytes")
+    def __exit__(self, kind, error, trace):
+        self.ended.set()
+        self.context.removeJobTag(self.tag)
+        if isinstance(error, Exception) and not isinstance(error, LimitError) and "cancel" in str(error).lower():
+            self.check()
 
 
-def compare_spec(spark: SparkSession, spec: dict, progress: Progress | None = None) -> tuple[dict, diff.Result]:
-    """Reads the workbooks of a spec, compares them and writes the report; returns the published summary."""
+def stored(spark: SparkSession, spec: dict, deadline: Deadline, folder: str, progress: Progress | None) -> list[Version]:
+    """Parses each workbook once, the baseline first, into a table of the shared folder; limits are checked after each."""
+    limits = spec["resources"]
+    out: dict[str, Version] = {}
+    rows = cells = size = 0
+    for f in sorted(spec["files"], key=lambda f: f["id"] != spec["baseline"]):
+        deadline.check()
+        version = xlsx.version(spark, f["id"], f["path"], spec["sheet"]["name"], spec["sheet"]["headerRow"])
+        if not out:
+            resolve(version.headers, spec, version.id, None)  # the baseline's mapping errors come first
+        table = store.written(version.frame, f"{folder}/scan")
+        deadline.check()
+        seen = table.agg(F.count("*"), F.coalesce(F.sum("cell_count"), F.lit(0))).first()
+        rows, cells, size = rows + seen[0], cells + seen[1], size + store.bytes_of(table)
+        if progress:
+            progress.scanned(f["id"], seen[0], size)
+        diff.within(limits, rows, cells)
+        if size > limits["maxTempBytes"]:
+            raise LimitError("TEMP_LIMIT_EXCEEDED", "temporary data exceeds resources.maxTempBytes")
+        out[f["id"]] = version._replace(frame=table)
+    return [out[f["id"]] for f in spec["files"]]
+
+
+def hash_first(result: diff.Result, limit: int):
+    """Bytes that put keys in the order of their hashes: the first byte, and the whole hash in a part beyond the limit."""
+    tally = result.tally.where(F.col(diff.STATE) == diff.TAKEN)
+    wide: set[int] = set()
+    if (tally.agg(F.sum(diff.SIZE)).first()[0] or 0) > limit:
+
+        @F.pandas_udf("int")
+        def part(keys: pd.Series) -> pd.Series:
+            return pd.Series([hashlib.sha256(encoded(report._rows(k)).encode("utf-8", "surrogatepass")).digest()[0] for k in keys])
+
+        sizes = tally.withColumn("__key", result.key).groupBy(part(report.as_json("__key")).alias("part")).agg(F.sum(diff.SIZE).alias("n"))
+        wide = {r["part"] for r in sizes.where(F.col("n") > limit).collect()}  # 256 parts at most
+
+    def first(text: str) -> bytes:
+        code = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+        return code if code[0] in wide else code[:1]
+
+    return first
+
+
+def compare_with(spark: SparkSession, spec: dict, sink, progress: Progress | None = None, keep_temp: bool = False, clock=time.monotonic, by_hash: bool = True) -> dict:
+    """Reads the workbooks of a spec and compares them; details go to the sink.  Returns the summary.
+
+    by_hash: keys come in the order of their hashes' first byte and then of their encodings (within a part that
+    exceeds maxPartitionBytes, of their whole hashes); else by encoding alone.  The scanned tables are removed at
+    the end unless keep_temp asks for them; then tempDirectory, in the summary or on the error, names their folder."""
     limits = spec["resources"]
-    if input_bytes(spec["files"]) > limits["maxInputBytes"]:
-        raise LimitError("INPUT_LIMIT_EXCEEDED", "comparison exceeds resources.maxInputBytes")
+    folder = f"compare-{uuid.uuid4().hex}"
+    whole = f"{store.shared_folder(spark)}/{folder}"
+    cached = None
     try:
-        with Deadline(spark, limits["maxRuntimeMs"]):
-            versions = [xlsx.version(spark, f["id"], f["path"], spec["sheet"]["name"], spec["sheet"]["headerRow"]) for f in spec["files"]]
+        with Deadline(spark, limits["maxRuntimeMs"], clock) as deadline:
+            if input_bytes(spec["files"]) > limits["maxInputBytes"]:
+                raise LimitError("INPUT_LIMIT_EXCEEDED", "comparison exceeds resources.maxInputBytes")
+            versions = stored(spark, spec, deadline, folder, progress)
             result = diff.compare(versions, spec)
-            result = result._replace(counters=result.counters.cache(), classified=result.classified.cache())
-            if progress:
-                by_file = {r["file"]: r["total"] for r in result.counters.collect()}
-                for i in sorted(by_file, key=lambda i: i != spec["baseline"]):
-                    progress.scanned(i, by_file[i])
-            diff.enforce(result, versions, spec)
-            if by_key(spec):
-                check_hot_keys(result, limits["maxPartitionBytes"])
+            cached = result.tally.persist()
+            result = result._replace(tally=cached)
+            deadline.check()
+            diff.enforce(result, spec)
+            deadline.check()
             summary = diff.summary(result, len(versions))
-            return write_report(spec, result, summary), result
+            deadline.check()
+            first = hash_first(result, limits["maxPartitionBytes"]) if by_hash else None
+            report.emit(result, [f["id"] for f in spec["files"]], sink, deadline.check, first, by_place=by_hash)
+            deadline.check()
+            if progress:
+                progress.finish(spec["baseline"])
+            return summary | ({"tempDirectory": whole} if keep_temp else {})
     except Exception as e:
-        known = tagged(e)
-        if known:
-            raise known from None
+        known = e if isinstance(e, DriftError) else tagged(e)
+        if keep_temp:
+            try:
+                (known or e).temp_directory = whole
+            except AttributeError:
+                pass
+        if known is None or known is e:
+            raise
+        raise known from None
+    finally:
+        if cached is not None:
+            cached.unpersist()
+        if keep_temp:
+            store.keep(whole)
+        else:
+            store.remove(spark, whole)
+            store.keep(whole)
+
+
+def compare_spec(spark: SparkSession, spec: dict, progress: Progress | None = None, keep_temp: bool = False, clock=time.monotonic) -> dict:
+    """Compares the workbooks of a spec and writes the report; a failure publishes a FAILED summary.  Returns the summary."""
+    writer = report.ReportWriter(spec["output"]["directory"], [f["id"] for f in spec["files"]], spec["mode"].get("type", "key"))
+    try:
+        summary = compare_with(spark, spec, writer, progress, keep_temp, clock, by_hash=False)
+        kept = {k: summary.pop(k) for k in list(summary) if k == "tempDirectory"}
+        return writer.complete(summary) | kept
+    except BaseException as e:
+        writer.abort(e)
         raise
 
 
-def compare_path(spark: SparkSession, path: str, progress: Progress | None = None) -> dict:
-    return compare_spec(spark, load_spec(path), progress)[0]
+def compare_path(spark: SparkSession, path: str, progress: Progress | None = None, keep_temp: bool = False) -> dict:
+    return compare_spec(spark, load_spec(path), progress, keep_temp)
 
 
 def resolve_files(paths: list[str]) -> list[str]:

@@ -7,7 +7,7 @@ import os
 
 from ..errors import SpecError
 
-#: The filter operators and the defaults of the resource limits.
+#: Fixed values, as all field names of a spec below: the filter operators and the defaults of the resource limits.
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "notIn", "contains", "startsWith", "endsWith", "isNull", "isNotNull", "between")
 RESOURCES = {
     "maxFiles": 16,

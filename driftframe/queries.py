@@ -9,13 +9,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.cells import Typed, to_cell
-from .functions.filters import predicate
 from .operators import diff, profile
-from .plans.spec import OPERATORS, rule_for
+from .plans.spec import OPERATORS
 from .sinks.report import encoded, safe_text
 from .sources.tables import from_frame
 
@@ -68,10 +67,7 @@ def key_diff_status(spark, sf_dir):
 
 
 def key_diff_summary(spark, sf_dir):
-    r = orders_diff(spark, sf_dir)
-    seen = r.counters.agg(F.sum("total").alias("total_rows"), F.sum("matched").alias("matched_rows"), F.sum("invalid").alias("invalid_rows"))
-    keys = r.classified.agg(*(F.count_if(F.col("status") == s).alias(f"{s}_keys") for s in ("identical", "changed", "missing", "duplicate")))
-    return seen.join(keys)
+    return diff.summed(orders_diff(spark, sf_dir)).drop("cells")
 
 
 def key_diff_changed_cells(spark, sf_dir):
@@ -129,7 +125,27 @@ def row_diff(spark, sf_dir):
     b = a.where("s_suppkey % 40 <> 0")
     spec = {"baseline": "A", "mode": {"type": "row"}, "compareColumns": "*", "filters": [], "columnAliases": {}, "normalization": {"columns": {}}, "duplicateKeyPolicy": "report"}
     r = diff.compare([from_frame("A", a, order_by=["s_suppkey"]), from_frame("B", b, order_by=["s_suppkey"])], spec)
-    return r.classified.select(F.col("__row").alias("row_number"), F.col("f0.c0").alias("base_key"), F.col("f1.c0").alias("other_key"), "status")
+    keys = r.aligned.select(F.col("__row").alias("r"), F.col("f0.c0").alias("base_key"), F.col("f1.c0").alias("other_key"))
+    return r.classified.join(keys, F.col("__row") == F.col("r")).select(F.col("__row").alias("row_number"), "base_key", "other_key", "status")
+
+
+def row_diff_large(spark, sf_dir):
+    """A wide table of many rows, numbered by a unique order, against one without its every 500th order and with others altered."""
+    numbers = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    a = table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(numbers))
+    b = a.where("l_orderkey % 500 <> 499").withColumn("l_tax", F.when(F.col("l_partkey") % 7 == 0, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    spec = {"baseline": "A", "mode": {"type": "row"}, "compareColumns": "*", "filters": [], "columnAliases": {}, "normalization": {"columns": {}}, "duplicateKeyPolicy": "report"}
+    r = diff.compare([from_frame("A", a, order_by=["l_orderkey", "place"]), from_frame("B", b.repartition(7), order_by=["l_orderkey", "place"])], spec)
+    return r.classified.groupBy("status").agg(F.count("*").alias("n"), F.sum("__row").alias("row_sum"))
+
+
+def filter_two(spark, sf_dir):
+    """Two filters before a key diff; both reach the scans."""
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    b = a.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    filters = [{"column": "o_orderstatus", "operator": "eq", "value": "F"}, {"column": "o_totalprice", "operator": "between", "values": [50000, 250000]}]
+    r = diff.frames(spark, {"A": a, "B": b}, {"baseline": "A", "mode": {"type": "key", "keyColumns": ["o_orderkey"]}, "filters": filters})
+    return r.classified.select(F.col("v0").alias("k"), "n0", "n1", "status")
 
 
 def multiset_diff(spark, sf_dir):
@@ -171,9 +187,8 @@ def filtered(spark, sf_dir, name: str, key: str, column: str, f: dict) -> DataFr
     """Keys of the rows that pass a filter, through the comparison's own scan."""
     frame = table(spark, sf_dir, name).select(key, column)
     spec = {"baseline": "A", "mode": {"type": "row"}, "compareColumns": "*", "filters": [f | {"column": column}], "columnAliases": {}, "normalization": {"columns": {}}}
-    scan, columns = diff.prepare(from_frame("A", frame), spec, None)
-    cell = diff.cell_of(scan, column)
-    return scan.frame.where(predicate(cell, spec["filters"][0], rule_for(spec, column))).select(F.col(diff.value_name(columns.index(key))).alias("k"))
+    scan, _ = diff.prepare(from_frame("A", frame), spec, None)
+    return scan.source.where(scan.keeps).select(scan.cells[key].value.alias("k"))
 
 
 def filter_date_ordered(spark, sf_dir):
@@ -199,7 +214,7 @@ def inspect_empty_ratio(spark, sf_dir):
 
 def inspect_key_candidates(spark, sf_dir):
     version = from_frame("customer", table(spark, sf_dir, "customer").withColumn("__n", F.col("c_custkey") + 2), row_column="__n")
-    return profile.key_candidates(profile.profile(version, sample_rows=1000)).select(F.col("header").alias("col"), F.col("sampled_rows").alias("n"))
+    return profile.key_candidates(profile.profile(version)).select(F.col("header").alias("col"), F.col("sampled_rows").alias("n"))
 
 
 def key_sha256(spark, sf_dir):
@@ -223,18 +238,12 @@ def begun(text):
 
 
 def csv_safe_text(spark, sf_dir):
-    text = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), safe(begun(text)).alias("safe"))
-
-
-def csv_safe_whole_text(spark, sf_dir):
-    """Whole texts with all their characters.  Without SQL, which doesn't write JSON's escapes this way."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), safe(begun(F.col("text"))).alias("safe"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (key_diff_status, key_diff_summary, key_diff_changed_cells, key_diff_missing, key_diff_duplicates, key_diff_three_way, key_diff_composite, key_diff_tolerance, key_diff_normalized, key_diff_invalid_keys, row_diff, multiset_diff, column_alias_mapping, filter_date_ordered, inspect_types, inspect_empty_ratio, inspect_key_candidates, key_sha256, csv_safe_text, csv_safe_whole_text)
+    for f in (key_diff_status, key_diff_summary, key_diff_changed_cells, key_diff_missing, key_diff_duplicates, key_diff_three_way, key_diff_composite, key_diff_tolerance, key_diff_normalized, key_diff_invalid_keys, row_diff, row_diff_large, multiset_diff, column_alias_mapping, filter_date_ordered, filter_two, inspect_types, inspect_empty_ratio, inspect_key_candidates, key_sha256, csv_safe_text)
 }
 assert set(FILTERS) == set(OPERATORS)
 for _op, (_table, _key, _column, _operand, _) in FILTERS.items():
@@ -264,16 +273,24 @@ CASE WHEN c_custkey % 19 <> 0 AND c_custkey % 23 = 0 THEN 'duplicate' WHEN c_cus
     "key_diff_invalid_keys": "SELECT 'A' AS file, count(*) AS total, count(*) AS matched, CAST(0 AS BIGINT) AS invalid FROM supplier UNION ALL SELECT 'B', count(*), count(*) FILTER (WHERE s_suppkey % 4 <> 0), count(*) FILTER (WHERE s_suppkey % 4 = 0) FROM supplier",
     "row_diff": """WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) + 1 AS r, s_suppkey AS k, s_acctbal AS v FROM supplier), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) + 1 AS r, s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 40 <> 0)
 SELECT coalesce(a.r, b.r) AS row_number, a.k AS base_key, b.k AS other_key, CASE WHEN a.r IS NULL OR b.r IS NULL THEN 'missing' WHEN a.k IS DISTINCT FROM b.k OR a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'identical' END AS status FROM a FULL JOIN b ON a.r = b.r""",
+    "row_diff_large": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS place FROM lineitem),
+a AS (SELECT row_number() OVER (ORDER BY l_orderkey, place) + 1 AS r, * FROM n),
+b AS (SELECT row_number() OVER (ORDER BY l_orderkey, place) + 1 AS r, * REPLACE (CASE WHEN l_partkey % 7 = 0 THEN l_tax + 1 ELSE l_tax END AS l_tax) FROM n WHERE l_orderkey % 500 <> 499),
+j AS (SELECT coalesce(a.r, b.r) AS r, CASE WHEN a.r IS NULL OR b.r IS NULL THEN 'missing' WHEN (a.l_orderkey, a.l_partkey, a.l_suppkey, a.l_linenumber, a.l_quantity, a.l_extendedprice, a.l_discount, a.l_tax, a.l_returnflag, a.l_linestatus, a.l_shipdate, a.place) IS DISTINCT FROM (b.l_orderkey, b.l_partkey, b.l_suppkey, b.l_linenumber, b.l_quantity, b.l_extendedprice, b.l_discount, b.l_tax, b.l_returnflag, b.l_linestatus, b.l_shipdate, b.place) THEN 'changed' ELSE 'identical' END AS status FROM a FULL JOIN b ON a.r = b.r)
+SELECT status, count(*) AS n, CAST(sum(r) AS BIGINT) AS row_sum FROM j GROUP BY status""",
+    "filter_two": """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 50000 AND 250000),
+b AS (SELECT * FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS p FROM orders WHERE o_orderstatus = 'F') WHERE p BETWEEN 50000 AND 250000)
+SELECT coalesce(a.k, b.k) AS k, CAST((a.k IS NOT NULL)::INT AS BIGINT) AS n0, CAST((b.k IS NOT NULL)::INT AS BIGINT) AS n1, CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'missing' WHEN a.p <> b.p THEN 'changed' ELSE 'identical' END AS status FROM a FULL JOIN b ON a.k = b.k""",
     "multiset_diff": "WITH g AS (SELECT event_type, user_id % 20 AS u, count(*) AS n_a, count(*) FILTER (WHERE event_id % 50 <> 0) AS n_b FROM events GROUP BY ALL) SELECT event_type, u, n_a, n_b, 'DELETED' AS baselineRelation FROM g WHERE n_a <> n_b",
     "column_alias_mapping": "SELECT n_nationkey AS k, CASE WHEN n_name <> upper(n_name) THEN 'changed' ELSE 'identical' END AS status FROM nation",
     "filter_date_ordered": "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'",
     "inspect_types": _types_sql(),
     "inspect_empty_ratio": f"SELECT tab, col, blanks / n AS ratio FROM ({_types_sql()})",
-    "inspect_key_candidates": """WITH f AS (SELECT * FROM customer WHERE c_custkey + 2 <= 1001), m AS (
+    "inspect_key_candidates": """WITH f AS (SELECT * FROM customer WHERE c_custkey + 2 <= 10001), m AS (
 """
     + " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count({c}) AS filled, count(DISTINCT {c}) AS d FROM f" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
     + ") SELECT col, n FROM m WHERE n > 0 AND filled = n AND d = n",
     "key_sha256": """SELECT n_nationkey AS k, sha256('[["string","' || n_name || '"]]') AS digest FROM nation""",
-    "csv_safe_text": """WITH t AS (SELECT doc_id AS k, ['=', '+', '-', '@', 'json:', ''][CAST(doc_id % 6 + 1 AS INT)] || regexp_replace(substring(text, 1, 40), '[^A-Za-z ]', '', 'g') AS x FROM documents)
-SELECT k, CASE WHEN regexp_matches(x, '^([=+@\\t\\r\\n-]|json:)') THEN 'json:"' || x || '"' ELSE x END AS safe FROM t""",
+    "csv_safe_text": """WITH t AS (SELECT doc_id AS k, ['=', '+', '-', '@', 'json:', ''][CAST(doc_id % 6 + 1 AS INT)] || text AS x FROM documents)
+SELECT k, CASE WHEN regexp_matches(x, '^([=+@\\t\\r\\n-]|json:)') THEN 'json:' || CAST(to_json(x) AS VARCHAR) ELSE x END AS safe FROM t""",
 }

@@ -8,6 +8,8 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +63,23 @@ def encoded(cells) -> str:
     return js_json([typed(c) for c in cells])
 
 
-def ordered(df: DataFrame, cells: str, *more: str) -> DataFrame:
-    """Sorted by the encoding of a column of cells, by UTF-16 code units, then by other columns."""
+def ordered(df: DataFrame, cells: str, *more: str, first=None) -> DataFrame:
+    """Sorted by the encoding of a column of cells, by UTF-16 code units, then by other columns.
+
+    first: bytes that come before the encoding, as a function of the encoded text."""
 
     @F.pandas_udf("binary")
     def code_units(keys):
         import pandas as pd
 
-        return pd.Series([encoded(_rows(k)).encode("utf-16-be", "surrogatepass") for k in keys])
+        texts = [encoded(_rows(k)) for k in keys]
+        return pd.Series([(first(x) if first else b"") + x.encode("utf-16-be", "surrogatepass") for x in texts])
+
+    return df.withColumn("__order", code_units(as_json(cells))).orderBy("__order", *more)
 
-    return df.withColumn("__order", code_units(F.to_json(F.struct(F.col(cells).alias("k")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}))).orderBy("__order", *more)
+
+def as_json(cells: str):
+    return F.to_json(F.struct(F.col(cells).alias("k")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"})
 
 
 def _rows(text: str):
@@ -111,20 +120,21 @@ class ReportWriter:
         for name, head in heads.items():
             self.files[name].write(csv_line(head))
 
-    def changed(self, row) -> None:
-        cells = [(typed(row[f"file{i}"]["value"]), row[f"file{i}"]["row"]) for i in range(len(self.ids))]
-        values = [x for cell, number in cells for x in (safe_value(untyped(cell)), safe_text(cell[0]), number)]
-        self.files["changed"].write(csv_line([display_key([typed(k) for k in row["key"]]), safe_text(row["sheet"]), safe_text(row["column"]), *values]))
+    def changed(self, item: dict) -> None:
+        values = [x for f in item["files"].values() for x in (safe_value(untyped(f["value"])), safe_text(f["value"][0]), f["rowNumber"])]
+        self._line("changed", [display_key(item["key"]), safe_text(item["sheetName"]), safe_text(item["column"]), *values])
+
+    def missing(self, item: dict) -> None:
+        self._line("missing", [display_key(item["key"]), safe_text(item["sheetName"]), js_json(item["presentFiles"]), js_json(item["missingFiles"]), item["baselineRelation"]])
 
-    def missing(self, row) -> None:
-        self.files["missing"].write(csv_line([display_key([typed(k) for k in row["key"]]), safe_text(row["sheet"]), js_json(list(row["presentFiles"])), js_json(list(row["missingFiles"])), row["baselineRelation"]]))
+    def duplicate(self, item: dict) -> None:
+        self._line("duplicates", [display_key(item["key"]), js_json(item["files"])])
 
-    def duplicate(self, row) -> None:
-        self.files["duplicates"].write(csv_line([display_key([typed(k) for k in row["key"]]), js_json(list(row["files"]))]))
+    def multiset(self, item: dict) -> None:
+        self._line("multiset", [safe_value([untyped(v) for v in item["values"]]), safe_text(item["sheetName"]), *item["counts"].values(), item["baselineRelation"]])
 
-    def multiset(self, row) -> None:
-        values = [untyped(typed(v)) for v in row["values"]]
-        self.files["multiset"].write(csv_line([safe_value(values), safe_text(row["sheet"]), *(row[f"count{i}"] for i in range(len(self.ids))), row["baselineRelation"]]))
+    def _line(self, name: str, values: list) -> None:
+        self.files[name].write(csv_line(values))
 
     def complete(self, summary: dict) -> dict:
         for f in self.files.values():
@@ -145,7 +155,8 @@ class ReportWriter:
             code = "DISK_FULL"
         if not isinstance(code, str) or not re.fullmatch("[A-Z][A-Z0-9_]*", code):
             code = "INTERNAL_ERROR"
-        return self._publish({"status": "FAILED", "code": code, "message": "comparison failed"})
+        kept = getattr(error, "temp_directory", None)
+        return self._publish({"status": "FAILED", "code": code, "message": "comparison failed"} | ({"tempDirectory": kept} if kept else {}))
 
     def _publish(self, summary: dict) -> dict:
         import json
@@ -166,16 +177,49 @@ class ReportWriter:
             name = run_id()
 
 
-def write_report(spec: dict, result, summary: dict) -> dict:
-    """All report files of a result, in the order of their keys; rows stream through the driver, not its memory."""
-    ids = [f["id"] for f in spec["files"]]
-    writer = ReportWriter(spec["output"]["directory"], ids, spec["mode"].get("type", "key"))
-    try:
-        for df, key, more, write in ((result.changed, "key", ("column",), writer.changed), (result.missing, "key", (), writer.missing), (result.duplicates, "key", (), writer.duplicate), (result.multiset, "values", (), writer.multiset)):
-            if df is not None:
-                for row in ordered(df, key, *more).toLocalIterator():
-                    write(row)
-        return writer.complete(summary)
-    except BaseException as e:
-        writer.abort(e)
-        raise
+class Sink(NamedTuple):
+    """Callables for the details of a comparison, each called with one item; those that are None aren't called."""
+
+    changed: Callable[[dict], None] | None = None
+    missing: Callable[[dict], None] | None = None
+    duplicate: Callable[[dict], None] | None = None
+    multiset: Callable[[dict], None] | None = None
+
+
+def items_of(result, ids: list[str]):
+    """(sink's field, frame, its key column, other columns to sort by, function from a row to an item)."""
+
+    def cells(values) -> list:
+        return [typed(x) for x in values]
+
+    def change(row) -> dict:
+        files = {x: {"value": typed(row[f"file{i}"]["value"]), "rowNumber": row[f"file{i}"]["row"]} for i, x in enumerate(ids)}
+        return {"key": cells(row["key"]), "sheetName": row["sheet"], "column": row["column"], "files": files}
+
+    def miss(row) -> dict:
+        return {"key": cells(row["key"]), "sheetName": row["sheet"], "presentFiles": list(row["presentFiles"]), "missingFiles": list(row["missingFiles"]), "baselineRelation": row["baselineRelation"]}
+
+    def double(row) -> dict:
+        return {"key": cells(row["key"]), "files": list(row["files"])}
+
+    def counted(row) -> dict:
+        return {"values": cells(row["values"]), "sheetName": row["sheet"], "counts": {x: row[f"count{i}"] for i, x in enumerate(ids)}, "baselineRelation": row["baselineRelation"]}
+
+    yield "changed", result.changed, "key", ("column",), change
+    yield "missing", result.missing, "key", (), miss
+    yield "duplicate", result.duplicates, "key", (), double
+    yield "multiset", result.multiset, "values", (), counted
+
+
+def emit(result, ids: list[str], sink, check=lambda: None, first=None, by_place: bool = False) -> None:
+    """Hands every detail to the sink, in the order of the keys' encodings; rows stream through the driver, not its memory.
+
+    check is called after each item; an error of a sink passes unchanged.  first: see ordered().  by_place: the cells
+    of a key come in the order of the columns, not of their names."""
+    for field, df, key, more, item in items_of(result, ids):
+        take = getattr(sink, field)
+        if df is None or take is None:
+            continue
+        for row in ordered(df, key, *(["place"] if more and by_place else more), first=first).toLocalIterator():
+            take(item(row))
+            check()

@@ -7,8 +7,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 ROW = "__row"
 CELLS = "__cells"
+PART, PLACE = "__df_part", "__df_place"
 
 
 class Version(NamedTuple):
@@ -25,8 +28,8 @@ def from_frame(file_id: str, frame: DataFrame, order_by: list[str] | None = None
     """A DataFrame as a version.
 
     Rows are numbered from 2 (a header takes row 1) in the order of order_by, which must be unique for a stable
-    result, or by an existing row_column.  The numbering is global and so takes one sorted pass; key and
-    multiset comparisons need none."""
+    result, or by an existing row_column.  The numbering is global and so takes one sorted pass, which is run here;
+    key and multiset comparisons need none."""
     names = [x for x in frame.columns if x != row_column]
     if row_column:
         frame = frame.withColumn(ROW, F.col(row_column).cast("long"))
@@ -40,13 +43,18 @@ def from_frame(file_id: str, frame: DataFrame, order_by: list[str] | None = None
 def numbered(frame: DataFrame, order_by: list[str]) -> DataFrame:
     """Row numbers over a range-partitioned sort: counts of the partitions before are added to local ranks.
 
-    No row passes through a single task."""
-    ordered = frame.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    ordered = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id())
-    counts = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__seq").alias("__first"))
-    before = counts.select(F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    joined = ordered.join(before, F.col("__part") == F.col("__p"))
-    return joined.withColumn(ROW, F.col("__before") + F.col("__seq") - F.col("__first") + 2).drop("__part", "__seq", "__p", "__first", "__before")
+    The sorted rows, with their partition and their place in it, are written once: both the counts and the rows
+    are read from that one table, so they can't disagree.  No row passes through a single task; what is broadcast
+    has one row for each partition of the sort."""
+    spark = frame.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    dealt = written(dealt.withColumns({PART: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}), "numbered")
+    counts = dealt.groupBy(F.col(PART).alias("__df_of")).agg(F.count("*").alias("n"), F.min(PLACE).alias("__df_first"))
+    earlier = Window.orderBy("__df_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__df_of", "__df_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__df_before"))
+    joined = dealt.join(F.broadcast(before), F.col(PART) == F.col("__df_of"), "left")
+    return joined.withColumn(ROW, F.col("__df_before") + F.col(PLACE) - F.col("__df_first") + 2).drop(PART, PLACE, "__df_of", "__df_first", "__df_before")
 
 
 def from_parquet(spark: SparkSession, file_id: str, path: str, **how) -> Version:

@@ -1,15 +1,18 @@
 """XLSX sheets as rows of typed cells, read as a stream from the zip container.
 
-``read_rows`` is plain Python.  ``scan`` distributes it: workbooks come through Spark's binary files, so any store
-that Spark reads will do, one task each (a zip member can't be split), and only the wanted columns leave it.
+``scan`` distributes the reading: workbooks come through Spark's binary files, so any store that Spark reads will do,
+one task each (a zip member can't be split), and only the wanted columns leave it.  A task holds the workbook's file
+(2 GB at most), one row of its sheet, and its shared strings in compressed blocks.
 """
 
 from __future__ import annotations
 
 import datetime
 import io
+import json
 import re
 import zipfile
+import zlib
 from posixpath import join, normpath
 from typing import NamedTuple
 from xml.etree.ElementTree import iterparse
@@ -110,6 +113,41 @@ class Sheet(NamedTuple):
     path: str
 
 
+class Strings:
+    """Texts by number in little memory: compressed in blocks, of which the latest read are open."""
+
+    BLOCK, OPEN = 2048, 64
+
+    def __init__(self, texts):
+        self.blocks: list[bytes] = []
+        self.n = 0
+        self.open: dict[int, list[str]] = {}
+        block: list[str] = []
+        for text in texts:
+            block.append(text)
+            self.n += 1
+            if len(block) == self.BLOCK:
+                self._close(block)
+                block = []
+        if block:
+            self._close(block)
+
+    def _close(self, block: list[str]) -> None:
+        self.blocks.append(zlib.compress(json.dumps(block).encode(), 1))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < self.n:
+            raise ValueError("no such shared string")
+        number, place = divmod(i, self.BLOCK)
+        block = self.open.pop(number, None)
+        if block is None:
+            block = json.loads(zlib.decompress(self.blocks[number]))
+            if len(self.open) >= self.OPEN:
+                del self.open[next(iter(self.open))]
+        self.open[number] = block  # the latest last
+        return block[place]
+
+
 class Workbook:
     """An open workbook: catalogue of sheets, shared strings, date formats."""
 
@@ -124,18 +162,26 @@ class Workbook:
                 self.sheets.append(Sheet(element.get("name"), element.get("state") or "visible", relations.get(element.get(REL + "id"), "")))
             elif local(element.tag) == "workbookPr":
                 self.epoch_1904 = element.get("date1904") in ("1", "true")
-        self.strings: list[str] | None = None
+        self.strings: Strings | None = None
         self.date_styles: list[bool] | None = None
 
     def open(self, name: str):
         return self.zip.open(self.names[name])
 
-    def elements(self, name: str):
+    def elements(self, name: str, forget: tuple[str, ...] = ()):
+        """Elements as they end.  Those of the names to forget, and what is in them, leave the tree once they were used."""
         if name not in self.names:
             return
         with self.open(name) as f:
-            for _, element in iterparse(f):
+            parents = []
+            for event, element in iterparse(f, ("start", "end")):
+                if event == "start":
+                    parents.append(element)
+                    continue
+                parents.pop()
                 yield element
+                if parents and local(element.tag) in forget:
+                    parents[-1].remove(element)
 
     def relations(self, part: str) -> list[tuple[str, str, str]]:
         folder, _, name = part.rpartition("/")
@@ -148,14 +194,10 @@ class Workbook:
                 out.append((x.get("Id"), target, x.get("TargetMode") or ""))
         return out
 
-    def shared_strings(self) -> list[str]:
+    def shared_strings(self) -> Strings:
         """Texts of the shared strings (runs of rich text joined, phonetic hints left out)."""
         if self.strings is None:
-            self.strings = []
-            for x in self.elements("xl/sharedStrings.xml"):
-                if local(x.tag) == "si":
-                    self.strings.append(text_of(x))
-                    x.clear()
+            self.strings = Strings(text_of(x) for x in self.elements("xl/sharedStrings.xml", ("si",)) if local(x.tag) == "si")
         return self.strings
 
     def dates(self) -> list[bool]:
@@ -180,7 +222,7 @@ class Workbook:
         targets = {rid: target for rid, target, mode in self.relations(sheet.path) if mode == "External"}
         if not targets:
             return {}
-        return {x.get("ref"): (targets[x.get(REL + "id")], x.get("tooltip")) for x in self.elements(sheet.path) if local(x.tag) == "hyperlink" and x.get(REL + "id") in targets}
+        return {x.get("ref"): (targets[x.get(REL + "id")], x.get("tooltip")) for x in self.elements(sheet.path, ("row",)) if local(x.tag) == "hyperlink" and x.get(REL + "id") in targets}
 
 
 def text_of(element) -> str:
@@ -205,25 +247,23 @@ class SheetReader:
         book, links = self.book, self.book.hyperlinks(self.sheet)
         masters: dict[str, tuple[str, int, int, str]] = {}
         row_number = 0
-        with book.open(self.sheet.path) as f:
-            for _, element in iterparse(f):
-                name = local(element.tag)
-                if name == "mergeCell":
-                    self.merges += 1
-                elif name == "row":
-                    row_number = int(element.get("r") or row_number + 1)
-                    cells, column = {}, 0
-                    for c in element:
-                        if local(c.tag) != "c":
-                            continue
-                        if c.get("r"):
-                            column, _ = split_reference(c.get("r"))
-                        else:
-                            column += 1
-                        cells[column] = self.cell(c, column, row_number, masters, links)
-                    element.clear()
-                    masters = {k: v for k, v in masters.items() if split_reference(v[3].rpartition(":")[2])[1] > row_number}
-                    yield row_number, cells
+        for element in book.elements(self.sheet.path, ("row",)):
+            name = local(element.tag)
+            if name == "mergeCell":
+                self.merges += 1
+            elif name == "row":
+                row_number = int(element.get("r") or row_number + 1)
+                cells, column = {}, 0
+                for c in element:
+                    if local(c.tag) != "c":
+                        continue
+                    if c.get("r"):
+                        column, _ = split_reference(c.get("r"))
+                    else:
+                        column += 1
+                    cells[column] = self.cell(c, column, row_number, masters, links)
+                masters = {k: v for k, v in masters.items() if split_reference(v[3].rpartition(":")[2])[1] > row_number}
+                yield row_number, cells
 
     def cell(self, c, column: int, row: int, masters: dict, links: dict) -> Cell:
         parts = {local(x.tag): x for x in c}

@@ -1,7 +1,14 @@
+import hashlib
 import io
+import itertools
 import json
 import os
+import random
+import re
+import shutil
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +18,12 @@ from driftframe.errors import DriftError, InputError, SpecError, UsageError
 from driftframe.functions.cells import js_json, number_text, print_value
 from driftframe.functions.filters import date_literal, literal
 from driftframe.operators import diff
-from driftframe.plans import mapping
+from driftframe.plans import mapping, run
 from driftframe.plans.spec import check_operands, check_spec, rule_for
-from driftframe.sinks.report import csv_cell, display_key, safe_text, safe_value
-from driftframe.sources import xlsx
+from driftframe.queries import orders_diff
+from driftframe.sinks.report import Sink, csv_cell, display_key, safe_text, safe_value
+from driftframe.sources import store, xlsx
+from driftframe.sources.tables import from_frame
 
 from .workbooks import write
 
@@ -93,7 +102,7 @@ def test_multiset(spark):
 def test_duplicate_policy_is_value_free(spark):
     r = compare_frames(spark, [("secret", "a"), ("secret", "b")], [("x", "a")])
     with pytest.raises(DriftError) as e:
-        diff.enforce(r, [], {"duplicateKeyPolicy": "fail"})
+        diff.enforce(r, {"duplicateKeyPolicy": "fail"})
     assert e.value.code == "DUPLICATE_KEY" and "secret" not in str(e.value)
 
 
@@ -143,7 +152,7 @@ def test_safe_text_of_whole_documents(spark, tmp_path):
     for i, t in rows:
         whole = None if t is None else ["=", "+", "-", "@", "json:", ""][i % 6] + t
         want[i] = whole if whole is None or whole[:1] not in list("=+-@\t") and whole[:5] != "json:" else "json:" + json.dumps(whole, ensure_ascii=False)
-    assert dict(map(tuple, entry.queries()["csv_safe_whole_text"](spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, entry.queries()["csv_safe_text"](spark, str(tmp_path)).collect())) == want
 
 
 def test_usage():
@@ -159,9 +168,246 @@ def test_entry(spark):
     assert entry.queries()["filter_between"](spark, SF).count() > 0
 
 
-def test_numbered_rows(spark):
-    from driftframe.sources.tables import from_frame
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbered_rows(spark, adaptive):
+    """Every row of a large, wide and skewed table gets its own number, whatever the partitioning."""
+    n = 3_000_000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        frame = spark.range(0, n, 1, 9).select((F.lit(n - 1) - F.col("id")).alias("id"), *(F.concat(F.lit("x" * 20), F.col("id").cast("string")).alias(f"c{i}") for i in range(4)))
+        got = from_frame("A", frame.where("id % 7 <> 3 or id > 100"), order_by=["id"]).frame
+        small = from_frame("B", frame.where("id < 100"), order_by=["id"]).frame
+        left_out = sum(i % 7 == 3 for i in range(101))
+        row = got.where("id > 100").agg(F.count("*"), F.count_if(F.col("__row") != F.col("id") + 2 - left_out), F.max("__row"), F.count_if(F.col("c3").isNull())).first()
+        assert tuple(row) == (n - 101, 0, n + 1 - left_out, 0)
+        assert got.count() == n - left_out and got.select("__row").distinct().count() == n - left_out
+        assert [r[0] for r in small.orderBy("id").select("__row").collect()] == list(range(2, 102))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_row_diff_of_a_table_with_itself_dealt_differently(spark):
+    frame = spark.range(0, 200_000, 1, 5).select("id", (F.col("id") * 3).alias("x"))
+    spec = {"baseline": "A", "mode": {"type": "row"}, "compareColumns": "*", "filters": [], "columnAliases": {}, "normalization": {"columns": {}}, "duplicateKeyPolicy": "report"}
+    r = diff.compare([from_frame("A", frame, order_by=["id"]), from_frame("B", frame.repartition(11), order_by=["id"])], spec)
+    assert {x["status"]: x["count"] for x in r.classified.groupBy("status").count().collect()} == {"identical": 200_000}
+
+
+def plan_of(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_plans(spark):
+    """Filters reach the scans; classification is a hash aggregation with one exchange."""
+    q = entry.queries()
+    assert "EqualTo(o_orderstatus,F)" in plan_of(q["filter_eq"](spark, SF))
+    assert "GreaterThanOrEqual(o_orderdate" in plan_of(q["filter_date_ordered"](spark, SF))
+    assert "LessThanOrEqual(o_totalprice,150000.0)" in plan_of(q["filter_between"](spark, SF))
+    assert "Not(EqualTo(o_orderstatus,F))" in plan_of(q["filter_ne"](spark, SF))
+    two = plan_of(q["filter_two"](spark, SF))
+    assert two.count("EqualTo(o_orderstatus,F)") >= 2 and "LessThanOrEqual(o_totalprice,250000.0)" in two
+    status = plan_of(orders_diff(spark, SF).classified)
+    assert "SortAggregate" not in status and len(set(re.findall(r"\(\d+\) Exchange", status))) == 1
+    summed = plan_of(diff.summed(orders_diff(spark, SF)))
+    assert "SortAggregate" not in summed and summed.count("hashpartitioning") <= 2
+
+
+def test_filters_that_fail_come_after_those_that_leave_a_row_out(spark):
+    a = [("1", "x"), ("2", "y")]
+    frame = spark.createDataFrame(a, "id string, x string").withColumn("d", F.lit("2026-01-01").cast("date"))
+    mode = {"baseline": "A", "mode": {"type": "key", "keyColumns": ["id"]}}
+    bad = {"column": "d", "operator": "eq", "value": "no date"}
+    none = {"column": "x", "operator": "eq", "value": "z"}
+    r = diff.frames(spark, {"A": frame, "B": frame}, mode | {"filters": [none, bad]})
+    assert r.classified.count() == 0 and diff.summary(r, 2)["totalRowsScanned"] == 4
+    r = diff.frames(spark, {"A": frame, "B": frame}, mode | {"filters": [bad, none]})
+    with pytest.raises(Exception, match="FILTER_INVALID"):
+        r.classified.collect()
+
+
+def test_filters_of_mixed_types(spark):
+    rows = [("1", 1.0, True, "A "), ("2", None, None, ""), ("3", 3.0, False, None), ("4", -0.0, True, "b")]
+    frame = spark.createDataFrame(rows, "id string, n double, t boolean, s string")
+
+    def ids(**f):
+        spec = {"baseline": "A", "mode": {"type": "key", "keyColumns": ["id"]}, "filters": [f], "normalization": {"columns": {"s": {"trim": True, "caseSensitive": False, "emptyEqualsNull": True}, "n": {"numericTolerance": 0.5} if f["operator"] in ("ne", "eq") else {}}}}
+        return sorted(x["v0"] for x in diff.frames(spark, {"A": frame, "B": frame}, spec).classified.collect())
+
+    assert ids(column="n", operator="eq", value=0) == ["4"] and ids(column="n", operator="ne", value=0.6) == ["2", "3", "4"]
+    assert ids(column="n", operator="notIn", values=[1, None]) == ["3", "4"] and ids(column="n", operator="in", values=[1, None, "x"]) == ["1", "2"]
+    assert ids(column="n", operator="ne", value="x") == ["1", "2", "3", "4"] and ids(column="n", operator="gt", value="x") == []
+    assert ids(column="t", operator="eq", value=True) == ["1", "4"] and ids(column="t", operator="gte", value=True) == []
+    assert ids(column="s", operator="eq", value="a") == ["1"] and ids(column="s", operator="isNull") == ["2", "3"] and ids(column="s", operator="ne", value=None) == ["1", "4"]
+    assert ids(column="s", operator="contains", value="B") == ["4"]
+
+
+def test_hash_of_rows_tells_nulls_apart(spark):
+    r = compare_frames(spark, [("1", "a", None), ("2", None, None)], [("1", None, "a"), ("2", None, None)], "id string, x string, y string")
+    assert {x["v0"]: x["status"] for x in r.classified.collect()} == {"1": "changed", "2": "identical"}
+    assert [(x["column"], x["file0"]["value"]["str"]) for x in r.changed.orderBy("place").collect()] == [("x", "a"), ("y", None)]
+
+
+def test_aliases_by_matching():
+    def mapped(texts, names, aliases):
+        try:
+            return mapping.map_columns(mapping.headers_of(texts), names, aliases)
+        except InputError as e:
+            return str(e)
+
+    # brute force over small alias graphs: the only perfect matching, or none
+    for seed in range(400):
+        rng = random.Random(seed)
+        n = rng.randint(1, 4)
+        texts, names = [f"h{i}" for i in range(n)], [f"n{i}" for i in range(rng.randint(1, 4))]
+        aliases = {x: [h for h in texts if rng.random() < 0.5] for x in names}
+        open_names = [x for x in names if aliases[x]]
+        used = {h for x in open_names for h in aliases[x]}
+        forced = {x for x in open_names if len(aliases[x]) == 1 and sum(aliases[x][0] in aliases[y] for y in open_names) == 1}
+        rest, left = [x for x in open_names if x not in forced], used - {aliases[x][0] for x in forced}
+        solutions = [p for p in itertools.permutations(sorted(left)) if len(rest) == len(left) and all(h in aliases[x] for x, h in zip(rest, p, strict=True))]
+        got = mapped(texts, names, aliases)
+        if len(rest) != len(left) or rest and len(solutions) != 1:
+            assert isinstance(got, str), (aliases, got)
+        else:
+            assert got == {x: texts.index(aliases[x][0]) + 1 for x in forced} | ({x: texts.index(h) + 1 for x, h in zip(rest, solutions[0], strict=True)} if rest else {})
+    assert mapped(["x", "y"], ["p"], {"p": ["x", "y"]}) == "multiple source columns map to standard column p"
+    assert mapped(["x"], ["p", "q"], {"p": ["x"], "q": ["x"]}) == "source column x maps to multiple standard columns"
+    wide = [f"n{i}" for i in range(60)]
+    assert "maps to multiple" in mapped([f"h{i}" for i in range(60)], wide, {x: [f"h{i}" for i in range(60)] for x in wide})
+
+
+def test_shared_strings_stay_compressed():
+    texts = [f"text {i} é" for i in range(10_000)]
+    strings = xlsx.Strings(iter(texts))
+    assert [strings[i] for i in (0, 9_999, 2047, 2048, 5)] == [texts[i] for i in (0, 9_999, 2047, 2048, 5)]
+    with pytest.raises(ValueError):
+        strings[10_000]
+
+
+@pytest.fixture()
+def books(tmp_path):
+    write(tmp_path / "a.xlsx", [["id", "name"], ["1", "before"], ["2", "deleted"], ["4", "duplicate"]])
+    write(tmp_path / "b.xlsx", [["id", "name"], ["1", "after"], ["3", "added"], ["4", "duplicate"], ["4", "again"]])
+
+    def of(**more):
+        return check_spec(spec(**more), str(tmp_path))
+
+    return of
+
+
+def code_of(k):
+    return hashlib.sha256(json.dumps([["string", k]], separators=(",", ":")).encode()).digest()
+
+
+class Collected:
+    def __init__(self):
+        self.changed_, self.missing_, self.duplicate_ = [], [], []
+        self.sink = Sink(changed=self.changed_.append, missing=self.missing_.append, duplicate=self.duplicate_.append)
+
+
+def test_callbacks(spark, books):
+    c = Collected()
+    summary = run.compare_with(spark, books(), c.sink)
+    assert summary == {"files": 2, "totalRowsScanned": 7, "matchedRows": 7, "identicalKeys": 0, "changedKeys": 1, "missingKeys": 2, "duplicateKeys": 1, "invalidRows": 0}
+    assert c.changed_ == [{"key": [["string", "1"]], "sheetName": "data", "column": "name", "files": {"A": {"value": ["string", "before"], "rowNumber": 2}, "B": {"value": ["string", "after"], "rowNumber": 2}}}]
+    assert [(x["key"][0][1], x["baselineRelation"]) for x in c.missing_] == sorted([("3", "ADDED"), ("2", "DELETED")], key=lambda x: code_of(x[0]))
+    assert c.duplicate_ == [{"key": [["string", "4"]], "files": ["B"]}]
+    counts = []
+    run.compare_with(spark, books(mode={"type": "multiset"}, compareColumns=["name"]), Sink(multiset=counts.append))
+    assert {x["values"][0][1]: x["counts"] for x in counts}["again"] == {"A": 0, "B": 1}
+
+    class Stop(Exception):
+        pass
+
+    def stop(item):
+        raise Stop
+
+    with pytest.raises(Stop):
+        run.compare_with(spark, books(), Sink(missing=stop))
+
+
+def test_groups_come_in_the_order_of_their_hashes(spark, tmp_path):
+    keys = [str(i) for i in range(60)]
+    write(tmp_path / "a.xlsx", [["id", "x"], *([k, "x" * 80] for k in keys)])
+    write(tmp_path / "b.xlsx", [["id", "x"]])
+
+    def order(limit):
+        c = Collected()
+        run.compare_with(spark, check_spec(spec(resources={"maxPartitionBytes": limit}), str(tmp_path)), c.sink)
+        return [x["key"][0][1] for x in c.missing_]
+
+    assert order(1_000_000) == sorted(keys, key=lambda k: (code_of(k)[0], k))
+    assert order(450) == sorted(keys, key=code_of)  # no part of two keys fits
+
+
+def test_limits_and_failed_summaries(spark, books, tmp_path):
+    def failed(clock=None, **more):
+        out = books(**more)
+        before = set(os.listdir(tmp_path / "out")) if (tmp_path / "out").exists() else set()
+        with pytest.raises(Exception) as e:
+            run.compare_spec(spark, out, **({"clock": clock} if clock else {}))
+        (new,) = set(os.listdir(tmp_path / "out")) - before
+        said = json.loads((tmp_path / "out" / new / "summary.json").read_text())
+        assert os.listdir(tmp_path / "out" / new) == ["summary.json"] and said["status"] == "FAILED" and said["code"] == e.value.code
+        return e.value.code
+
+    assert failed(resources={"maxRows": 3}) == "ROW_LIMIT_EXCEEDED" and failed(resources={"maxCells": 8}) == "CELL_LIMIT_EXCEEDED"
+    assert failed(resources={"maxTempBytes": 10}) == "TEMP_LIMIT_EXCEEDED" and failed(resources={"maxInputBytes": 10}) == "INPUT_LIMIT_EXCEEDED"
+    assert failed(resources={"maxPartitionBytes": 300}) == "HOT_KEY_TOO_LARGE"  # three rows of key 4, not one of them alone
+    assert failed(duplicateKeyPolicy="fail") == "DUPLICATE_KEY" and failed(compareColumns=["none"]) == "COLUMN_MISSING"
+    assert failed(sheet={"name": "none", "headerRow": 1}) == "SHEET_NOT_FOUND"
+    for at in range(1, 9):  # over at each of the checks
+        ticks = itertools.count()
+        assert failed(clock=lambda t=ticks, a=at: 1e9 if next(t) >= a else 0.0, resources={"maxRuntimeMs": 100_000}) == "RUNTIME_LIMIT_EXCEEDED"
+
 
-    frame = spark.range(100).select((F.lit(99) - F.col("id")).alias("id"))
-    got = from_frame("A", frame, order_by=["id"]).frame.orderBy("id").select("__row").collect()
-    assert [r[0] for r in got] == list(range(2, 102))
+def test_runtime_is_checked_after_each_item_and_cancels_its_own_jobs_only(spark, books):
+    now = [0.0]
+
+    def late(item):
+        now[0] = 1e9
+
+    with pytest.raises(DriftError) as e:
+        run.compare_with(spark, books(), Sink(missing=late), clock=lambda: now[0])
+    assert e.value.code == "RUNTIME_LIMIT_EXCEEDED"
+    slow = F.pandas_udf("long")(_slow)
+    with pytest.raises(DriftError) as e, run.Deadline(spark, 500):
+        spark.range(4).select(slow("id")).collect()
+    assert e.value.code == "RUNTIME_LIMIT_EXCEEDED"
+    assert spark.range(5).count() == 5
+
+
+def _slow(ids: pd.Series) -> pd.Series:
+    time.sleep(8)
+    return ids
+
+
+def test_progress_and_kept_tables(spark, tmp_path):
+    for name in ("a", "b"):
+        write(tmp_path / f"{name}.xlsx", [["id", "name"], *([str(i), f"name-{i}"] for i in range(1001))])
+    (tmp_path / "spec.json").write_text(json.dumps(spec()))
+    out, err = io.StringIO(), io.StringIO()
+    assert main(["compare", "--keep-temp", "--progress", "--spec", str(tmp_path / "spec.json")], spark, out, err) == 0, err.getvalue()
+    events = [json.loads(x) for x in err.getvalue().splitlines()]
+    assert [(e["rowsScanned"], e["currentFile"]) for e in events] == [(1000, "A"), (2000, "B"), (2002, "B")]
+    assert 0 < events[0]["bytesWritten"] < events[2]["bytesWritten"] and "name-" not in err.getvalue()
+    kept = json.loads(out.getvalue())["tempDirectory"]
+    assert len(os.listdir(kept.removeprefix("file:"))) == 2
+    shutil.rmtree(kept.removeprefix("file:"))
+    err = io.StringIO()
+    (tmp_path / "bad.json").write_text(json.dumps(spec(resources={"maxRows": 5})))
+    assert main(["compare", "--keep-temp", "--spec", str(tmp_path / "bad.json")], spark, io.StringIO(), err) == 5
+    said = json.loads(err.getvalue())
+    assert said["code"] == "ROW_LIMIT_EXCEEDED" and os.listdir(said["tempDirectory"].removeprefix("file:"))
+    shutil.rmtree(said["tempDirectory"].removeprefix("file:"))
+
+
+def test_tables_go_when_they_are_dropped(spark):
+    before = store.mark()
+    one, two = (store.written(spark.range(3), "t") for _ in range(2))
+    store.drop_since(before, two)
+    assert store.mark() - before == {two._written_path} and two.count() == 3 and store.bytes_of(two) > 0
+    store.drop(two)
+    assert store.mark() == before
