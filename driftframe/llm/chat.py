@@ -2,7 +2,8 @@
 
 Turns are collected as structs, sorted, merged where neighbours have the same role (array aggregation) and
 concatenated.  A conversation is collected in two steps, first by blocks of 64 turns: a conversation with a
-great share of all turns reaches its one row as a few formatted blocks, not as turns.
+great share of all turns reaches its one row as a few formatted blocks, not as turns.  Every step takes time in
+proportion to a conversation's length.
 
 Template, for each run of turns of one role: ``<|turn|>`` role ``<|text|>`` text ``<|next|>`` text ... ``<|end|>``.
 Inside roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``; this is undone exactly.
@@ -34,72 +35,106 @@ def cut(text: Column, mark: str) -> Column:
     return F.split(text, "\\Q" + mark + "\\E")
 
 
-def concatenated(parts: Column) -> Column:
-    """Joins structs (first role, last role, body) into one: a run goes on where roles meet, else a new one begins."""
-    start = F.struct(F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"), F.lit("").alias("body"))
+def joined(parts: Column) -> Column:
+    """Joins structs (first role, last role, body) into one: a run goes on where roles meet, else a new one begins.
 
-    def add(done: Column, part: Column) -> Column:
-        between = F.when(done["last"].isNull(), F.lit("")).when(done["last"] == part["first"], F.lit(NEXT)).otherwise(F.concat(F.lit(STOP + TURN), part["first"], F.lit(TEXT)))
-        return F.struct(F.coalesce(done["first"], part["first"]).alias("first"), part["last"].alias("last"), F.concat(done["body"], between, part["body"]).alias("body"))
+    Each body is copied once."""
 
-    return F.aggregate(parts, start, add)
+    def piece(part: Column, i: Column) -> Column:
+        before = F.get(parts, i - 1)["last"]
+        return F.when(i == 0, part["body"]).when(before == part["first"], F.concat(F.lit(NEXT), part["body"])).otherwise(F.concat(F.lit(STOP + TURN), part["first"], F.lit(TEXT), part["body"]))
+
+    return F.struct(F.element_at(parts, 1)["first"].alias("first"), F.element_at(parts, -1)["last"].alias("last"), F.array_join(F.transform(parts, piece), "").alias("body"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted: one row for each conversation."""
     rows = turns.select("conv_id", "turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
     blocks = rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    blocks = blocks.select("conv_id", "block", concatenated(F.transform("turns", lambda t: F.struct(t["role"].alias("first"), t["role"].alias("last"), t["text"].alias("body")))).alias("run"))
+    blocks = blocks.select("conv_id", "block", F.transform("turns", lambda t: F.struct(t["role"].alias("first"), t["role"].alias("last"), t["text"].alias("body"))).alias("parts"))
+    blocks = blocks.select("conv_id", "block", joined(F.col("parts")).alias("run"))
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "run"))).alias("blocks"))
-    whole = whole.select("conv_id", concatenated(F.transform("blocks", lambda b: b["run"])).alias("run"))
+    whole = whole.select("conv_id", F.transform("blocks", lambda b: b["run"]).alias("parts"))
+    whole = whole.select("conv_id", joined(F.col("parts")).alias("run"))
     return whole.select("conv_id", F.concat(F.lit(TURN), F.col("run.first"), F.lit(TEXT), F.col("run.body"), F.lit(STOP)).alias("formatted"))
 
 
 def runs_of(formatted: Column) -> Column:
-    """The runs as written, without their marks: role ``<|text|>`` texts."""
+    """Array of (role, texts), both as written: the formatted string is split at its marks, each once."""
     runs = F.filter(cut(formatted, STOP), lambda run: run != "")
-    return F.transform(runs, lambda run: F.substr(run, F.lit(len(TURN) + 1)))
+    sides = F.transform(runs, lambda run: cut(F.substr(run, F.lit(len(TURN) + 1)), TEXT))
+    return F.transform(sides, lambda side: F.struct(side[0].alias("role"), cut(side[1], NEXT).alias("texts")))
 
 
-def turns_of(formatted: Column) -> Column:
-    """Array of (role, text) read back from the formatted string."""
-    return F.flatten(
-        F.transform(
-            runs_of(formatted),
-            lambda run: F.transform(cut(cut(run, TEXT)[1], NEXT), lambda text: F.struct(unescape(cut(run, TEXT)[0]).alias("role"), unescape(text).alias("text"))),
-        )
-    )
+def turns_of(runs: Column) -> Column:
+    """Array of (role, text), unescaped, of the runs read back."""
+    named = F.transform(runs, lambda run: F.struct(unescape(run["role"]).alias("role"), run["texts"].alias("texts")))
+    return F.flatten(F.transform(named, lambda run: F.transform(run["texts"], lambda text: F.struct(run["role"].alias("role"), unescape(text).alias("text")))))
+
+
+#: Entries that are added up at once for offsets.
+RADIX = 64
+
+
+def total(array: Column, first: Column, n: Column | int) -> Column:
+    return F.aggregate(F.slice(array, first, n), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def loss_spans(formatted: Column) -> Column:
-    """Array of (start from 0, length): the code points of the formatted string that are learned."""
+def block_sums(array: Column) -> Column:
+    """The sums of every RADIX entries."""
+    blocks = F.ceil(F.size(array) / F.lit(RADIX)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), lambda b: total(array, b * RADIX + 1, RADIX))
+
+
+def before_each(lengths: Column, sums: list[Column]) -> Column:
+    """The sum of the entries before each entry, from the block sums of each level: some RADIX additions a level."""
+
+    def before(_: Column, i: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for level, array in enumerate([lengths, *sums]):
+            place = F.floor(i / F.lit(RADIX**level)).cast("int")
+            first = place - place % RADIX if level < len(sums) else F.lit(0)
+            out = out + total(array, first + 1, place - first)
+        return out
+
+    return F.transform(lengths, before)
+
+
+def loss_spans(formatted: DataFrame) -> DataFrame:
+    """conv_id, formatted, __spans: (start from 0, length) of the code points of the formatted string that are learned."""
+    rows = formatted.select("conv_id", "formatted", runs_of(F.col("formatted")).alias("__runs"))
+    head = len(TURN) + len(TEXT)
     pieces = F.flatten(
         F.transform(
-            runs_of(formatted),
+            "__runs",
             lambda run: F.transform(
-                cut(cut(run, TEXT)[1], NEXT),
+                run["texts"],
                 lambda text, i: F.struct(
-                    F.when(i == 0, F.length(cut(run, TEXT)[0]) + len(TURN) + len(TEXT)).otherwise(len(NEXT)).alias("before"),
-                    F.length(text).alias("length"),
-                    (unescape(cut(run, TEXT)[0]) == LEARNED).alias("learned"),
-                    F.when(i == F.size(cut(cut(run, TEXT)[1], NEXT)) - 1, len(STOP)).otherwise(0).alias("after"),
+                    F.when(i == 0, F.length(run["role"]) + head).otherwise(len(NEXT)).cast("long").alias("before"),
+                    F.length(text).cast("long").alias("length"),
+                    (unescape(run["role"]) == LEARNED).alias("learned"),
+                    F.when(i == F.size(run["texts"]) - 1, len(STOP)).otherwise(0).cast("long").alias("after"),
                 ),
             ),
         )
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def add(done: Column, piece: Column) -> Column:
-        span = F.array(F.struct((done["at"] + piece["before"]).cast("int").alias("start"), piece["length"].cast("int").alias("length")))
-        return F.struct((done["at"] + piece["before"] + piece["length"] + piece["after"]).cast("int").alias("at"), F.when(piece["learned"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
-
-    return F.aggregate(pieces, start, add, lambda done: done["spans"])
+    rows = rows.select("conv_id", "formatted", pieces.alias("__pieces"))
+    rows = rows.withColumn("__lengths", F.transform("__pieces", lambda p: p["before"] + p["length"] + p["after"]))
+    for level in range(1, 4):  # a column for each level, so that none is computed for each piece
+        below = "__lengths" if level == 1 else f"__sums{level - 1}"
+        rows = rows.withColumn(f"__sums{level}", block_sums(F.col(below)))
+    at = before_each(F.col("__lengths"), [F.col(f"__sums{i}") for i in range(1, 4)])
+    rows = rows.withColumn("__at", at)
+    spans = F.filter(F.transform(F.arrays_zip("__pieces", "__at"), lambda x: F.struct((x["__at"] + x["__pieces"]["before"]).alias("start"), x["__pieces"]["length"].alias("length"), x["__pieces"]["learned"].alias("learned"))), lambda x: x["learned"])
+    return rows.select("conv_id", "formatted", F.transform(spans, lambda x: F.struct(x["start"], x["length"])).alias("__spans"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted strings: turns, and the text under the loss mask."""
-    read = formatted.withColumns({"__turns": turns_of(F.col("formatted")), "__spans": loss_spans(F.col("formatted"))})
-    read = read.withColumn("__loss", F.array_join(F.transform("__spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"]))), ""))
+    read = formatted.select("conv_id", "formatted", runs_of(F.col("formatted")).alias("__runs"))
+    read = read.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns_of(F.col("__runs")).alias("__turns"))
+    learned = F.transform(F.filter("__turns", lambda t: t["role"] == LEARNED), lambda t: t["text"])
+    read = read.withColumn("__loss", F.array_join(learned, ""))
     said = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -107,7 +142,7 @@ def digest(formatted: DataFrame) -> DataFrame:
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length("__loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("__loss").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
 
 

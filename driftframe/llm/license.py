@@ -1,29 +1,34 @@
 """License scans by Spark expressions only.
 
-Templates are license notices.  A text is cut into overlapping windows, one set for each size class of the
-templates: a window has twice the class's words and the next begins half a window later, so an occurrence of a
-template lies in a window.  The share of the template's five-word shingles that the window holds must be
-0.75 or more.
-
-Retrieval loses nothing: of a template's shingles so many are its keys that the others are too few for 0.75,
-so a window that matches holds a key.  Windows meet templates by their keys, and the pairs are verified exactly.
-Before that, each template has cue words that leave too few shingles for 0.75 when they are absent, so a text,
-and a window, without any cue can't match.
+Templates are license notices.  A text is cut into overlapping windows, one set for each length class of the
+templates: a window is about as long as the templates of its class and the next begins a quarter of the class
+later, so every place of a whole template lies in a window.  A template is found where a window holds 0.75 of
+its five-word shingles or more.
+
+Retrieval is by MinHash bands of one row.  From the sizes of a class's windows and of a template follows the
+least Jaccard similarity J that 0.75 containment allows; the number of bands is the least for which a match
+collides in none with a probability below ``MISS`` ((1 - J) ^ bands, checked for each template).  A template of
+a single shingle, whose J would be low, is retrieved by that shingle itself.  What collides is verified by exact
+shingle containment.  Before all that, each template has cue words that leave too few shingles for 0.75 when they
+are absent, so a text, and a window, without any cue can't match.
 
 Words are runs of ASCII letters and digits, in lower case.  Null and empty texts match nothing; every text
-that matches gives one row for each license; rows repeated in documents count once (by id and text); a null
-doc_id is kept; extra columns are ignored.
+that matches gives one row for each license; rows repeated in documents count once (by id); windows that tie give
+one row; a null doc_id is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 NEED, OF = 75, 100
+#: The probability, at most, that a window which holds a template collides with it in no band.
+MISS = 1e-9
 
 #: Public license notices by SPDX-like name.
 TEMPLATES = {
@@ -69,57 +74,88 @@ def cues_of(templates: dict[str, str]) -> list[str]:
 
 
 def size_class(text: str) -> int:
-    """The least power of two of words that holds the template, 8 at least."""
-    return 1 << max(3, (len(words_of(text)) - 1).bit_length())
+    """The least of 8, 12, 16, 24, 32, 48 ... words that holds the template."""
+    n, size = len(words_of(text)), 8
+    while size < n:
+        size = size * 3 // 2 if size & (size - 1) == 0 else size * 4 // 3
+    return size
+
+
+def step_of(size: int) -> int:
+    return size // 4
+
+
+def window_of(size: int) -> int:
+    """Words of a window: at any place, so many words lie in the window that begins a step before or less."""
+    return size + step_of(size) - 1
+
+
+def least_similarity(text: str) -> float:
+    """The least Jaccard similarity of the template with a window that holds 0.75 of it."""
+    n = len(shingles_of(text))
+    need = -(-NEED * n // OF)
+    return need / (n + window_of(size_class(text)) - SHINGLE + 1 - need)
+
+
+def bands_of(text: str) -> int:
+    """Bands after which a match is missed with a probability below MISS; none for a template of one shingle."""
+    if len(shingles_of(text)) == 1:
+        return 0
+    return math.ceil(math.log(MISS) / math.log1p(-least_similarity(text)))
 
 
-def keys_of(text: str) -> list[str]:
-    """Shingles of which every occurrence of the template with 0.75 of its shingles holds one: the longest ones."""
-    shingles = shingles_of(text)
-    need = -(-NEED * len(shingles) // OF)
-    return sorted(shingles, key=lambda s: (-len(s), s))[: len(shingles) - need + 1]
+def signature(shingles: Column, bands: Column | int) -> Column:
+    """The least hash of the shingles in each band."""
+    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+    numbers = F.sequence(F.lit(1), F.lit(bands) if isinstance(bands, int) else bands)
+    return F.transform(numbers, lambda i: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i))))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, size, shingles, keys: as large as the templates given, whatever the corpus."""
-    rows = [(name, size_class(text), shingles_of(text), keys_of(text)) for name, text in templates.items()]
-    return spark.createDataFrame(rows, "license string, size int, shingles array<string>, keys array<string>")
+    """license, size, shingles, values to be retrieved by: as large as the templates given, whatever the corpus."""
+    rows = [(name, size_class(text), shingles_of(text), bands_of(text)) for name, text in templates.items()]
+    table = spark.createDataFrame(rows, "license string, size int, shingles array<string>, bands int")
+    values = F.when(F.col("bands") == 0, F.transform("shingles", lambda s: F.xxhash64(s))).otherwise(signature(F.col("shingles"), F.greatest("bands", F.lit(1))))
+    return table.withColumn("values", values)
 
 
 def windows(texts: DataFrame, sizes: list[int], cues: list[str]) -> DataFrame:
-    """key columns, size, window (number), shingles of the windows that hold a cue."""
+    """doc_id, size and shingles of the windows that hold a cue; each window leaves its text as a part of its own."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    rows = texts.withColumn("words", words).withColumn("n", F.size("words"))
-    rows = rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
-    # windows of 2 * size words, one every size words
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("size")).cast("int") - 1)
-    rows = rows.withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.withColumn("part", F.slice("words", F.col("window") * F.col("size") + 1, 2 * F.col("size"))).drop("words", "text")
-    rows = rows.where(F.arrays_overlap("part", F.array(*map(F.lit, cues))))
+    rows = texts.select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    wanted = F.array(*map(F.lit, cues))
+
+    def with_cue(size: int) -> Column:
+        step, width = step_of(size), window_of(size)
+        last = F.greatest(F.lit(0), F.ceil((F.size("words") - width) / F.lit(step)).cast("int"))  # it reaches the end
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i * step + 1, width))
+        parts = F.filter(parts, lambda part: F.arrays_overlap(part, wanted))
+        return F.transform(parts, lambda part: F.struct(F.lit(size).alias("size"), part.alias("part")))
+
+    sets = [with_cue(size) for size in sizes]
+    rows = rows.select("doc_id", F.explode(F.concat(*sets)).alias("w")).select("doc_id", "w.size", "w.part")
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("part") - SHINGLE + 1))
-    return rows.withColumn("shingles", F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("part", i, SHINGLE), " ")))).drop("part", "n")
+    return rows.select("doc_id", "size", F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("part", i, SHINGLE), " "))).alias("shingles"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, matched, total: the best window's shared shingles of each template found in a text."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates)
+    table = template_table(docs.sparkSession, templates)
     cues = cues_of(templates)
     lowered = F.lower("text")
     holds = F.lit(False)
     for cue in cues:
         holds |= F.contains(lowered, F.lit(cue))
-    texts = docs.select("doc_id", "text").where(holds).withColumn("text_hash", F.xxhash64("text"))
-    parts = windows(texts, sorted({size_class(t) for t in templates.values()}), cues)
-    key = ["doc_id", "text_hash", "size", "window"]
-    keys = sorted({k for t in templates.values() for k in keys_of(t)})
-    keyed = parts.select(*key, "shingles", F.explode(F.array_intersect("shingles", F.array(*map(F.lit, keys)))).alias("value"))
-    library = table.select(F.col("license"), F.col("size").alias("t_size"), F.explode("keys").alias("t_value"))
+    parts = windows(docs.select("doc_id", "text").where(holds), sorted({size_class(t) for t in templates.values()}), cues)
+    bands = max(1, *(bands_of(t) for t in templates.values()))
+    values = F.concat(signature(F.col("shingles"), bands), F.transform("shingles", lambda s: F.xxhash64(s)))
+    # the windows' values that are a template's, and from them the templates of the same class
+    known = F.array(*(F.lit(r[0]) for r in table.select(F.explode("values").alias("v")).distinct().orderBy("v").collect()))
+    keyed = parts.select("doc_id", "size", "shingles", F.explode(F.array_intersect(values, known)).alias("value"))
+    library = table.select("license", F.col("size").alias("t_size"), F.col("shingles").alias("wanted"), F.explode("values").alias("t_value"))
     met = keyed.join(F.broadcast(library), (F.col("size") == F.col("t_size")) & (F.col("value") == F.col("t_value")))
-    retrieved = met.groupBy(*key, "license").agg(F.first("shingles").alias("shingles"))
-    known = table.select(F.col("license").alias("t_license"), F.col("shingles").alias("wanted"))
-    verified = retrieved.join(F.broadcast(known), F.col("license") == F.col("t_license"))
-    verified = verified.withColumns({"matched": F.size(F.array_intersect("wanted", "shingles")).cast("long"), "total": F.size("wanted").cast("long")}).where(OF * F.col("matched") >= NEED * F.col("total"))
+    verified = met.select("doc_id", "license", F.size(F.array_intersect("wanted", "shingles")).cast("long").alias("matched"), F.size("wanted").cast("long").alias("total"))
+    verified = verified.where(OF * F.col("matched") >= NEED * F.col("total"))
     return verified.groupBy("doc_id", "license").agg(F.max("matched").alias("matched"), F.max("total").alias("total"))
 
 
@@ -129,14 +165,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(templates: dict[str, str] = TEMPLATES) -> str:
     """The same by exact containment over all windows."""
-    rows = ", ".join(f"('{name}', {size_class(text)}, [{', '.join(repr(s) for s in shingles_of(text))}])" for name, text in templates.items())
+    rows = ", ".join(f"('{name}', {size_class(text)}, {step_of(size_class(text))}, {window_of(size_class(text))}, [{', '.join(repr(s) for s in shingles_of(text))}])" for name, text in templates.items())
     return f"""
-WITH templates(license, size, wanted) AS (VALUES {rows}),
+WITH templates(license, size, step, width, wanted) AS (VALUES {rows}),
 texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE text IS NOT NULL),
-sized AS (SELECT doc_id, words, size FROM texts, (SELECT DISTINCT size FROM templates) WHERE len(words) > 0),
-places AS (SELECT doc_id, words, size, unnest(range(greatest(1, CAST(ceil(len(words) / size) AS BIGINT) - 1))) AS place FROM sized),
-parts AS (SELECT doc_id, size, place, list_slice(words, place * size + 1, place * size + 2 * size) AS part FROM places),
-cut AS (SELECT doc_id, size, place, list_transform(range(1, greatest(1, len(part) - {SHINGLE - 1}) + 1), lambda i: array_to_string(list_slice(part, i, i + {SHINGLE - 1}), ' ')) AS shingles FROM parts),
+sized AS (SELECT doc_id, words, size, step, width FROM texts, (SELECT DISTINCT size, step, width FROM templates) WHERE len(words) > 0),
+places AS (SELECT doc_id, words, size, step, width, unnest(range(1 + greatest(0, CAST(ceil((len(words) - width) / step) AS BIGINT)))) AS place FROM sized),
+parts AS (SELECT doc_id, size, list_slice(words, place * step + 1, place * step + width) AS part FROM places),
+cut AS (SELECT doc_id, size, list_transform(range(1, greatest(1, len(part) - {SHINGLE - 1}) + 1), lambda i: array_to_string(list_slice(part, i, i + {SHINGLE - 1}), ' ')) AS shingles FROM parts),
 met AS (SELECT doc_id, license, len(list_intersect(wanted, shingles)) AS matched, len(wanted) AS total FROM cut JOIN templates USING (size))
 SELECT doc_id, license, max(matched) AS matched, max(total) AS total FROM met WHERE {OF} * matched >= {NEED} * total GROUP BY doc_id, license
 """

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -179,6 +180,24 @@ def test_chat(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_of_a_very_long_conversation(spark):
+    """100,000 turns: time in proportion to their number, and spans that hold the learned texts."""
+    n = 100_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn") + F.col("id"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    turns = turns.toDF("conv_id", "turn", "role", "text")
+    began = time.time()
+    (r,) = chat.digest(chat.format_conversations(turns)).collect()
+    assert time.time() - began < 60
+    learned = "".join(f"é<|{i}" for i in range(0, n, 3))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(learned), sha(learned))
+    (s,) = chat.loss_spans(chat.format_conversations(turns)).collect()
+    said = "".join(s.formatted[x.start : x.start + x.length] for x in s["__spans"])
+    assert said.replace("<\\|", "<|") == learned and r.formatted_chars == len(s.formatted)
+    few = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", "t" * i) for i in range(5)], "conv_id long, turn long, role string, text string")
+    (s,) = chat.loss_spans(chat.format_conversations(few)).collect()
+    assert [s.formatted[x.start : x.start + x.length] for x in s["__spans"]] == ["t", "ttt"]
+
+
 def test_quality(docs, none):
     got = quality.judged(docs, PIECE)
     assert got.count() == len(TEXTS) and set(docs.columns) <= set(got.columns)
@@ -200,20 +219,37 @@ def test_license(spark, none):
     assert license.scan(none).count() == 0
 
 
-def test_license_retrieves_all_that_the_exact_check_accepts(spark):
-    """Every template, whole and with 0.75 of its shingles, at any place between words of its own."""
+def test_license_retrieves_all_that_the_exact_check_accepts(spark, tmp_path):
+    """Every template, whole and with 0.75 of its shingles, at any place between words of its own; against the SQL."""
+    import duckdb
+
     texts, want = [], set()
     for name, text in license.TEMPLATES.items():
         shingles, whole = license.shingles_of(text), license.words_of(text)
         need = -(-license.NEED * len(shingles) // license.OF)
-        for part in (whole, whole[: need + 4], whole[-need - 4 :]):
-            for before in range(0, 70, 7):
+        for part in (whole, whole[: need + 4], whole[-need - 4 :], whole[: len(whole) // 2] + ["odd"] + whole[len(whole) // 2 :]):
+            for before in range(0, 50):
                 i = len(texts)
-                around = [f"w{i}x{j}" for j in range(130)]
+                around = [f"w{i}x{j}" for j in range(80)]
                 texts.append((i, " ".join(around[:before] + part + around[before:])))
-                want.add((i, name))
+                if "odd" not in part:
+                    want.add((i, name))
+    texts += [(None, "Released under the MIT License"), (5000, "released UNDER the mit-license " * 40), (5001, "x " * 30_000 + license.TEMPLATES["GPL-grant"])]
     rows = spark.createDataFrame(texts, "doc_id long, text string")
-    assert want <= {(r.doc_id, r.license) for r in license.scan(rows).collect()}
+    got = [tuple(r) for r in license.scan(rows).select("doc_id", "license", "matched", "total").collect()]
+    assert want <= {r[:2] for r in got} and {(None, "MIT-line"), (5000, "MIT-line"), (5001, "GPL-grant")} <= {r[:2] for r in got}
+    rows.write.parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet/*.parquet'")
+    said = con.execute(f"SELECT doc_id, license, matched, total FROM ({license.sql()})").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, said))
+
+
+def test_license_bands_are_enough():
+    for text in license.TEMPLATES.values():
+        n, need = len(license.shingles_of(text)), -(-license.NEED * len(license.shingles_of(text)) // license.OF)
+        assert license.window_of(license.size_class(text)) >= len(license.words_of(text)) + license.step_of(license.size_class(text)) - 1
+        assert n == 1 or (1 - need / (n + license.window_of(license.size_class(text)) - 4 - need)) ** license.bands_of(text) <= license.MISS
 
 
 def test_jaccard(docs, none, monkeypatch):
