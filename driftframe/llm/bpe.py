@@ -3,12 +3,10 @@
 Encoding reads a text in blocks of any size and holds a bounded state:
 
 * The pre-tokeniser cuts the text into pieces.  A piece is final once two later pieces are known, so the
-  last two pieces of a block wait for the next block.
-* Short pieces are merged at once (new ones of a batch of texts together) and remembered in a bounded cache.
-* A piece that grows past ``LONG`` characters goes through :class:`MergeTransducer` byte by byte.  It
-  keeps, for every prefix, the last token of that prefix's encoding.  A token that ends at or before the
-  common ancestor of all states within the merge list's sufficient lookahead can't change any more and
-  is emitted; the state behind it is dropped.
+  last two pieces of a block wait for the next block; one that outgrows a block stays open and is fed on.
+* Every piece goes through the automaton of :mod:`transducer`: new ones of a batch of texts side by side in arrays,
+  those longer than ``LANE`` bytes as a stream, which emits a token once the merge list's sufficient lookahead
+  has passed.  What a short run of pieces gives is remembered in a bounded cache.
 
 Nulls count as empty texts (no token), repeated rows give repeated results, extra columns are ignored.
 """
@@ -27,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
-from .merges import BatchMerger
+from .transducer import Automaton, Stream
 
 #: White space as the pre-tokeniser's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -36,8 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^%s\p{L}\p{N}]+|[%s]+(?
 #: The same cuts, but for those within a run of other characters than white space.
 PIECE = regex.compile(PATTERN)
 COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Characters fed at once; pieces longer than LONG characters are merged by the transducer.
-BLOCK, LONG = 1 << 16, 512
+#: Characters fed at once; bytes of a piece that is read beside others, at most.
+BLOCK, LANE = 1 << 16, 1024
 #: Entries of a worker's cache.
 CACHE = 300_000
 
@@ -66,143 +64,25 @@ class Vocabulary:
         for i, b in raw.items():
             if len(b) == 1:
                 self.single[b[0]] = i
-        #: (left id, right id) -> (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
-        self._merged: dict[bytes, list[int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._suffixes: dict | None = None
-        self._batch: BatchMerger | None = None
+        merges = (pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"])
+        self.automaton = Automaton(self.bytes, self.single, [(ids[left], ids[right], ids[left + right]) for left, right in merges])
         self.unknown = 0  # chunks that found no room in the cache
 
-    def batch(self) -> BatchMerger:
-        if self._batch is None:
-            self._batch = BatchMerger([(*pair, new) for pair, (_, new) in sorted(self.merges.items(), key=lambda x: x[1][0])])
-        return self._batch
-
     def sufficient_lookahead(self) -> int:
-        """Bytes past a prefix after which the merges decide where its last token ends.
-
-        The last token of any longer prefix starts at most this many bytes before that prefix's end, so
-        each later state has one of the states of the last so many bytes as an ancestor."""
-        return max((len(self.bytes[new]) for _, new in self.merges.values()), default=1)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The encoding of a short piece: the lowest rank first, the leftmost of equals."""
-        ids = [self.single[b] for b in piece]
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            left = ids[0]
-            for i in range(1, len(ids)):
-                right = ids[i]
-                found = merges.get((left, right))
-                if found is not None and found[0] < best:
-                    best, at, new = found[0], i - 1, found[1]
-                left = right
-            if at < 0:
-                break
-            ids[at : at + 2] = [new]
-        return ids
-
-    def merge_known(self, piece: bytes) -> list[int]:
-        """merge() with a bounded memory of short pieces."""
-        ids = self._merged.get(piece)
-        if ids is None:
-            ids = self.merge(piece)
-            if len(piece) <= 32:
-                if len(self._merged) >= CACHE:
-                    self._merged.clear()
-                self._merged[piece] = ids
-        return ids
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the two stay apart when their bytes are encoded together."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > CACHE:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
-        return known
-
-    def suffixes(self) -> dict:
-        """Trie of the tokens' bytes read backwards; -1 holds the id of a token that encodes as itself."""
-        if self._suffixes is None:
-            self._suffixes = {}
-            for i in chain(self.single, (new for _, new in self.merges.values())):
-                if self.merge(self.bytes[i]) == [i]:
-                    node = self._suffixes
-                    for b in reversed(self.bytes[i]):
-                        node = node.setdefault(b, {})
-                    node[-1] = i
-        return self._suffixes
-
-
-class MergeTransducer:
-    """Encodes one piece of any length byte by byte and emits tokens as soon as they are stable."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.lookahead = vocabulary.sufficient_lookahead()
-        self.tokens: list[int] = []  # last token of each prefix past the emitted ones
-        self.tail = bytearray()
-        self.before: int | None = None  # the last token emitted
-
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        sizes, trie, tokens, tail = self.v.bytes, self.v.suffixes(), self.tokens, self.tail
-        for b in data:
-            tail.append(b)
-            n = len(tail)
-            node, chosen = trie, None
-            for back in range(1, min(n, self.lookahead) + 1):
-                node = node.get(tail[n - back])
-                if node is None:
-                    break
-                token = node.get(-1)
-                if token is None:
-                    continue
-                before = tokens[n - back - 1] if back < n else self.before
-                if before is None or self.v.compatible(before, token):
-                    chosen = token
-                    break
-            tokens.append(chosen)
-            if n >= 4 * self.lookahead:
-                out += self._stable()
-                tokens, tail = self.tokens, self.tail
+        """Bytes after a token's end that decide whether it stands, at most; from the merge list."""
+        return self.automaton.lookahead
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes of int32."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LANE]
+        if not long:
+            return self.automaton.encode(pieces)
+        out = self.automaton.encode([b"" if len(p) > LANE else p for p in pieces])
+        for i in long:
+            stream = Stream(self.automaton)
+            out[i] = np.array(stream.feed(pieces[i]) + stream.finish(), "<i4").tobytes()
         return out
 
-    def _chain(self, n: int) -> list[int]:
-        """Ends of the tokens of the encoding of the first n bytes, last first."""
-        ends = []
-        while n > 0:
-            ends.append(n)
-            n -= len(self.v.bytes[self.tokens[n - 1]])
-        return ends
-
-    def _stable(self) -> list[int]:
-        n = len(self.tail)
-        common: set[int] | None = None
-        for end in range(n - self.lookahead + 1, n + 1):
-            ends = set(self._chain(end))
-            common = ends if common is None else common & ends
-            if not common:
-                return []
-        return self._emit(max(common))
-
-    def _emit(self, upto: int) -> list[int]:
-        out = [self.tokens[e - 1] for e in reversed(self._chain(upto))]
-        if out:
-            self.before = out[-1]
-            del self.tokens[:upto]
-            del self.tail[:upto]
-        return out
-
-    def finish(self) -> list[int]:
-        return self._emit(len(self.tail))
-
 
 class Encoder:
     """Text in, ids out, block by block: ``feed`` as often as wanted, then ``finish``.
@@ -217,26 +97,20 @@ class Encoder:
         self.pattern = PIECE
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.held = ""
-        self.open: tuple | None = None  # (continuation pattern, transducer) of a long piece
+        self.open: tuple | None = None  # (continuation pattern, stream, whether it is white space) of a piece that outgrew a block
 
     def _run(self, ids: list[int]) -> tuple[tuple[int, ...], str]:
         return tuple(ids), ",".join(map(str, ids))
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a run of characters that the coarse cuts separate from the rest."""
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            raw = piece.encode()
-            if len(raw) > LONG:
-                transducer = MergeTransducer(self.v)
-                ids += transducer.feed(raw) + transducer.finish()
-            else:
-                ids += self.v.merge_known(raw)
-        return self._run(ids)
-
     def _chunks(self, chunks: list[str]) -> list[tuple]:
+        """Ids of runs of characters that the coarse cuts separate from each other."""
         of, also = self.cache.get, self.fresh.get
-        return [of(x) or also(x) or self._chunk(x) for x in chunks]
+        found = [of(x) or also(x) for x in chunks]
+        if None in found:
+            self.fresh = fresh_runs(self.v, self.cache, [chunks])
+            also = self.fresh.get
+            found = [run or of(x) or also(x) for x, run in zip(chunks, found, strict=True)]
+        return found
 
     def _plain(self, text: str) -> list[tuple]:
         """Runs of a text without special strings, as a whole."""
@@ -256,25 +130,35 @@ class Encoder:
         """Characters at the end that may begin a special string."""
         return next((n for n in range(min(len(text), max(map(len, self.v.special), default=1) - 1), 0, -1) if any(s.startswith(text[-n:]) for s in self.v.special)), 0)
 
+    def _go_on(self, text: str, end_of_text: bool) -> tuple[list[tuple], str | None]:
+        """Feeds an open piece; what is left of the text once the piece has ended, None while it goes on.
+
+        The last character of an open run of white space is held: it isn't part of the piece if something else follows."""
+        more, stream, blank = self.open
+        keep = 0 if end_of_text else self._partial(text)
+        end = more.match(text).end()
+        special = self.special.search(text) if self.special else None
+        if special:
+            end = min(end, special.start())
+        if end >= len(text) - keep and not end_of_text:
+            end = max(0, len(text) - keep)
+            if blank:
+                end = max(0, end - 1)
+            self.held = text[end:]
+            return [self._run(stream.feed(text[:end].encode()))], None
+        if blank and end < len(text) and not (special and special.start() == end):
+            end -= 1
+        self.open = None
+        return [self._run(stream.feed(text[:end].encode()) + stream.finish())], text[end:]
+
     def runs(self, text: str) -> list[tuple]:
         runs: list[tuple] = []
+        text, self.held = self.held + text, ""
         if self.open:
-            text = self.held + text
-            self.held = ""
-            more, transducer = self.open
-            keep = self._partial(text)
-            end = more.match(text).end()
-            special = self.special.search(text) if self.special else None
-            if special:
-                end = min(end, special.start())
-            if end >= len(text) - keep:
-                end = max(0, len(text) - keep)
-                runs.append(self._run(transducer.feed(text[:end].encode())))
-                self.held = text[end:]
+            runs, rest = self._go_on(text, False)
+            if rest is None:
                 return runs
-            runs.append(self._run(transducer.feed(text[:end].encode()) + transducer.finish()))
-            self.open, text = None, text[end:]
-        text = self.held + text
+            text = rest
         keep = self._partial(text)
         body, rest = text[: len(text) - keep], text[len(text) - keep :]
         at = 0
@@ -287,23 +171,27 @@ class Encoder:
         body = "".join(chunks[-2:])
         if len(body) > BLOCK:  # one very long run: its pieces but the last two are final
             pieces = self.pattern.findall(body)
-            runs += map(self._chunk, pieces[:-2])
+            runs += self._pieces(pieces[:-2])
             body = "".join(pieces[-2:])
-            if len(body) > BLOCK and not rest and (m := regex.fullmatch(r" ?(?:(\p{L}+)|(\p{N}+)|[^%s\p{L}\p{N}]+)" % SPACE, pieces[-1])):
-                runs += [self._chunk(pieces[-2])] if len(pieces) > 1 else ()
-                more = r"\p{L}*" if m[1] else r"\p{N}*" if m[2] else r"[^%s\p{L}\p{N}]*" % SPACE
-                self.open = regex.compile(more), MergeTransducer(self.v)
-                runs.append(self._run(self.open[1].feed(pieces[-1].encode())))
-                body = ""
+            m = regex.fullmatch(r"(?: ?(?:(\p{L}+)|(\p{N}+)|[^%s\p{L}\p{N}]+))|([%s]+)" % (SPACE, SPACE), pieces[-1])
+            if len(body) > BLOCK and not rest and m:
+                runs += self._pieces(pieces[-2:-1])
+                more = r"\p{L}*" if m[1] else r"\p{N}*" if m[2] else f"[{SPACE}]*" if m[3] else r"[^%s\p{L}\p{N}]*" % SPACE
+                self.open = regex.compile(more), Stream(self.v.automaton), bool(m[3])
+                fed = pieces[-1][:-1] if m[3] else pieces[-1]
+                runs.append(self._run(self.open[1].feed(fed.encode())))
+                body = pieces[-1][len(fed) :]
         self.held = body + rest
         return runs
 
+    def _pieces(self, pieces: list[str]) -> list[tuple]:
+        return [self._run(np.frombuffer(ids, "<i4").tolist()) for ids in self.v.encode([p.encode() for p in pieces])]
+
     def last(self) -> list[tuple]:
         runs: list[tuple] = []
-        if self.open:
-            runs.append(self._run(self.open[1].finish()))
-            self.open = None
         held, self.held = self.held, ""
+        if self.open:
+            runs, held = self._go_on(held, True)
         return runs + self._whole(held)
 
     def feed(self, text: str) -> list[int]:
@@ -335,22 +223,20 @@ def worker(path: str) -> tuple[Vocabulary, dict]:
 
 
 def fresh_runs(v: Vocabulary, cache: dict, chunks: list[list[str]]) -> dict:
-    """Runs of the short chunks that the cache doesn't have, their pieces merged together; the cache takes them while it has room."""
-    missing = [x for x in {x for row in chunks for x in row if x not in cache} if len(x) <= 64]
+    """Runs of the chunks that the cache doesn't have, their pieces encoded together; the cache takes the short ones while it has room."""
+    missing = list({x for row in chunks for x in row if x not in cache})
     pieces = [[p.encode() for p in PIECE.findall(x)] for x in missing]
     unique = list({p for row in pieces for p in row})
-    if not unique:
-        return {}
-    ids = np.array(v.single, np.int32)[np.frombuffer(b"".join(unique), np.uint8)]
-    merged = dict(zip(unique, v.batch().merge(ids, np.array([len(p) for p in unique])), strict=True))
+    encoded = dict(zip(unique, v.encode(unique), strict=True))
     out = {}
     for x, row in zip(missing, pieces, strict=True):
-        run = tuple(memoryview(b"".join([merged[p] for p in row])).cast("i"))
+        run = tuple(memoryview(b"".join([encoded[p] for p in row])).cast("i"))
         out[x] = run, ",".join(map(str, run))
-    if len(cache) + len(out) <= CACHE:
-        cache.update(out)
+    short = {x: run for x, run in out.items() if len(x) <= 64}
+    if len(cache) + len(short) <= CACHE:
+        cache.update(short)
     else:
-        v.unknown += len(out)
+        v.unknown += len(short)
         if v.unknown > 50 * CACHE:  # the texts have moved on: remember anew
             cache.clear()
             v.unknown = 0
