@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import drop_since, mark, written  # noqa: F401
+from ..sources.store import drop as drop_written  # noqa: F401
+
 #: Bytes that separate words in the contracts: 0x20 and 0x09-0x0D.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Texts of one Arrow batch, so that long documents stay within an executor's memory.
@@ -24,6 +25,7 @@ ROWS_PER_BATCH = 256
 #: Bytes of text hashed at once (one longer document is taken alone).
 BYTES_AT_ONCE = 1 << 18
 MASK64 = (1 << 64) - 1
+#: Stands for a null doc_id, so that one that is this number is taken for null in orders.
 NULL_ID = (1 << 63) - 1
 
 
@@ -183,37 +185,6 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of the machine's own only in local mode, where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        folder = tempfile.mkdtemp(prefix="driftframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Removes a table of written() that no plan needs any more."""
-    spark, path = df.sparkSession, df._written_path
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def trim() -> None:
     """Gives this process's free blocks back to the system."""
     pa.default_memory_pool().release_unused()

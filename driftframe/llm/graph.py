@@ -15,8 +15,9 @@ def _state(edges: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b); loops and repeated edges do no harm.
 
-    A step sends each edge once by each end and aggregates minima before the shuffle, so a node with a great
-    share of all edges isn't gathered."""
+    A step sends each edge once by each end and aggregates minima before the shuffle.  The join that gives a node's
+    edges its minimum gathers them by node; where that makes a task too large, adaptive execution splits it (an
+    inner join whose result is dealt anew)."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = c.written(edges, "components")
     state = _state(edges)

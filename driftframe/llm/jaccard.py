@@ -6,8 +6,9 @@
    of each shingle: classes that share less than 75 % with other classes are done as well.
 3. Candidates.  Shingles are put in one order, those of the fewest classes first.  Two sets with the similarity
    share one of the first n - ceil(0.75 n) + 1 of each, so passages that many texts share seldom bring others
-   together.  Blocks of those hashes come together by hash; neighbours by size within the bound are joined, and
-   the components of these candidate links are the places where all links lie.
+   together.  Blocks of those hashes come together by hash, each set with a parity sketch of 512 bits: sketches
+   of two sets differ in no more bits than the sets in shingles, so pairs of sets whose sketches differ in more than
+   a link allows are no candidates.  The components of the candidate links are the places where all links lie.
 4. T-occurrence search within a place.  In ascending size, each set is looked up in inverted lists of the
    groups found so far: the short lists are merged on a heap that skips (MergeSkip), the long ones are probed by
    binary search (DivideSkip).  A group that reaches the overlap a link needs is checked against its members,
@@ -28,7 +29,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -38,7 +39,11 @@ SHINGLE = 5
 #: Similarity as a ratio of integers.
 NEED, OF = 75, 100
 #: Bytes of text to a task of the search; bytes and sets to a block of a large place; prefix hashes to a bucket.
-TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 1_500_000, 3_000_000
+TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 600_000, 1_000_000
+#: 64-bit words of a parity sketch; sets of one prefix hash whose sketches are compared by neighbourhood, and one by one, at most.
+SKETCH_WORDS, NEAR, ONE_BY_ONE = 8, 64, 30_000
+#: Classes with a greater share of all rows than one in so many are joined by broadcast: at most so many.
+HEAVY = 100_000
 #: DivideSkip's constant for the number of long lists.
 MU = 0.0085
 
@@ -91,6 +96,22 @@ def sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
 BASE = "doc_id long, n_shingles long, d1 long, d2 long, text string"
 
 
+def set_digests(texts: pa.Array, estimate=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size and 128-bit digest of each text's set, and whether it shares enough by an estimate to have a partner."""
+    n, d1, d2, keep = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, bool))
+    for first, rows, edges, h in sets_of(texts):
+        size = np.diff(edges)
+        n[first : first + rows] = size
+        if estimate is not None:
+            known = np.concatenate([[0], np.cumsum(estimate(h))])
+            keep[first : first + rows] = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
+        some = np.flatnonzero(size)
+        if len(some):
+            for out, salt in ((d1, 0x1F83D9AB), (d2, 0x5BE0CD19)):
+                out[first + some] = c.mix(np.add.reduceat(c.mix(h ^ np.uint64(salt)), edges[some]) + np.uint64(salt)).view(np.int64)
+    return n, d1, d2, keep
+
+
 def measured(docs: DataFrame, estimate) -> DataFrame:
     """Every row's set size and digest, and the text of those that share enough by a broadcast estimate to have a partner."""
 
@@ -98,16 +119,7 @@ def measured(docs: DataFrame, estimate) -> DataFrame:
         c.forget()
         for batch in batches:
             texts = batch.column(1)
-            n, d1, d2, keep = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, bool))
-            for first, rows, edges, h in sets_of(texts):
-                size = np.diff(edges)
-                known = np.concatenate([[0], np.cumsum(estimate.value(h))])
-                n[first : first + rows] = size
-                keep[first : first + rows] = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
-                some = np.flatnonzero(size)
-                if len(some):
-                    for out, salt in ((d1, 0x1F83D9AB), (d2, 0x5BE0CD19)):
-                        out[first + some] = c.mix(np.add.reduceat(c.mix(h ^ np.uint64(salt)), edges[some]) + np.uint64(salt)).view(np.int64)
+            n, d1, d2, keep = set_digests(texts, estimate.value)
             kept = pa.array([t if k else None for t, k in zip(texts.to_pylist(), keep, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, (n, d1, d2)), kept], ["doc_id", "n_shingles", "d1", "d2", "text"])
 
@@ -131,15 +143,26 @@ def count_parts(classes: DataFrame, bits: int) -> DataFrame:
     return classes.select("text").mapInArrow(run, sketch.PARTS)
 
 
+BLOCK = "part int, h binary, node binary, size binary, sketch binary"
+
+
+def parity(edges: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set a bit for the parity of the number of its shingles that fall on it."""
+    n, bits = len(edges) - 1, 64 * SKETCH_WORDS
+    cell = (c.mix(h ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(edges)) * bits + cell, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<u8")
+
+
 def prefix_blocks(classes: DataFrame, shared, parts: int) -> DataFrame:
-    """Blocks of (hash, node, set size) of the prefixes of the sets that share enough with other classes, by hash.
+    """Blocks of (hash, node, set size, sketch) of the prefixes of the sets that share enough with other classes, by hash.
 
     shared: the broadcast counts of classes."""
 
     def send(held):
-        h, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, node, size, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         rows = list(c.split_by((h % np.uint64(parts)).astype(np.int64), parts))
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), *(pa.array([c.packed(x[r], k) for _, r in rows], pa.binary()) for x, k in ((h, "<u8"), (node, "<i8"), (size, "<i4")))], ["part", "h", "node", "size"])
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), *(pa.array([c.packed(x[r], k) for _, r in rows], pa.binary()) for x, k in ((h, "<u8"), (node, "<i8"), (size, "<i4"), (bits, "<u8")))], ["part", "h", "node", "size", "sketch"])
 
     def run(batches):
         c.forget()
@@ -151,11 +174,17 @@ def prefix_blocks(classes: DataFrame, shared, parts: int) -> DataFrame:
                 count = shared.value(h)
                 known = np.concatenate([[0], np.cumsum(count > 1)])
                 enough = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
+                if not enough.any():
+                    continue
+                bits = parity(edges, h)
                 length = np.where(enough, size - -(-NEED * size // OF) + 1, 0)
-                h = h[np.lexsort((h, count, np.repeat(np.arange(rows), size)))]
+                order = np.lexsort((h, count, np.repeat(np.arange(rows), size)))
+                h, count = h[order], count[order]
                 place = np.arange(len(h)) - np.repeat(edges[:-1], size)
-                pick = place < np.repeat(length, size)
-                held.append((h[pick], np.repeat(nodes[first : first + rows], size)[pick], np.repeat(size, size)[pick]))
+                # a shingle of one class leads to no other
+                pick = (place < np.repeat(length, size)) & (count > 1)
+                owner = np.repeat(np.arange(rows), size)[pick]
+                held.append((h[pick], nodes[first : first + rows][owner], size[owner].astype(np.int32), bits[owner]))
                 total += len(held[-1][0])
             if total >= HELD:
                 yield send(held)
@@ -163,19 +192,62 @@ def prefix_blocks(classes: DataFrame, shared, parts: int) -> DataFrame:
         if held:
             yield send(held)
 
-    return classes.select("node", "text").mapInArrow(run, "part int, h binary, node binary, size binary")
+    return classes.select("node", "text").mapInArrow(run, BLOCK)
+
+
+def may_be_similar(size_a, bits_a, size_b, bits_b) -> np.ndarray:
+    """Whether sizes and sketches allow a link: |A xor B| <= (OF - NEED) / (OF + NEED) * (|A| + |B|)."""
+    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64)
+    return (OF * least >= NEED * most) & ((OF + NEED) * differ <= (OF - NEED) * (least + most))
+
+
+def connect(node: np.ndarray, size: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what candidate pairs of one prefix hash connect: breadth first, each set once against those not met yet."""
+    out, left = [], np.arange(len(node))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        for i in queue:
+            if not len(left):
+                break
+            hit = may_be_similar(size[i], bits[i], size[left], bits[left])
+            out += [(int(node[i]), int(node[j])) for j in left[hit]]
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return out
 
 
 def candidate_links(blocks: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all sets which share a prefix hash and could be similar by their sizes."""
+    """Links (a, b) that connect all sets which share a prefix hash and could be similar by sizes and sketches."""
 
     def link(table):
-        h, node, size = (c.joined(table.column(f).to_pylist(), k) for f, k in (("h", "<u8"), ("node", "<i8"), ("size", "<i4")))
+        h, node, size, bits = (c.joined(table.column(f).to_pylist(), k) for f, k in (("h", "<u8"), ("node", "<i8"), ("size", "<i4"), ("sketch", "<u8")))
         order = np.lexsort((node, size, h))
-        h, node, size = h[order], node[order], size[order].astype(np.int64)
-        near = (h[1:] == h[:-1]) & (OF * size[:-1] >= NEED * size[1:]) & (node[1:] != node[:-1])
-        a, b = np.minimum(node[1:][near], node[:-1][near]), np.maximum(node[1:][near], node[:-1][near])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        h, node, size, bits = h[order], node[order], size[order].astype(np.int64), bits.reshape(-1, SKETCH_WORDS)[order]
+        pairs = [np.zeros((0, 2), np.int64)]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(h)))
+        many = count > NEAR
+        for a, n in zip(first[many].tolist(), count[many].tolist(), strict=True):
+            part = slice(a, a + n)
+            if n <= ONE_BY_ONE:
+                found = connect(node[part], size[part], bits[part])
+            else:  # neighbours by size connect whatever could be similar
+                near = np.flatnonzero(OF * size[part][:-1] >= NEED * size[part][1:])
+                found = np.stack([node[part][near], node[part][near + 1]], axis=1)
+            pairs.append(np.array(found, np.int64).reshape(-1, 2))
+        at = np.flatnonzero(~np.repeat(many, count)) if len(h) else first
+        end = np.repeat(first + count, count)[at]
+        for step in range(1, NEAR):
+            keep = at + step < end
+            at, end = at[keep], end[keep]
+            keep = OF * size[at] >= NEED * size[at + step]  # later ones are larger still
+            at, end = at[keep], end[keep]
+            if not len(at):
+                break
+            hit = at[may_be_similar(size[at], bits[at], size[at + step], bits[at + step])]
+            pairs.append(np.stack([node[hit], node[hit + step]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return blocks.groupBy("part").applyInArrow(link, "a long, b long").distinct()
@@ -360,8 +432,9 @@ def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]
     return small.unionByName(large.select(task.alias("task"), "place", "node", "text")), found
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """base, a written row for each row of docs: doc_id, n_shingles, d1, d2, known; and the known classes: d1, d2, n rows,
+    component (null without links), component_id."""
     spark = docs.sparkSession
     c.small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -371,8 +444,9 @@ def linked(docs: DataFrame) -> DataFrame:
     estimate.destroy()
     c.release(spark)
     known = base.where(F.col("text").isNotNull())
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    classes = c.written(classes.select(F.xxhash64("d1", "d2").alias("node"), "d1", "d2", "least", "text"), "jaccard-classes")
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("text").alias("text"))
+    # written once, so the numbers stay; a hash of 64 bits might name two classes alike
+    classes = c.written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(c.parallelism(spark), -(-chars // 24 // BUCKET_HASHES))
     bits = min(sketch.MAX_COUNT_BITS, sketch.width_bits(chars // 12))
@@ -383,24 +457,58 @@ def linked(docs: DataFrame) -> DataFrame:
     rows, found = placed(classes, places)
     found = graph.components(search(rows).unionByName(found))
     c.release(spark)
-    members = classes.select("node", "d1", "d2", "least").join(found, "node")
-    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = members.join(least, "component").select("d1", "d2", "component_id")
-    # a class without links still has its copies
-    alone = classes.select("d1", "d2", "least")
-    ids = alone.join(members, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "least").alias("component_id"))
-    rows = base.select("doc_id", "n_shingles", "d1", "d2", F.col("text").isNotNull().alias("known"))
-    ids = ids.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "component_id")
-    joined = rows.join(ids, F.col("known") & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    parts_of = classes.select("node", "least").join(found, "node")
+    least = parts_of.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = classes.select("node", "d1", "d2", "n", "least").join(parts_of.join(least, "component").select("node", "component", "component_id"), "node", "left")
+    ids = ids.select("d1", "d2", "n", "component", F.coalesce("component_id", "least").alias("component_id"))
+    return base.withColumn("known", F.col("text").isNotNull()).drop("text"), c.written(ids, "jaccard-ids")
+
+
+def with_classes(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of base with their class's component and component_id.
+
+    The rows of a class that has more than its share meet it by broadcast, so none of them is gathered by class."""
+    total = base.count()
+    ids = ids.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "n", "component", "component_id")
+    same = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))
+    heavy = ids.where(F.col("n") * HEAVY > total).drop("n")  # fewer than HEAVY
+    light = ids.where(F.col("n") * HEAVY <= total).drop("n")
+    hit = base.where("known").join(F.broadcast(heavy), same, "left")
+    done = hit.where(F.col("c1").isNotNull())
+    rest = hit.where(F.col("c1").isNull()).select(*base.columns).join(light, same, "left")
+    alone = base.where("NOT known").withColumns({"c1": F.lit(None).cast("long"), "c2": F.lit(None).cast("long"), "component": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    return done.unionByName(rest).unionByName(alone).drop("c1", "c2")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    return with_classes(*members(docs)).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (of its repeated rows, one); null ids stay."""
-    keep = linked(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__df_id")).distinct()
+    """One document of each component: the smallest by doc_id, set and other columns; null ids and texts without words stay.
+
+    Rows of one doc_id are told apart by their sets, so of unlike ones each stays that is the smallest of its component."""
+    base, ids = members(docs.select("doc_id", "text"))
+    rows = with_classes(base, ids).where("doc_id IS NOT NULL")
+    # a component is named by its node, else by its set (a class without links, or a text that none shares enough with)
+    key = [F.coalesce("component", F.lit(-1)).alias("k0"), F.when(F.col("component").isNull(), F.col("d1")).alias("k1"), F.when(F.col("component").isNull(), F.col("d2")).alias("k2")]
+    keep = rows.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "d1", "d2")).alias("x"))
+    keep = keep.select(F.col("x.doc_id").alias("__df_id"), F.col("x.d1").alias("__df_d1"), F.col("x.d2").alias("__df_d2"))
+    spark = docs.sparkSession
+    c.small_batches(spark)
     names = [F.col(f"`{x}`") for x in docs.columns]
-    unique = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return unique.join(keep, F.col("doc_id") == F.col("__df_id"), "left_semi").select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+
+    @F.arrow_udf("struct<n:long,d1:long,d2:long>")
+    def digest(text: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(list(map(pa.array, set_digests(text)[:3])), ["n", "d1", "d2"])
+
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn("__df_set", digest("text"))
+    some = known.join(keep, (F.col("doc_id") == F.col("__df_id")) & (F.col("__df_set.d1") == F.col("__df_d1")) & (F.col("__df_set.d2") == F.col("__df_d2")), "left_semi").where("__df_set.n > 0")
+    # of rows with one id and set, one
+    order = Window.partitionBy("doc_id", "__df_set").orderBy(*(F.col(f"`{x}`") for x in docs.columns if x != "doc_id"))
+    some = some.withColumn("__df_place", F.row_number().over(order)).where("__df_place = 1")
+    return some.select(*names).unionByName(known.where("__df_set.n = 0").select(*names)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

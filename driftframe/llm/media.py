@@ -5,8 +5,8 @@ lacing) and cues.  ``parse`` reads any such file element by element (variable-le
 sizes of segment and clusters included) into a packet table: track, timestamp, key flag, cluster, byte range.
 
 Null texts count as empty; equal texts give equal files; repeated rows, extra columns and empty tables are
-as they come; a damaged file raises ValueError in ``parse`` and gives no rows in ``packets`` but one with
-the error.
+as they come; a damaged file raises ValueError in ``parse`` and gives the packets before the damage and a row with
+the error in ``packets`` (whose times then have the usual scale of a millisecond).
 """
 
 from __future__ import annotations
@@ -206,12 +206,14 @@ def block(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]
     return track, relative, flags, list(zip(starts, sizes, strict=True))
 
 
-def parse(data: bytes) -> Media:
-    """Packet table, cues and tracks of a Matroska file."""
+def parse(data: bytes, found: list[Packet] | None = None) -> Media:
+    """Packet table, cues and tracks of a Matroska file.
+
+    found: a list that gets the packets, which are there up to the damage where a file is damaged."""
     top = children(data, 0, len(data))
     if next(top, (0,))[0] != EBML:
         raise ValueError("not an EBML file")
-    media = Media([], [], [], {}, 1_000_000, None)
+    media = Media([] if found is None else found, [], [], {}, 1_000_000, None)
     scale, duration = 1_000_000, None
     for kind, _, at, end in top:
         if kind != SEGMENT:
@@ -245,12 +247,24 @@ def parse(data: bytes) -> Media:
             elif kind2 == CUES:
                 for k, _, a, e in children(data, at2, end2):
                     if k == CUE_POINT:
-                        point = {k2: (a2, e2) for k2, _, a2, e2 in children(data, a, e)}
-                        where = {k2: number(data, a2, e2) for k2, _, a2, e2 in children(data, *point[CUE_POSITIONS])}
-                        media.cues.append((number(data, *point[CUE_TIME]), where[CUE_TRACK], base + where[CUE_CLUSTER]))
+                        media.cues.extend(cue_points(data, a, e, base))
     return media._replace(scale=scale, duration=duration)
 
 
+def cue_points(data, at: int, end: int, base: int) -> list[tuple[int, int, int]]:
+    """Time, track and cluster's place of each of a cue point's positions; a time that is missing is 0, a track 1, and
+    a position without a cluster is none."""
+    time, positions = 0, []
+    for kind, _, a, e in children(data, at, end):
+        if kind == CUE_TIME:
+            time = number(data, a, e)
+        elif kind == CUE_POSITIONS:
+            where = {k: number(data, a2, e2) for k, _, a2, e2 in children(data, a, e)}
+            if CUE_CLUSTER in where:
+                positions.append((where.get(CUE_TRACK, 1), base + where[CUE_CLUSTER]))
+    return [(time, track, place) for track, place in positions]
+
+
 def add(media: Media, data, at: int, end: int, time: int, scale: int, key: bool | None) -> None:
     track, relative, flags, frames = block(data, at, end)
     step = media.tracks.get(track, {}).get("default_duration", 0)
@@ -260,7 +274,8 @@ def add(media: Media, data, at: int, end: int, time: int, scale: int, key: bool
 
 def features(media: Media, payload: bytes) -> str:
     samples = np.frombuffer(payload, np.uint8)
-    indexed = sum((at, time) in set(media.clusters) for time, _, at in media.cues)
+    clusters = set(media.clusters)
+    indexed = sum((at, time) in clusters for time, _, at in media.cues)
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={indexed};last_ms={media.packets[-1].timestamp};ms={media.duration:.3f};sum={int(samples.sum(dtype=np.int64))};steps={int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64))}"
 
 
@@ -291,7 +306,7 @@ PACKETS = "id long, packet long, track long, timestamp_ns long, keyframe boolean
 
 
 def packets(files: DataFrame, id_column: str = "id", media_column: str = "media") -> DataFrame:
-    """The packet table of a column of Matroska files; a null file has no packets, a damaged one a row with the error."""
+    """The packet table of a column of Matroska files; a null file has no packets, a damaged one besides a row with the error."""
     c.small_batches(files.sparkSession)
 
     def run(batches):
@@ -300,11 +315,14 @@ def packets(files: DataFrame, id_column: str = "id", media_column: str = "media"
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if data is None:
                     continue
+                error, found = None, []
                 try:
-                    media = parse(data)
-                    rows += [(key, i, p.track, p.timestamp * media.scale, p.keyframe, p.cluster, p.offset, p.size, None) for i, p in enumerate(media.packets)]
+                    scale = parse(data, found).scale
                 except (ValueError, IndexError, KeyError, struct.error) as e:
-                    rows.append((key, None, None, None, None, None, None, None, str(e) or type(e).__name__))
+                    scale, error = 1_000_000, str(e) or type(e).__name__
+                rows += [(key, i, p.track, p.timestamp * scale, p.keyframe, p.cluster, p.offset, p.size, None) for i, p in enumerate(found)]
+                if error:
+                    rows.append((key, None, None, None, None, None, None, None, error))
             kinds = (*[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.string())
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PACKETS.split(", ")])

@@ -33,8 +33,8 @@ from .merges import BatchMerger
 WINDOW, END = 2048, 1
 #: Items of an index shard, and ids of a partition of items.
 SHARD_ITEMS, PARTITION_IDS = 2048, 6_000_000
-#: BM25's usual constants; ids of a query; neighbours asked for.
-K1, B, QUERY_IDS, NEIGHBOURS = 1.2, 0.75, 24, 64
+#: BM25's usual constants; neighbours taken at once, as often as wanted.
+K1, B, NEIGHBOURS = 1.2, 0.75, 64
 #: Ids of a run whose smallest hash places an item.
 RUN = 8
 #: Words that a worker remembers for good (about 80 MB), and the latest words met once, at most (150 MB).
@@ -239,21 +239,21 @@ class Index:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = self.idf[dense] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.item] / sizes.mean()))
         order = np.argsort(dense, kind="stable")
-        self.postings, self.weights = self.item[order], weight[order]
+        self.postings, self.weights = self.item[order].astype(np.intp), weight[order]
         self.edges = np.concatenate([[0], np.cumsum(df)])
         self.dense, self.df, self.n = dense, df, n
         self.of_item = np.searchsorted(self.item, np.arange(n + 1))
 
     def scores(self, item: int) -> np.ndarray:
-        """BM25 scores of all items for an item's rarest terms that others have."""
+        """BM25 scores of all items for all terms of an item that others have."""
         terms = self.dense[self.of_item[item] : self.of_item[item + 1]]
         terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_IDS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_IDS)[:QUERY_IDS]]
-        if not len(terms):
+        sizes = self.df[terms]
+        ends = np.cumsum(sizes)
+        if not len(ends):
             return np.zeros(self.n)
-        spans = [slice(self.edges[t], self.edges[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.postings[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        at = np.repeat(self.edges[terms] - (ends - sizes), sizes) + np.arange(ends[-1])
+        return np.bincount(self.postings[at], self.weights[at], self.n)
 
 
 def fill(pool: list[tuple], window: int) -> tuple[list[list[tuple]], list[tuple]]:

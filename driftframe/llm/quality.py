@@ -2,14 +2,15 @@
 
 A public vocabulary with byte fallback is run over every word.  Three measures of a text say how natural it is
 to the vocabulary: characters per token, the share of byte-fallback tokens, and the entropy of its tokens.
-Bands come from all texts: for each language (for each script, where no language is given) and each size class
-(power of two of tokens), the median of the distinct texts plus or minus a multiple of the range of their middle 80 %.
+Bands come from all texts that pass the base rules, copies of a text once: for each language (for each script, where no
+language is given) and each size class (power of two of tokens), the median plus or minus a multiple of the range of
+the middle 80 %.  Deciles are exact over a fixed grid of values, so they don't depend on how the texts are dealt.
 A text outside its band is rejected; so is one that breaks the base rules.
 
 Words are separated by 0x20 and 0x09-0x0D.  A null text has no words and fails the base rules.  Null languages
-are banded by script.  Classes with fewer than ``SUPPORT`` distinct texts use the language's (script's) class
-of all sizes, and if that has fewer too, reject none.  Repeated rows are judged alike and counted once in the
-bands; extra columns are kept by ``apply``; an empty table gives an empty one.
+are banded by script.  Where a class has fewer than ``SUPPORT`` distinct texts, the next wider one stands for it:
+the language of all sizes, the script by size, the script of all sizes, and all texts.  Repeated rows are judged alike and
+counted once in the bands; extra columns are kept by ``apply``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -30,6 +31,8 @@ SYMBOLS = "[#*$%&|<>]"
 #: Distinct texts of a class, ranges (tenth to ninth decile) from the median, and the least half width of a band.
 SUPPORT, RANGES = 30, 1.6
 LEAST = {"chars_per_token": 0.08, "fallback_share": 0.10, "entropy": 0.05}
+#: Steps of the grids on which the deciles are taken, to the unit.
+GRID = {"chars_per_token": 256, "fallback_share": 4096, "entropy": 4096}
 #: A text can't be too rich in tokens: these have no upper bound.
 ONE_SIDED = {"entropy"}
 CACHE = 200_000
@@ -165,10 +168,16 @@ def measured(docs: DataFrame, path: str) -> DataFrame:
     return docs.withColumn("__df_m", measures("text"))
 
 
+#: Classes of a text, from its own to that of all.
+CLASSES = ("language, size", "language", "script, size", "script", "all")
+
+
 def with_classes(rows: DataFrame) -> DataFrame:
-    """Adds the band's key and the size class to rows with lang and __df_m."""
-    lang = F.when(F.trim(F.coalesce(F.col("lang"), F.lit(""))) != "", F.concat(F.lit("lang:"), "lang"))
-    return rows.withColumns({"__df_band": F.coalesce(lang, F.concat(F.lit("script:"), F.col("__df_m.script"))), "__df_size": F.floor(F.log2(F.greatest(F.col("__df_m.n_tokens"), F.lit(1)))).cast("int")})
+    """Adds __df_classes to rows with lang and __df_m: the names of a text's classes, null where it has no language."""
+    lang = F.when(F.trim(F.coalesce(F.col("lang"), F.lit(""))) != "", F.concat(F.lit("lang:"), F.translate("lang", "\n", " ")))
+    script = F.concat(F.lit("script:"), F.col("__df_m.script"))
+    size = F.concat(F.lit("\n"), F.floor(F.log2(F.greatest(F.col("__df_m.n_tokens"), F.lit(1)))).cast("string"))
+    return rows.withColumn("__df_classes", F.array(F.concat(lang, size), lang, F.concat(script, size), script, F.lit("all")))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -176,35 +185,50 @@ def base_failed(n_words, n_repeat_words):
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Low and high bounds of each measure for each class; __df_size is null for the class of all sizes.
+    """__df_class, n and low and high bounds of each measure for each class with enough texts (that of all: with any).
 
-    Texts that pass the base rules define what is usual; copies of a text count once."""
+    Texts are counted by class, measure and step of the grid before anything is shuffled; what comes together by class
+    are the steps, a bounded number."""
     names = list(LEAST)
     values = rows.where(~base_failed(F.col("__df_m.n_words"), F.col("__df_m.n_repeat_words")))
-    values = values.select("__df_band", "__df_size", *(F.col(f"__df_m.{x}").alias(x) for x in names), F.col("__df_m.text_hash").alias("h")).distinct()
-    values = values.withColumn("__df_size", F.explode(F.array("__df_size", F.lit(None).cast("int"))))
-    deciles = values.groupBy("__df_band", "__df_size").agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.1, 0.5, 0.9], 1000).alias(x) for x in names))
-    out = [F.col("__df_band"), F.col("__df_size"), F.col("n")]
+    steps = [F.floor(F.col(f"__df_m.{x}") * GRID[x]).alias(x) for x in names]
+    values = values.select("__df_classes", *steps, F.col("__df_m.text_hash").alias("h")).distinct()
+    values = values.select(F.explode(F.array_compact("__df_classes")).alias("__df_class"), *names)
+    values = values.select("__df_class", F.posexplode(F.array(*names)).alias("measure", "step"))
+    counts = values.groupBy("__df_class", "measure", "step").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("__df_class", "measure").orderBy("step")
+    whole = Window.partitionBy("__df_class", "measure")
+    counts = counts.withColumns({"below": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
+    found = []
+    for j, x in enumerate(names):
+        own = F.col("measure") == j
+        found += [F.min(F.when(own & (F.col("below") >= q * F.col("total")), F.col("step"))).alias(f"{x}_{int(q * 10)}") for q in (0.1, 0.5, 0.9)]
+    deciles = counts.groupBy("__df_class").agg(F.max("total").alias("n"), *found)
+    out = [F.col("__df_class"), F.col("n")]
     for x in names:
-        half = F.greatest(F.lit(LEAST[x]), RANGES * (F.col(x)[2] - F.col(x)[0]))
-        high = F.lit(float("inf")) if x in ONE_SIDED else F.col(x)[1] + half
-        out += [(F.col(x)[1] - half).alias(f"low_{x}"), high.alias(f"high_{x}")]
-    return deciles.select(*out).where(F.col("n") >= SUPPORT)
+        low, middle, high = ((F.col(f"{x}_{q}") + 0.5) / GRID[x] for q in (1, 5, 9))
+        half = F.greatest(F.lit(LEAST[x]), RANGES * (high - low))
+        out += [(middle - half).alias(f"low_{x}"), (F.lit(float("inf")) if x in ONE_SIDED else middle + half).alias(f"high_{x}")]
+    return deciles.where((F.col("n") >= SUPPORT) | (F.col("__df_class") == "all")).select(*out)
 
 
-def judged(docs: DataFrame, path: str) -> DataFrame:
+def judged(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     """docs with __df_m, __df_base_failed and __df_kept.
 
-    The measures are written once to the shared folder: the bands need all of them before a text is judged."""
-    rows = c.written(with_classes(measured(docs, path)), "quality-measures")
+    The measures are written once to the shared folder: the bands need all of them before a text is judged.
+    without with_text, the texts aren't written with them and don't come back."""
+    rows = with_classes(measured(docs, path))
+    rows = c.written(rows if with_text else rows.drop("text"), "quality-measures")
     found = c.written(bands(rows), "quality-bands")
     small = F.broadcast if found.count() <= BROADCAST_BANDS else (lambda df: df)
     bounds = [f"{side}_{x}" for x in LEAST for side in ("low", "high")]
-    by_size = found.where(F.col("__df_size").isNotNull()).select(F.col("__df_band").alias("__s_band"), F.col("__df_size").alias("__s_size"), F.struct(*bounds).alias("__df_own"))
-    overall = found.where(F.col("__df_size").isNull()).select(F.col("__df_band").alias("__a_band"), F.struct(*bounds).alias("__df_all"))
-    joined = rows.join(small(by_size), (F.col("__df_band") == F.col("__s_band")) & (F.col("__df_size") == F.col("__s_size")), "left")
-    joined = joined.join(small(overall), F.col("__df_band") == F.col("__a_band"), "left")
-    band = F.coalesce("__df_own", "__df_all")
+    joined = rows
+    for i, kind in enumerate(CLASSES):
+        own = F.col("__df_class") == "all" if kind == "all" else F.col("__df_class").contains("\n") == kind.endswith("size")
+        part = found.where(own & F.col("__df_class").startswith(("lang:", "lang:", "script:", "script:", "all")[i]))
+        part = part.select(F.col("__df_class").alias(f"__b_{i}"), F.struct(*bounds).alias(f"__df_own{i}"))
+        joined = joined.join(small(part), F.col("__df_classes")[i] == F.col(f"__b_{i}"), "left")
+    band = F.coalesce(*(F.col(f"__df_own{i}") for i in range(len(CLASSES))))
     inside = F.lit(True)
     for x in LEAST:
         inside &= F.col(f"__df_m.{x}").between(band[f"low_{x}"], band[f"high_{x}"])
@@ -220,6 +244,6 @@ def apply(docs: DataFrame, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = judged(c.documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = judged(c.documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
     counts = [F.col(f"__df_m.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *counts, F.col("__df_base_failed").alias("base_failed"), F.col("__df_kept").alias("kept"), F.col("__df_m.chars_per_token").alias("chars_per_token"), F.col("__df_m.fallback_share").alias("fallback_share"), F.col("__df_m.entropy").alias("entropy"))

@@ -2,7 +2,8 @@
 
 A row of the sketch has ``width`` cells.  Only whether a cell is hit twice matters to the callers, so a
 partition sends, for each slice of 65,536 cells and each row, the cells it hit (two bytes each) and those it
-hit twice; the merge adds them and keeps one bit per cell.  What moves follows the hashes, not tasks x width.
+hit twice; the merge adds them, in two steps where there are many, and keeps one bit per cell.  What moves follows
+the hashes, not tasks x width.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as c
 
@@ -53,9 +55,36 @@ def partition_rows(hashes: np.ndarray, bits: int, depth: int = DEPTH):
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["slice", "once", "twice"])
 
 
+#: Parts of a sketch that a task of a merge holds, at most; more are merged in two steps.
+FAN_IN = 256
+
+
+def gathered(parts: DataFrame, add) -> DataFrame:
+    """The parts of a slice as few as FAN_IN: where more partitions send some, groups of them are added first.
+
+    add: from lists of (once, twice) blobs to one pair of them."""
+    n = parts.rdd.getNumPartitions()  # the scan's; nothing runs
+    if n <= FAN_IN:
+        return parts
+    groups = -(-n // FAN_IN)
+
+    def some(key, table):
+        once, twice = add(table.column("once").to_pylist(), table.column("twice").to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "once": pa.array([once], pa.binary()), "twice": pa.array([twice], pa.binary())})
+
+    return parts.withColumn("grp", F.spark_partition_id() % groups).groupBy("slice", "grp").applyInArrow(some, PARTS)
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """slice, bits: a bit for each cell of the slice that was hit twice or more."""
 
+    def both(once: list[bytes], twice: list[bytes]) -> tuple[bytes, bytes]:
+        count = np.zeros(1 << SLICE_BITS, np.uint8)
+        for blob in (*once, *twice):
+            at = np.frombuffer(blob, "<u2")
+            count[at] = np.minimum(count[at] + 1, 2)
+        return tuple(np.flatnonzero(count >= k).astype("<u2").tobytes() for k in (1, 2))
+
     def add(key, table):
         count = np.zeros(1 << SLICE_BITS, np.uint8)
         for once, twice in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
@@ -64,7 +93,7 @@ def merged(parts: DataFrame) -> DataFrame:
                 count[at] = np.minimum(count[at] + 1, 2)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
 
-    return parts.groupBy("slice").applyInArrow(add, "slice int, bits binary")
+    return gathered(parts, both).groupBy("slice").applyInArrow(add, "slice int, bits binary")
 
 
 def count_rows(hashes: np.ndarray, bits: int):
@@ -92,15 +121,24 @@ def collect_counts(parts: DataFrame, bits: int) -> Counts:
     """The merged counts on the driver, to be broadcast: 2^bits bytes."""
     size = 1 << SLICE_BITS
 
-    def add(key, table):
+    def summed(cells_: list[bytes], counts: list[bytes]) -> np.ndarray:
         total = np.zeros(size, np.uint8)
-        for cell, count in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
+        for cell, count in zip(cells_, counts, strict=True):
             at, n = np.frombuffer(cell, "<u2"), np.frombuffer(count, np.uint8)
             total[at] = np.minimum(total[at].astype(np.int64) + n, 255)
+        return total
+
+    def both(cells_: list[bytes], counts: list[bytes]) -> tuple[bytes, bytes]:
+        total = summed(cells_, counts)
+        some = np.flatnonzero(total)
+        return some.astype("<u2").tobytes(), total[some].tobytes()
+
+    def add(key, table):
+        total = summed(table.column("once").to_pylist(), table.column("twice").to_pylist())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     blob = bytearray(1 << bits)
-    for row in parts.groupBy("slice").applyInArrow(add, "slice int, bits binary").toLocalIterator(prefetchPartitions=True):
+    for row in gathered(parts, both).groupBy("slice").applyInArrow(add, "slice int, bits binary").toLocalIterator(prefetchPartitions=True):
         blob[row[0] * size : (row[0] + 1) * size] = row[1]
     return Counts(bits, blob)
 

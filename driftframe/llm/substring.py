@@ -182,8 +182,8 @@ def spans(blocks: DataFrame, window: int) -> DataFrame:
     return blocks.groupBy("part").applyInArrow(merge, "__df_id long, __df_tag long, __df_spans binary")
 
 
-def removals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """__df_id, __df_tag (crc32 of the text), __df_spans of the documents that lose words."""
+def removals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, int]:
+    """__df_id, __df_tag (crc32 of the text), __df_spans of the documents that lose words; and partitions for the texts."""
     spark = docs.sparkSession
     c.small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -192,11 +192,13 @@ def removals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     repeated = sketch.collect(sketch_parts(docs, bits, window, anchor), bits)
     c.release(spark)
     blocks = window_blocks(docs, repeated, parts, window, anchor)
-    return spans(removed_places(blocks, parts), window)
+    return spans(removed_places(blocks, parts), window), parts
 
 
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """docs with __df_spans; the partitions of the join follow the size of the texts."""
     keyed = docs.withColumns({"__df_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(c.NULL_ID)), "__df_crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    keyed, found = keyed.repartition(parts, "__df_key", "__df_crc"), found.repartition(parts, "__df_id", "__df_tag")
     return keyed.join(found, (F.col("__df_key") == F.col("__df_id")) & (F.col("__df_crc") == F.col("__df_tag")), "left")
 
 
@@ -211,7 +213,7 @@ def kept_words(text: str | None, blob: bytes | None) -> tuple[int, int, list[byt
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
-    joined = with_spans(docs.select("doc_id", "text"), removals(docs, window)).select("doc_id", "text", "__df_spans")
+    joined = with_spans(docs.select("doc_id", "text"), *removals(docs, window)).select("doc_id", "text", "__df_spans")
 
     def run(batches):
         c.forget()
@@ -239,7 +241,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return pd.Series([b" ".join(kept_words(t, b)[2]).decode() for t, b in zip(text, blob, strict=True)])
 
-    joined = with_spans(docs, removals(docs, window))
+    joined = with_spans(docs, *removals(docs, window))
     text = F.when(F.col("__df_spans").isNull(), F.col("text")).otherwise(cut("text", "__df_spans"))
     return joined.withColumn("text", text).select(*(F.col(f"`{name}`") for name in docs.columns))
 

@@ -225,18 +225,85 @@ def test_toxicity(spark, none):
     good = [(i, f"a calm day number {i} near the woman and the river", 0) for i in range(0, 60)]
     bad = [(i, f"you utter fool number {i} of the man", 1) for i in range(60, 120)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in good + bad] + [(500, None)], "doc_id long, text string")
+    docs = docs.withColumns({"toxic": F.lit(7), "features": F.lit("x"), "__df_id": F.lit(1)}).unionByName(docs.limit(3).withColumns({"toxic": F.lit(1), "features": F.lit("y"), "__df_id": F.lit(2)}))
     labels = spark.createDataFrame([(i, y) for i, _, y in good + bad] + [(None, 1), (1, None)], "doc_id long, toxic int")
-    rows = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
-    assert all(rows[i]["__df_toxic"] == y for i, _, y in good + bad)
+    got = toxicity.classify(docs, labels)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert got.count() == 124 and all(rows[i]["__df_toxic"] == y for i, _, y in good + bad)
     assert rows[500]["__df_toxic"] == 0
     texts = spark.createDataFrame([(1, "the woman"), (2, "the man")], "doc_id long, text string")
-    free, held = (toxicity.learn(docs, labels, counterfactual=x) for x in (0.0, 20.0))
-    gap = [abs(np.subtract(*[r["__df_score"] for r in toxicity.score(texts, m).collect()])) for m in (free, held)]
-    assert gap[1] <= gap[0]
     assert toxicity.classify(none, labels).count() == 0
     assert toxicity.score(texts, toxicity.learn(docs, labels.limit(0))).first()["__df_score"] == 0.5
 
 
+def test_toxicity_counterfactuals_lower_false_positives_on_neutral_mentions():
+    """Attacks of the training texts name groups, calm texts seldom do; neutral mentions must not be taken for attacks."""
+    rng = np.random.default_rng(1)
+    kinds = {"en": "muslims", "fr": "musulmans", "de": "ausländer", "es": "mujeres"}
+
+    def invented(n):
+        return ["".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(n)]
+
+    calm, insults = invented(300), {g: invented(60) for g in kinds}
+
+    def text(language, toxic, group):
+        parts = [calm[int(i)] for i in rng.integers(0, 300, 12)] + [kinds[language]] * group
+        if toxic:
+            parts += [insults[language][int(i)] for i in rng.integers(0, 60, 3)]
+        return " ".join(rng.permutation(parts).tolist())
+
+    train = [(text(g, y, rng.random() < (0.95 if y else 0.01)), y) for g in kinds for y in (0, 1) for _ in range(300 if y == 0 else 100)]
+    attacks = [text(g, 1, rng.random() < 0.5) for g in kinds for _ in range(60)]
+    mentions = [text(g, 0, True) for g in kinds for _ in range(60)]
+
+    def read(texts):
+        out, changes = [], []
+        for _, n, raw, bounds in toxicity.c.text_blocks(toxicity.pa.array(texts)):
+            w = toxicity.c.Words(raw, bounds, toxicity.c.TERMS)
+            t, h = toxicity.features(w)
+            edges = np.searchsorted(t, np.arange(n + 1))
+            out += [h[edges[i] : edges[i + 1]] for i in range(n)]
+            changes += [np.frombuffer(x, "<i4") for x in toxicity.counterfactuals(toxicity.Identity(), w, n, t, h)]
+        return out, changes
+
+    rows, changes = read([t for t, _ in train])
+    assert len(changes) == len(train) and all(len(x) for x in changes)  # texts that name no group too
+    labels = np.array([y for _, y in train], float)
+
+    def share(model, texts):
+        out, _ = read(texts)
+        n = np.repeat(np.arange(len(out)), [len(x) for x in out])
+        return float((model.scores(n, np.concatenate(out), len(out)) >= toxicity.THRESHOLD).mean())
+
+    free, held = (toxicity.fit(rows, labels, changes, counterfactual=x) for x in (0.0, toxicity.COUNTERFACTUAL))
+    print("recall and neutral mentions taken for attacks, free and held:", *(share(m, x) for m in (free, held) for x in (attacks, mentions)))
+    assert share(held, attacks) >= share(free, attacks) - 0.03
+    assert share(free, mentions) > 0.1 and share(held, mentions) < share(free, mentions) / 4
+
+
+def test_toxicity_swaps_terms_not_cells():
+    identity = toxicity.Identity()
+
+    def changes(text):
+        raw = text.encode()
+        w = toxicity.c.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.c.TERMS)
+        t, h = toxicity.features(w)
+        found = {}
+        for word, term in zip(*identity.found(w), strict=True):
+            found.setdefault(int(term), []).append(int(word))
+        return identity.changes(h, w, 0, len(w.hash), found), h
+
+    plain, _ = changes("a calm day near the river")
+    assert len(plain) == toxicity.INSERTED and all(not len(gone) and len(came) for gone, came in plain)
+    swapped, own = changes("die Frauen gehen, WOMEN walk")
+    gone, came = swapped[0]
+    wanted = {"women": "men", "frauen": "männer"}
+    assert len(swapped) == 2 + toxicity.INSERTED
+    sets = [frozenset(np.setdiff1d(np.union1d(own, came), gone).tolist()) for gone, came in swapped[:2]]
+    raws = [f"die {wanted['frauen']} gehen, women walk", f"die frauen gehen, {wanted['women']} walk"]
+    assert set(sets) == {frozenset(changes(x)[1].tolist()) for x in raws}
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "a<|end|>\\"), (1, 1, "assistant", "<|text|>b"), (1, 2, "assistant", "\\<|"), (1, None, None, None), (None, 5, "assistant", ""), (1, 2, "assistant", "\\<|")]
     said += [(9, i, "user" if i % 3 else "assistant", f"t{i}\n") for i in range(200)]
@@ -346,9 +413,61 @@ def test_jaccard(docs, none, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in jaccard.linked(docs).collect()) == brute()
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 50)
     assert sorted((str(r[0]), *r[1:]) for r in jaccard.linked(docs).collect()) == brute()
+    monkeypatch.undo()
+    monkeypatch.setattr(jaccard, "NEAR", 2)
+    monkeypatch.setattr(jaccard, "HEAVY", 2)
+    assert sorted((str(r[0]), *r[1:]) for r in jaccard.linked(docs).collect()) == brute()
+    monkeypatch.setattr(jaccard, "ONE_BY_ONE", 2)
+    assert sorted((str(r[0]), *r[1:]) for r in jaccard.linked(docs).collect()) == brute()
     assert jaccard.linked(none).count() == 0 and jaccard.deduplicated(docs).columns == docs.columns
 
 
+def test_jaccard_keeps_unlike_rows_of_one_id(spark):
+    other = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, BASE, "b"), (1, other, "a"), (1, BASE, "a"), (2, other + " end", "a"), (3, BASE, "a"), (4, "", "x"), (4, "", "x"), (None, BASE, "n"), (5, "alone in the world with nothing like it", "q"), (1, other + " end", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for _ in range(2):
+        got = sorted(map(str, map(tuple, jaccard.deduplicated(docs).collect())))
+        assert len(got) == 6 and str((1, BASE, "a")) in got and str((None, BASE, "n")) in got and got.count(str((4, "", "x"))) == 2
+        assert sum(x.startswith("(1, 'w0 ") for x in got) == 1 and str((5, rows[8][1], "q")) in got
+
+
+def test_jaccard_place_of_dissimilar_sets(spark):
+    """20,000 sets share a passage as their rarest part; none is similar to another but for planted ones."""
+    rng = np.random.default_rng(2)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [(i, shared + " " + " ".join(f"v{x}" for x in rng.integers(0, 400, 30))) for i in range(20_000)]
+    texts += [(20_000 + i, t.replace(" v", " v", 1) + " more") for i, t in texts[:50]]
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in jaccard.linked(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()}
+    assert all(got[20_000 + i] == got[i] == i for i in range(50)) and all(got[i] == i for i in range(20_000))
+    assert time.time() - began < 180
+
+
+def test_candidate_links_connect_every_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
+        sets = []
+        for i in range(40):
+            x = base[i % 6].copy()
+            x[: rng.integers(0, 12)] = rng.integers(0, 1 << 62, 1)
+            sets.append(np.unique(x))
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        bits = jaccard.parity(edges, np.concatenate(sets))
+        size = np.diff(edges)
+        near = {(i, j): bool(jaccard.may_be_similar(size[i], bits[i], size[j], bits[j])) for i in range(40) for j in range(i)}
+        assert all(ok for (i, j), ok in near.items() if jaccard.similar(sets[i], sets[j]))
+        root = list(range(40))
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in jaccard.connect(np.arange(40), size, bits):
+            root[find(a)] = find(b)
+        assert all(find(i) == find(j) for (i, j), ok in near.items() if ok)
+
+
 def test_t_occurrence():
     rng = np.random.default_rng(3)
     for _ in range(300):
