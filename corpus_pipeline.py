@@ -55,8 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what only a stage needed is removed."""
     docs = common.documents(spark, sf_dir)
+    before = common.mark()
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_since(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
