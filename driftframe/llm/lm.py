@@ -1,12 +1,16 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax, over exact counts.
 
 1. Counts of all words of all training texts, by blocks of hash ranges (no word list on the driver).
-2. Frequent words get classes: groups of words that follow the same frequent words, times frequency bins; all
-   other words are one class.  The class of a word depends on its hash alone, so the model is normalised.
-3. P(class | history) is a softmax over hashed features: the previous word, the word before it (a skip), and
-   both.  Distributed gradient updates: partitions sum the gradient over all training tokens, in slices; the
-   merged slices update the weights with steps scaled by the curvature.  The first update needs counts alone.
-4. P(word | class) comes from the counts.  Scoring reads texts in array batches.  Counts of frequent words are
+2. Frequent words get a code of three digits to the base 16: a group of words that follow the same frequent words, a
+   frequency bin of the group, and a bin of that bin.  All other words are the group 15.  Group and bins are the
+   class of a word; its last digit is the trained factor of the word within its class.  The code of a word depends
+   on its hash alone, so the model is normalised.
+3. P(digit | history, digits before) is a softmax over hashed features: the previous word, the word before it (a skip),
+   and both, each with the digits before.  The number of hashed rows grows with the training tokens.
+4. Distributed gradient updates: the training texts are dealt into ``SLICES`` by hash.  The counts of the first slice
+   give the first weights; each of the others gives one update, so every training token is used.  Partitions sum
+   the gradient of their tokens; the sums are added in two steps and update the weights with steps scaled by the curvature.
+5. P(word | code) comes from the counts.  Scoring reads texts in array batches.  Counts of frequent words are
    broadcast (a bounded table); the others' are met by hash range: a text's rare words go to the counts, as
    blocks, and their sums return to the text's row.
 
@@ -25,13 +29,16 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: Words whose counts are broadcast, at most; those with a class of their own group; contexts that make groups.
+#: Words whose counts are broadcast, at most; those with a code of their own; contexts that make groups.
 FREQUENT, GROUPED, CONTEXTS = 1 << 19, 1 << 16, 128
-GROUPS, BINS = 5, 3
-CLASSES = GROUPS * BINS + 1
-#: Hashed rows of each feature kind, feature kinds, full gradient updates, prior weight of a row, step of the first and the others.
-ROWS, KINDS, UPDATES, PRIOR, FIRST_STEP, STEP = 1 << 15, 3, 1, 20.0, 0.45, 0.5
-SLICE = 1 << 12
+#: Digits of a code, its base, the group of all other words, feature kinds.
+LEVELS, BASE, OTHERS, KINDS = 3, 16, 15, 3
+#: log2 of the hashed rows of a level and kind: of the training tokens, less so many, within bounds.
+ROW_BITS, LEAST_BITS, MOST_BITS = 13, 12, 17
+#: Slices of the training texts; prior weight of a row; the step of the first weights and of the updates.
+SLICES, PRIOR, FIRST_STEP, STEP = 6, 20.0, 0.45, 0.5
+#: Rows to a part of the sums; characters to a task of an update with the fewest rows; parts that a task adds, at most.
+PART_ROWS, TASK_CHARS, FAN_IN = 1 << 11, 3_000_000, 16
 HELD = 4_000_000
 BUCKET_CHARS = 12_000_000
 END, BEGIN = np.uint64(0x7E2F6B1D9C3A5E01), np.uint64(0x3D1C5A7E9B2F4C03)
@@ -64,12 +71,10 @@ class Tokens:
         two[self.first[:-1]] = BEGIN
         return one, two
 
-    def features(self) -> np.ndarray:
-        """Row numbers of the features, KINDS x tokens."""
+    def features(self) -> tuple[np.ndarray, ...]:
+        """A hash for each feature kind."""
         one, two = self.histories()
-        mask = np.uint64(ROWS - 1)
-        both = c.mix(one * np.uint64(0xFF51AFD7ED558CCD) + two)
-        return np.stack([one & mask, two >> np.uint64(20) & mask, both & mask]).astype(np.int64)
+        return one, c.mix(two ^ np.uint64(0x94D049BB133111EB)), c.mix(one * np.uint64(0xFF51AFD7ED558CCD) + two)
 
 
 def sums_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,20 +144,32 @@ class Vocabulary:
         self.assign(np.zeros(0, np.int64))
 
     def assign(self, groups: np.ndarray) -> None:
-        """groups: a group for each rank below GROUPED; -1: none."""
-        self.classes = np.full(len(self.hashes), CLASSES - 1, np.int64)
+        """groups: a group below OTHERS for each rank below GROUPED; -1: none.
+
+        A group's words are cut into bins of about the same mass, each of which is cut once more; -1 is the code of others."""
+        self.codes = np.full(len(self.hashes), -1, np.int32)
         by_rank = np.argsort(self.rank)[: len(groups)]
         mass = np.sqrt(self.counts[by_rank].astype(float))
-        for g in range(GROUPS):
+
+        def bins(m: np.ndarray) -> np.ndarray:
+            total = np.cumsum(m)
+            return np.minimum(BASE - 1, (BASE * (total - m / 2) / total[-1]).astype(np.int64))
+
+        for g in range(OTHERS):
             own = np.flatnonzero(groups == g)
-            total = np.cumsum(mass[own])
-            if len(own):
-                self.classes[by_rank[own]] = g * BINS + np.minimum(BINS - 1, (BINS * (total - mass[own]) / total[-1]).astype(np.int64))
-        words = np.bincount(self.classes, minlength=CLASSES).astype(float)
-        tokens = np.bincount(self.classes, self.counts, CLASSES)
-        words[-1] += self.words - len(self.hashes)
+            if not len(own):
+                continue
+            second = bins(mass[own])
+            for d in np.unique(second):
+                part = own[second == d]
+                self.codes[by_rank[part]] = (g * BASE + d) * BASE + bins(mass[part])
+        leaves = OTHERS * BASE * BASE + 1  # the last: others
+        leaf = np.where(self.codes >= 0, self.codes, leaves - 1)
+        words = np.bincount(leaf, minlength=leaves).astype(float)
+        tokens = np.bincount(leaf, self.counts, leaves)
+        words[-1] += self.words - len(self.hashes) + 1  # one for words never met
         tokens[-1] += self.tokens - self.counts.sum()
-        self.class_words, self.class_tokens = words, tokens
+        self.leaf_words, self.leaf_tokens = words, tokens
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 where it isn't frequent."""
@@ -162,8 +179,21 @@ class Vocabulary:
         at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == h, at, -1)
 
-    def class_of(self, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, self.classes[at] if len(self.classes) else 0, CLASSES - 1)
+    def code_of(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, self.codes[at] if len(self.codes) else -1, -1)
+
+    def biases(self) -> list[np.ndarray]:
+        """For each level the log shares of a digit after the digits before; a digit that no word has gets nothing."""
+
+        def tables(leaves: np.ndarray) -> list[np.ndarray]:
+            own = leaves[:-1].reshape(OTHERS, BASE, BASE)
+            return [np.append(own.sum((1, 2)), leaves[-1])[None, :], own.sum(2), own.reshape(-1, BASE)]
+
+        out = []
+        for words, tokens in zip(tables(self.leaf_words), tables(self.leaf_tokens), strict=True):
+            mass = np.where(words > 0, tokens + 0.1, 0)
+            out.append(np.where(words > 0, np.log((mass + 1e-30) / np.maximum(mass.sum(1, keepdims=True), 1e-30)), -1e4).astype(np.float32))
+        return out
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -185,7 +215,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h, n, row["words"] or 0, row["tokens"] or 0)
 
 
-# ---- classes
+# ---- codes
+
+
+def added(parts: DataFrame, add, schema: str) -> DataFrame:
+    """Blocks of a part added to one: where many partitions send some, in groups of partitions first."""
+    groups = -(-parts.rdd.getNumPartitions() // FAN_IN)  # the scan's; nothing runs
+    if groups > 1:
+        parts = parts.withColumn("grp", F.spark_partition_id() % groups).groupBy("part", "grp").applyInArrow(add, schema)
+    return parts.groupBy("part").applyInArrow(add, schema)
 
 
 def group_words(train: DataFrame, known: Vocabulary) -> np.ndarray:
@@ -222,11 +260,11 @@ def group_words(train: DataFrame, known: Vocabulary) -> np.ndarray:
         if held:
             yield send()
 
-    def add(table):
+    def add(key, table):
         k, v = sums_by_key(c.joined(table.column("k").to_pylist(), "<i8"), c.joined(table.column("n").to_pylist(), "<i8"))
-        return pa.table({"k": pa.array([c.packed(k, "<i8")], pa.binary()), "n": pa.array([c.packed(v, "<i8")], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([c.packed(k, "<i8")], pa.binary()), "n": pa.array([c.packed(v, "<i8")], pa.binary())})
 
-    got = train.mapInArrow(run, "part int, k binary, n binary").groupBy("part").applyInArrow(add, "k binary, n binary").toArrow()
+    got = added(train.mapInArrow(run, "part int, k binary, n binary"), add, "part int, k binary, n binary").toArrow()
     k, v = (c.joined(got.column(x).to_pylist(), "<i8") for x in ("k", "n"))
     table = np.zeros((n, contexts), np.float32)
     table[k // CONTEXTS, k % CONTEXTS] = v
@@ -241,16 +279,16 @@ def spherical_groups(table: np.ndarray, rounds: int = 15) -> np.ndarray:
     rows = rows / np.maximum(norm, 1e-9)
     weight = table.sum(1)
     heavy = np.flatnonzero(some)[np.argsort(-weight[some], kind="stable")][:4000]
-    if len(heavy) < GROUPS:
+    if len(heavy) < OTHERS:
         return np.where(some, 0, -1)
     sample, mass = rows[heavy], weight[heavy, None]
     centres = [sample[0]]
-    for _ in range(GROUPS - 1):
+    for _ in range(OTHERS - 1):
         centres.append(sample[int(np.argmin((sample @ np.array(centres).T).max(1) - 1e-6 * np.log1p(mass[:, 0])))])
     centres = np.array(centres)
     for _ in range(rounds):
         own = (sample @ centres.T).argmax(1)
-        for g in range(GROUPS):
+        for g in range(OTHERS):
             if (own == g).any():
                 centre = (sample[own == g] * mass[own == g]).sum(0)
                 centres[g] = centre / max(float(np.linalg.norm(centre)), 1e-9)
@@ -260,11 +298,20 @@ def spherical_groups(table: np.ndarray, rounds: int = 15) -> np.ndarray:
 # ---- gradient
 
 
-def logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out = weights[0][features[0]] + bias
-    for k in range(1, KINDS):
-        out += weights[k][features[k]]
-    return out
+def digits_of(code: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray, np.ndarray]]:
+    """For each level: the tokens that have such a digit, the digits before as a number, and the digit."""
+    own = np.flatnonzero(code >= 0)
+    some = code[own]
+    return [(slice(None), np.zeros(len(code), np.int64), np.where(code >= 0, code >> 8, OTHERS)), (own, some >> 8, some >> 4 & 15), (own, some >> 4, some & 15)]
+
+
+def rows_of(features: tuple[np.ndarray, ...], level: int, which, before: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The hashed row of each feature kind with the digits before."""
+    if level:
+        salt = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)
+        features = [(f[which] ^ salt) * np.uint64(0xD6E8FEB86659FD93) for f in features]
+    shift = np.uint64(64 - bits)
+    return [(f >> shift).astype(np.int64) for f in features]
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -272,69 +319,128 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradient(train: DataFrame, known: Vocabulary, weights: np.ndarray | None, bias: np.ndarray) -> np.ndarray:
-    """The log likelihood's gradient over all training tokens, KINDS x ROWS x CLASSES.
-
-    Without weights it is the counts of (feature, class), from which the first gradient follows."""
-    shared = train.sparkSession.sparkContext.broadcast((known, weights, bias))
+class Model:
+    """weights: LEVELS x KINDS x rows x BASE; biases by level."""
+
+    def __init__(self, known: Vocabulary, bits: int):
+        self.known, self.bits = known, bits
+        self.weights = np.zeros((LEVELS, KINDS, 1 << bits, BASE), np.float32)
+        self.bias = known.biases()
+
+    def levels(self, tokens: Tokens, code: np.ndarray):
+        """For each level: tokens, rows by kind, digit, and the log probabilities of all digits."""
+        features = tokens.features()
+        for level, (which, before, digit) in enumerate(digits_of(code)):
+            rows = rows_of(features, level, which, before, self.bits)
+            z = self.bias[level][before]
+            for k in range(KINDS):
+                z = z + self.weights[level, k][rows[k]]
+            yield level, which, rows, digit, log_softmax(z)
+
+    def log_probabilities(self, tokens: Tokens, code: np.ndarray) -> np.ndarray:
+        """The log probability of each token's code after its history."""
+        out = np.zeros(len(code))
+        for _, which, _, digit, log_p in self.levels(tokens, code):
+            out[which] += log_p[np.arange(len(digit)), digit]
+        return out
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
+    """Adds each value (a vector) to its row of the total."""
+    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    if len(first):
+        total[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def block_gradient(model: Model, tokens: Tokens, total: np.ndarray) -> None:
+    """Adds what the tokens have of each digit, less what the model expects, to their rows."""
+    code = model.known.code_of(model.known.find(tokens.hash))
+    for level, _, rows, digit, log_p in model.levels(tokens, code):
+        error = -np.exp(log_p)
+        error[np.arange(len(digit)), digit] += 1
+        for k in range(KINDS):
+            row_sums(rows[k], error, total[level, k])
+
+
+def block_counts(model: Model, tokens: Tokens, total: np.ndarray) -> None:
+    """Adds what the tokens have of each digit, and what the biases expect, to their rows: total[0] and total[1]."""
+    code = model.known.code_of(model.known.find(tokens.hash))
+    n = 1 << model.bits
+    for level, (which, before, digit) in enumerate(digits_of(code)):
+        share = np.exp(model.bias[level])[before]
+        for k, rows in enumerate(rows_of(tokens.features(), level, which, before, model.bits)):
+            total[0, level, k] += np.bincount(rows * BASE + digit, minlength=n * BASE).reshape(n, BASE)
+            row_sums(rows, share, total[1, level, k])
+
+
+def slice_sums(train: DataFrame, number: int, model: Model, chars: int, counts: bool) -> np.ndarray:
+    """The sums of block_counts or block_gradient over all tokens of a slice of the training texts.
+
+    A task reads the more text, the larger its sums are, so what is shuffled stays in proportion to the text."""
+    shape = ((2,) if counts else ()) + model.weights.shape
+    tasks = max(4, -(-chars // (SLICES * TASK_CHARS << model.bits - LEAST_BITS)))
+    own = train.where(F.pmod(F.xxhash64("text"), F.lit(SLICES)) == number).coalesce(tasks)
+    shared = train.sparkSession.sparkContext.broadcast(model)
+    add_block = block_counts if counts else block_gradient
 
     def run(batches):
         c.forget()
-        known, weights, bias = shared.value
-        total = np.zeros((KINDS, CLASSES, ROWS), np.float32)
-        some = False
+        model = shared.value
+        total, some = np.zeros(shape, np.float32), False
         for _, _, _, tokens in blocks_of(batches):
             some = True
-            features = tokens.features()
-            classes = known.class_of(known.find(tokens.hash))
-            if weights is None:
-                for k in range(KINDS):
-                    total[k] += np.bincount(classes * ROWS + features[k], minlength=CLASSES * ROWS).reshape(CLASSES, ROWS)
-                continue
-            error = -np.exp(log_softmax(logits(weights, bias, features)))
-            error[np.arange(len(classes)), classes] += 1
-            for k in range(KINDS):
-                order = np.argsort(features[k], kind="stable")
-                rows = features[k][order]
-                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                total[k][:, rows[first]] += np.add.reduceat(error[order], first, axis=0).T
+            add_block(model, tokens, total)
         if some:
-            slices = total.reshape(KINDS, CLASSES, ROWS // SLICE, SLICE).transpose(0, 2, 1, 3)
-            out = [(k * (ROWS // SLICE) + s, np.ascontiguousarray(slices[k, s]).tobytes()) for k in range(KINDS) for s in range(ROWS // SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["slice", "sums"])
+            parts = total.reshape(-1, PART_ROWS * BASE)
+            for first in range(0, len(parts), 64):
+                own = parts[first : first + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(own)), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["part", "sums"])
 
     def add(key, table):
-        total = np.zeros(CLASSES * SLICE, np.float64)
+        total = np.zeros(PART_ROWS * BASE, np.float64)
         for blob in table.column("sums").to_pylist():
             total += np.frombuffer(blob, np.float32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    got = train.mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").toArrow()
-    out = np.zeros((KINDS, ROWS, CLASSES))
-    for s, blob in zip(got.column("slice").to_pylist(), got.column("sums").to_pylist(), strict=True):
-        k, part = divmod(s, ROWS // SLICE)
-        out[k, part * SLICE : (part + 1) * SLICE] = np.frombuffer(blob).reshape(CLASSES, SLICE).T
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    got = added(own.mapInArrow(run, "part int, sums binary"), add, "part int, sums binary").toArrow()
+    out = np.zeros(shape, np.float32)
+    flat = out.reshape(-1, PART_ROWS * BASE)
+    for part, blob in zip(got.column("part").to_pylist(), got.column("sums").to_pylist(), strict=True):
+        flat[part] = np.frombuffer(blob, np.float32)
+    shared.destroy()
     return out
 
 
-class Model:
-    def __init__(self, known: Vocabulary, weights: np.ndarray, bias: np.ndarray):
-        self.known, self.weights, self.bias = known, weights, bias
+def first_weights(model: Model, sums: np.ndarray) -> np.ndarray:
+    """Sets the weights from the first slice, a lone feature's optimum damped as the features overlap; the curvature."""
+    counts, expected = sums
+    rows = np.maximum(counts.sum(-1, keepdims=True), 1e-9)
+    prior = PRIOR * expected / rows
+    model.weights = (FIRST_STEP * np.log((counts + prior + 1e-9) / (expected + prior + 1e-9))).astype(np.float32)
+    return (np.maximum(counts, expected) * 0.5 + PRIOR).astype(np.float32)
+
+
+def update(model: Model, sums: np.ndarray, curvature: np.ndarray) -> None:
+    model.weights += np.clip(STEP * sums / curvature, -1, 1)
+
+
+def row_bits(tokens: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, tokens.bit_length() - ROW_BITS))
 
 
-def fit(train: DataFrame, known: Vocabulary) -> Model:
-    """Bias from the classes' shares, then gradient updates with steps scaled by each weight's curvature."""
+def fit(train: DataFrame, known: Vocabulary, chars: int) -> Model:
+    """Codes and biases from counts, then weights from the slices of the training texts, one update for each."""
     known.assign(group_words(train, known))
-    share = (known.class_tokens + 0.1) / (known.class_tokens + 0.1).sum()
-    bias = np.log(share).astype(np.float32)
-    counts = gradient(train, known, None, bias)
-    rows = counts.sum(2, keepdims=True)
-    # the first update, from the counts: a lone feature's optimum, damped as the features overlap
-    weights = (FIRST_STEP * np.log((counts + PRIOR * share) / ((rows + PRIOR) * share))).astype(np.float32)
-    for _ in range(UPDATES):
-        step = STEP * gradient(train, known, weights, bias) / (rows * np.maximum(counts / np.maximum(rows, 1), share) * 0.5 + PRIOR)
-        weights = (weights + np.clip(step, -2, 2)).astype(np.float32)
-    return Model(known, weights, bias)
+    model = Model(known, row_bits(known.tokens))
+    if not known.tokens:
+        return model
+    curvature = first_weights(model, slice_sums(train, 0, model, chars, counts=True))
+    for number in range(1, SLICES):
+        update(model, slice_sums(train, number, model, chars, counts=False), curvature)
+        c.release(train.sparkSession)
+    return model
 
 
 # ---- scores
@@ -358,7 +464,7 @@ def scored_blocks(docs: DataFrame, model: Model, parts: int) -> DataFrame:
         c.forget()
         model = shared.value
         known = model.known
-        per_class = np.log10(known.class_tokens + 0.1 * (known.class_words + 1))
+        per_leaf = np.log10(known.leaf_tokens + 0.1 * known.leaf_words + 1e-300)
         seen: set[int] = set()
         place = (TaskContext.get().partitionId() + 1) * 0x9E3779B97F4A7C15 & c.MASK64
         rows, rare, total = [], [], 0
@@ -373,9 +479,8 @@ def scored_blocks(docs: DataFrame, model: Model, parts: int) -> DataFrame:
 
         for batch, first, n, tokens in blocks_of(batches, 2):
             at = known.find(tokens.hash)
-            classes = known.class_of(at)
-            z = log_softmax(logits(model.weights, model.bias, tokens.features()))
-            own = z[np.arange(len(classes)), classes].astype(np.float64) / np.log(10) - per_class[classes]
+            code = known.code_of(at)
+            own = model.log_probabilities(tokens, code) / np.log(10) - per_leaf[code]  # -1 is the last, of others
             frequent = at >= 0
             row = np.zeros(n, ROW_TYPE)
             ids = batch.column(0).slice(first, n)
@@ -472,7 +577,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = max(c.parallelism(spark), -(-chars // BUCKET_CHARS))
     train = training(docs)
     counts = c.written(count_words(train, parts), "lm-counts")
-    model = fit(train, vocabulary(counts))
+    model = fit(train, vocabulary(counts), chars)
     blocks = meet_counts(scored_blocks(docs, model, parts), counts, parts)
     return finished(blocks, model.known)
 

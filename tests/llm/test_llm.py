@@ -501,6 +501,92 @@ def test_lm(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_scores_by_a_plain_loop(spark):
+    """Training and scores against loops over tokens and digits; and a distribution that sums to one."""
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 40)) if x < 200)) for i in range(150)] + [(150, ""), (151, None), (152, "W1 w1"), (153, "never met"), (152, "W1 w1")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_tokens, round(r.score, 3)) for r in lm.score(docs).collect()}
+    train = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+    numbered = spark.createDataFrame(list(enumerate(t for _, t in train)), "i long, text string").select("i", F.pmod(F.xxhash64("text"), F.lit(lm.SLICES)).alias("s"))
+    slice_of = dict(map(tuple, numbered.collect()))
+    blocks = [lm.Tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])) for _, t in train]
+    h, n = np.unique(np.concatenate([b.hash for b in blocks]), return_counts=True)
+    known = lm.Vocabulary(h, n, len(h), int(n.sum()))
+    follows = np.zeros((len(h), min(lm.CONTEXTS, len(h))), np.float32)
+    for b in blocks:
+        r = known.rank[known.find(b.hash)]
+        for one, word in zip(r, r[1:], strict=False):
+            if one < follows.shape[1]:
+                follows[word, one] += 1
+    known.assign(lm.spherical_groups(follows))
+    model = lm.Model(known, lm.row_bits(known.tokens))
+
+    def steps(b):
+        """(digits before, digit, rows) of each level of each token."""
+        features = b.features()
+        for j, code in enumerate(known.code_of(known.find(b.hash)).tolist()):
+            digits = [lm.OTHERS] if code < 0 else [code >> 8, code >> 4 & 15, code & 15]
+            before = 0
+            for level, d in enumerate(digits):
+                rows = []
+                for f in features:
+                    x = int(f[j])
+                    if level:
+                        x = (x ^ (before * 0x9E3779B97F4A7C15 + level & (1 << 64) - 1)) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+                    rows.append(x >> 64 - model.bits)
+                yield j, level, before, d, rows
+                before = before * 16 + d if level else d
+
+    def log_p(level, before, rows):
+        z = model.bias[level][before].astype(float) + sum(model.weights[level, k][r].astype(float) for k, r in enumerate(rows))
+        return z - np.log(np.exp(z).sum())
+
+    sums = np.zeros((2, *model.weights.shape))
+    for i, b in enumerate(blocks):
+        if slice_of[i] == 0:
+            for _, level, before, d, rows in steps(b):
+                for k, r in enumerate(rows):
+                    sums[0, level, k, r, d] += 1
+                    sums[1, level, k, r] += np.exp(model.bias[level][before])
+    curvature = lm.first_weights(model, sums.astype(np.float32))
+    for s in range(1, lm.SLICES):
+        total = np.zeros(model.weights.shape)
+        for i, b in enumerate(blocks):
+            if slice_of[i] == s:
+                for _, level, before, d, rows in steps(b):
+                    for k, r in enumerate(rows):
+                        total[level, k, r] -= np.exp(log_p(level, before, rows))
+                        total[level, k, r, d] += 1
+        lm.update(model, total.astype(np.float32), curvature)
+    count = dict(zip(h.tolist(), n.tolist(), strict=True))
+
+    def score(text):
+        b = lm.Tokens(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        code, out = known.code_of(known.find(b.hash)), 0.0
+        for _, level, before, d, rows in steps(b):
+            out += log_p(level, before, rows)[d] / np.log(10)
+        for x, leaf in zip(b.hash.tolist(), code.tolist(), strict=True):
+            out += np.log10((count.get(x, 0) + 0.1) / (known.leaf_tokens[leaf] + 0.1 * known.leaf_words[leaf]))
+        return len(b.hash), out
+
+    for i, t in texts:
+        size, wanted = score(t)
+        assert any(a == i and b == size and abs(x - wanted) < 0.02 for a, b, x in got), (i, t, wanted)
+    base, wanted = score("w1 w2")[1], 0.0  # a text "w1 w2 w" for all words w, the end among them, and one that was never met
+    names = {f"w{i}" for i in range(1, 200)}
+    for name in [x for x in names if int(lm.Tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hash[0]) in count] + ["nevermet"]:
+        b = lm.Tokens(np.frombuffer(f"w1 w2 {name}".encode(), np.uint8), np.array([0, len(f"w1 w2 {name}")]))
+        code = known.code_of(known.find(b.hash))
+        own = sum(log_p(level, before, rows)[d] for j, level, before, d, rows in steps(b) if j == 2)
+        leaf, x = int(code[2]), int(b.hash[2])
+        wanted += np.exp(own) * (count.get(x, 0) + 0.1) / (known.leaf_tokens[leaf] + 0.1 * known.leaf_words[leaf])
+    b = lm.Tokens(np.frombuffer(b"w1 w2", np.uint8), np.array([0, 5]))
+    leaf = int(known.code_of(known.find(b.hash))[2])
+    wanted += np.exp(sum(log_p(level, before, rows)[d] for j, level, before, d, rows in steps(b) if j == 2)) * (count[int(lm.END)] + 0.1) / (known.leaf_tokens[leaf] + 0.1 * known.leaf_words[leaf])
+    assert abs(wanted - 1) < 1e-3 and base < 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
