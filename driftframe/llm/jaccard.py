@@ -358,8 +358,10 @@ def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def search(placed: DataFrame) -> DataFrame:
-    """Links within each place of each task's rows (task, place, node, text)."""
+def search(placed: DataFrame, tasks: int) -> DataFrame:
+    """Links within each place of each task's rows (task, place, node, text).
+
+    As many partitions as tasks: by size, adaptive execution would join small partitions of long work."""
 
     def run(table):
         places = table.column("place").to_numpy()
@@ -374,7 +376,7 @@ def search(placed: DataFrame) -> DataFrame:
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.groupBy("task").applyInArrow(run, "a long, b long")
+    return placed.repartition(tasks, "task").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def pivot_links(rows: DataFrame) -> DataFrame:
@@ -397,8 +399,8 @@ def pivot_links(rows: DataFrame) -> DataFrame:
     return rows.withColumn("linked", is_similar("text", "pivot_text"))
 
 
-def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the search, and the links to pivots.
+def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Rows of the search, the number of its tasks, and the links to pivots.
 
     Small places share tasks.  In a large one, blocks of sets that aren't linked to the pivot meet each block."""
     rows = classes.join(places, "node").select("node", "text", F.col("component").alias("place"))
@@ -421,6 +423,7 @@ def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     share = F.col("blocks") / (F.col("n_linked") + F.col("n_others"))
     counts = counts.select(F.col("place").alias("p"), F.ceil(F.col("n_linked") * share).cast("int").alias("b_linked"), F.ceil(F.col("n_others") * share).cast("int").alias("b_others")).where("b_others > 0")
+    pairs = counts.agg(F.sum(F.col("b_others") * F.col("b_linked") + F.col("b_others") * (F.col("b_others") + 1) / 2)).first()[0] or 0
     large = large.join(counts, F.col("place") == F.col("p"))
     block = F.when(F.col("linked"), F.pmod(F.xxhash64("node"), F.col("b_linked"))).otherwise(F.col("b_linked") + F.pmod(F.xxhash64("node"), F.col("b_others"))).cast("int")
     large = large.withColumn("block", block)
@@ -429,7 +432,7 @@ def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]
     met = F.when(F.col("b_linked") + F.col("b_others") == 1, met).otherwise(F.filter(met, lambda x: x != F.col("block")))
     large = large.withColumn("other", F.explode(met))
     task = F.xxhash64("place", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(large.select(task.alias("task"), "place", "node", "text")), found
+    return small.unionByName(large.select(task.alias("task"), "place", "node", "text")), tasks + int(pairs), found
 
 
 def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -454,8 +457,8 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = graph.components(candidate_links(prefix_blocks(classes, counts, parts)))
     counts.destroy()
     c.release(spark)
-    rows, found = placed(classes, places)
-    found = graph.components(search(rows).unionByName(found))
+    rows, tasks, found = placed(classes, places)
+    found = graph.components(search(rows, tasks).unionByName(found))
     c.release(spark)
     parts_of = classes.select("node", "least").join(found, "node")
     least = parts_of.groupBy("component").agg(F.min("least").alias("component_id"))
