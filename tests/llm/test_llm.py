@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,7 +185,13 @@ def test_media(docs, none, spark):
     for r in media.text_media(docs).collect():
         texts = [s or "" for i, s in TEXTS if i == r.doc_id]
         raws = [s.encode() + b"\0" * (-len(s.encode()) % 64 or (0 if s else 64)) for s in texts]
-        assert (r.payload_sha256, r.tail_crc32) in [(hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:])) for x in raws] and r.payload_bytes % 64 == 0
+        want = []
+        for text, raw in zip(texts, raws, strict=True):
+            stored, samples = media.mux(raw), list(raw)
+            steps = sum(abs(a - b) for a, b in zip(samples, samples[1:], strict=False))
+            want.append((len(text.encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"sum={sum(samples)};steps={steps}"))
+        assert (*r[1:7], r.feature.split(";", 5)[5]) in want and f"packets={-(-r.payload_bytes // 1024)};clusters=1;cues=1;" in r.feature
+        assert r.payload_bytes % 64 == 0 and f";ms={r.payload_bytes / 8:.3f};" in r.feature
     assert media.text_media(none).count() == 0
     for n in (64, 1024, 1088, 7 * 1024 + 64, 300_032):
         data = bytes(np.random.default_rng(n).integers(0, 256, n, np.uint8))
@@ -202,6 +209,42 @@ def test_media(docs, none, spark):
     assert [(r.id, r.error is None) for r in sorted(got, key=lambda r: r.id)] == [(1, True), (2, False)]
 
 
+def test_media_of_other_muxers():
+    """Unknown sizes, block groups, a cue point with several positions, one without a time, and one without a cluster."""
+    m, unknown = media, b"\x01" + b"\xff" * 7
+    entries = b"".join(m.element(m.TRACK_ENTRY, m.uint(m.TRACK_NUMBER, i) + m.element(m.CODEC_ID, b"A_PCM/INT/LIT")) for i in (1, 2))
+    head = m.element(m.EBML, m.element(m.DOC_TYPE, b"matroska"))
+    first = m.uint(m.TIMESTAMP, 5) + m.element(m.BLOCK_GROUP, m.element(m.BLOCK, m.laced([b"one", b"three"], 1, 2)) + m.uint(m.REFERENCE, 1))
+    second = m.uint(m.TIMESTAMP, 9) + m.element(m.BLOCK_GROUP, m.element(m.BLOCK, m.laced([b"two"], 2, -1)))
+    body = m.element(m.TRACKS, entries) + m.element(m.VOID, b"gap")
+    places = [len(body), len(body) + 12 + len(first)]
+    body += m.ebml_id(m.CLUSTER) + unknown + first + m.ebml_id(m.CLUSTER) + unknown + second
+    at = [m.element(m.CUE_POSITIONS, m.uint(m.CUE_TRACK, track) + m.uint(m.CUE_CLUSTER, place)) for track, place in ((1, places[0]), (2, places[1]))]
+    cues = m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 7) + b"".join(at)) + m.element(m.CUE_POINT, m.element(m.CUE_POSITIONS, m.uint(m.CUE_CLUSTER, places[1])))
+    cues += m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 8) + m.element(m.CUE_POSITIONS, m.uint(m.CUE_TRACK, 1)))
+    segment = head + m.ebml_id(m.SEGMENT) + unknown
+    data = segment + body + m.element(m.CUES, cues)
+    got = m.parse(data)
+    assert [(p.track, p.timestamp, p.keyframe, p.cluster, data[p.offset : p.offset + p.size]) for p in got.packets] == [(1, 7, False, 0, b"one"), (1, 7, False, 0, b"three"), (2, 8, True, 1, b"two")]
+    base = len(segment)
+    assert got.clusters == [(base + places[0], 5), (base + places[1], 9)]
+    assert got.cues == [(7, 1, base + places[0]), (7, 2, base + places[1]), (0, 1, base + places[1])]
+
+
+def test_texts_beyond_a_block():
+    """Texts longer than what is hashed at once, between null, empty and short ones."""
+    texts = [None, "", BASE, " ".join(f"w{i % 50_021}é" for i in range(60_000)), "\n", "a" * 300_000, BASE + " " + BASE, None]
+    column = pa.array(texts, pa.string())
+    assert max(len((t or "").encode()) for t in texts) > jaccard.c.BYTES_AT_ONCE
+    assert jaccard.set_digests(column)[0].tolist() == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) or bool(w) for w in (words(t, True) for t in texts)]
+    got = quality.measure(column, quality.Fertility(PIECE)).to_pylist()
+    for t, r in zip(texts, got, strict=True):
+        w = words(t)
+        count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+
+
 def test_substring(docs, none):
     rows = sorted(((i if i is not None else 1 << 63, s) for i, s in TEXTS), key=lambda x: x[0])
     first = {}
@@ -342,11 +385,78 @@ def test_quality(docs, none):
         count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         lines = [x for x in (r.text or "").split("\n") if words(x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        symbols = len(re.findall(quality.SYMBOLS, r.text or ""))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(covered))
         assert r["__df_base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
     assert quality.apply(none, PIECE).count() == 0 and quality.apply(docs, PIECE).columns == docs.columns
 
 
+def test_quality_verdicts_by_a_plain_loop(spark):
+    """Measures, bands and verdicts against loops over words: odd texts among plain ones, copies, languages without support."""
+    import sentencepiece
+
+    rng = np.random.default_rng(5)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    plain = BASE.split()
+
+    def text(kind):
+        n = int(rng.integers(24, 90))
+        if kind == "plain":
+            return " ".join(rng.choice(plain, n))
+        if kind == "codes":
+            return " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(n))
+        if kind == "bytes":
+            return " ".join("".join(map(chr, rng.integers(0x1200, 0x1240, 3))) for _ in range(n))
+        return " ".join(rng.choice(plain[:3], n))
+
+    kinds = ["plain"] * 110 + ["codes"] * 5 + ["bytes"] * 4 + ["few"] * 6
+    rows = [(i, text(kind) + (" <b> 50% #1 |" if i % 4 == 0 else ""), ("en", "en", "de", None, "xx" if i < 20 else "en")[i % 5]) for i, kind in enumerate(kinds)]
+    rows += [(1000 + i, *rows[3][1:]) for i in range(40)] + [(2000, None, "en"), (2001, "", "de"), (2002, "too short", "en"), (None, rows[0][1], " ")]
+
+    def measures(t):
+        w = words(t)
+        ids = [i for x in w for i in model.encode(x)]
+        n, count = max(len(ids), 1), collections.Counter(ids).values()
+        entropy = (np.log2(len(ids)) - sum(x * np.log2(x) for x in count) / len(ids)) / np.log2(len(ids)) if len(ids) > 1 else 1.0
+        return len(ids), {"chars_per_token": sum(map(len, w)) / n, "fallback_share": sum(map(model.is_byte, ids)) / n, "entropy": entropy}
+
+    def classes(t, lang, n):
+        letters = collections.Counter(int(x) for x in quality.SCRIPT[np.frombuffer((t or "").encode(), np.uint8)] if x)
+        script = "script:" + quality.SCRIPTS[min(letters, key=lambda x: (-letters[x], x), default=0)]
+        size = int(np.log2(max(n, 1)))
+        own = [("lang:" + lang, size), ("lang:" + lang, None)] if (lang or "").strip() else []
+        return [*own, (script, size), (script, None), ("all", None)]
+
+    def base_failed(t):
+        w = words(t)
+        count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        return len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+    members = collections.defaultdict(dict)
+    for _, t, lang in rows:
+        if not base_failed(t):
+            n, m = measures(t)
+            own = classes(t, lang, n)
+            for name in own:
+                members[name][tuple(own), tuple(words(t))] = m
+    want = collections.Counter()
+    for i, t, lang in rows:
+        n, m = measures(t)
+        kept = not base_failed(t)
+        name = next((x for x in classes(t, lang, n) if len(members[x]) >= quality.SUPPORT or (x[0] == "all" and members[x])), None)
+        for x in quality.LEAST if kept else ():
+            steps = sorted(int(np.floor(v[x] * quality.GRID[x])) for v in members[name].values())
+            low, middle, high = ((next(s for k, s in enumerate(steps, 1) if k >= q * len(steps)) + 0.5) / quality.GRID[x] for q in (0.1, 0.5, 0.9))
+            half = max(quality.LEAST[x], quality.RANGES * (high - low))
+            kept &= middle - half <= m[x] and (x in quality.ONE_SIDED or m[x] <= middle + half)
+        want[i, base_failed(t), bool(kept)] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = quality.judged(frame, PIECE).select("doc_id", "__df_base_failed", "__df_kept").collect()
+    assert collections.Counter(map(tuple, got)) == want
+    assert {k for (i, f, k), _ in want.items() if not f} == {True, False}
+
+
 def test_license(spark, none):
     grant = license.TEMPLATES["MIT-grant"]
     texts = [(1, "x " * 50 + grant + " y" * 50), (2, "Released under the MIT License."), (3, " ".join(grant.split()[:12])), (4, None), (2, "Released under the MIT License."), (5, "software software")]
@@ -592,3 +702,15 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= n
         n = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == n
+
+
+def test_pipeline_stages_on_odd_tables(docs, none, spark):
+    """Nulls, empty texts, repeated rows, null ids and clashing columns pass every stage; so does an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for rows in (docs, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.common.written(stage(spark, rows, sf), f"odd-{name}")
+            assert out.columns == rows.columns and out.exceptAll(rows).where("n_chars = 1").count() == 0, name
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
