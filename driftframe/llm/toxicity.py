@@ -280,7 +280,7 @@ def descend(text, column, labels, weight, swap, size, l1, counterfactual, steps,
     n = len(labels)
     v, v_bias, momentum, best = w.copy(), bias, 1.0, np.inf
     widths = np.bincount(text, minlength=n) + 1
-    penalty = counterfactual if n_swaps else 0.0
+    penalty = counterfactual if len(swap_row) else 0.0
     step = 1 / (0.25 * float((weight * widths).sum()) / 8 + 2.2 * penalty * steepest(swap_row, swap_column, swap_sign, n_swaps, size))
     for _ in range(steps):
         z = np.bincount(text, v[column], n) + v_bias
@@ -293,7 +293,7 @@ def descend(text, column, labels, weight, swap, size, l1, counterfactual, steps,
             continue
         best = min(loss, best)
         error = weight * (p - labels)
-        gradient = np.bincount(column, error[text], size)
+        gradient = np.bincount(column, error[text], size).astype(float)  # whole numbers where there are no features
         if penalty:
             gradient += 2 * penalty / n_swaps * np.bincount(swap_column, swap_sign * change[swap_row], size)
         new_w = v - step * gradient
