@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles reach a similarity of 0.75, and their components.
 
-1. Shared shingles.  A count-min row over all shingles says which occur in two documents or more (never missing
-   one).  A document with a partner shares at least 75 % of its set; the others are alone and done.
-2. Classes.  Documents with equal sets are one class, represented by one text.  A second row counts the classes
-   of each shingle: classes that share less than 75 % with other classes are done as well.
+1. Shared shingles.  Every block of sets asks, part of the hash space by part, which of its shingles other sets have
+   as well (four bytes to a shingle, never missing one).  A document with a partner shares at least 75 % of its set;
+   the others are alone and done.
+2. Classes.  Documents with equal sets are one class, represented by one text.  Asked again, classes learn how many
+   have each of their shingles: those that share less than 75 % with other classes are done as well.
 3. Candidates.  Shingles are put in one order, those of the fewest classes first.  Two sets with the similarity
    share one of the first n - ceil(0.75 n) + 1 of each, so passages that many texts share seldom bring others
    together.  Blocks of those hashes come together by hash, each set with a parity sketch of 512 bits: sketches
@@ -29,6 +30,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,10 @@ SHINGLE = 5
 NEED, OF = 75, 100
 #: Bytes of text to a task of the search; bytes and sets to a block of a large place; prefix hashes to a bucket.
 TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 600_000, 1_000_000
+#: Shingles to a part of the hash space and rows to a block of those that ask; what stands for no row; bits that tell a part's shingles apart.
+PART_SHINGLES, BLOCK_ROWS, NO_ROW, LOW_BITS = 2_000_000, 32_000, 0xFFFF, 24
+#: Counts of classes that have a shingle go up to this.
+MOST = 255
 #: 64-bit words of a parity sketch; sets of one prefix hash whose sketches are compared by neighbourhood, and one by one, at most.
 SKETCH_WORDS, NEAR, ONE_BY_ONE = 8, 64, 30_000
 #: Classes with a greater share of all rows than one in so many are joined by broadcast: at most so many.
@@ -76,71 +82,196 @@ def least_shared(n: int) -> int:
     return -(-NEED * n // OF)
 
 
-def sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
-    def run(batches):
+def set_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and 128-bit digest of each text's set."""
+    n, d1, d2 = (np.zeros(len(texts), np.int64) for _ in range(3))
+    for first, rows, edges, h in sets_of(texts):
+        for out, x in zip((n, d1, d2), digests(edges, h), strict=True):
+            out[first : first + rows] = x
+    return n, d1, d2
+
+
+def digests(edges: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.diff(edges)
+    d1, d2 = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        for out, salt in ((d1, 0x1F83D9AB), (d2, 0x5BE0CD19)):
+            out[some] = c.mix(np.add.reduceat(c.mix(h ^ np.uint64(salt)), edges[:-1][some]) + np.uint64(salt)).view(np.int64)
+    return size, d1, d2
+
+
+ASKED = "part int, block long, low binary, row binary, head binary"
+ANSWERED = "block long, part int, low binary, row binary, count binary, head binary"
+
+
+def ids_in_parts(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash above its LOW_BITS bits there.  That two shingles fall together does no more than raise a count."""
+    part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return part << np.uint64(LOW_BITS) | h & np.uint64((1 << LOW_BITS) - 1)
+
+
+def squeeze(low: np.ndarray) -> bytes:
+    """Ascending values of 24 bits as their differences, byte by byte: the highest bytes are alike and compress."""
+    return np.diff(low, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def expand(blob: bytes) -> np.ndarray:
+    a, b, d = np.frombuffer(blob, np.uint8).reshape(3, -1).astype(np.int64)
+    return np.cumsum(a | b << 8 | d << 16)
+
+
+def block_messages(block: int, h: np.ndarray, row: np.ndarray, head: pa.Table, parts: int, most: int) -> pa.RecordBatch:
+    """What a block of sets asks each part, and a message of its own: its rows, and the shingles it has `most` times by itself.
+
+    Of such a shingle one entry without a row tells the part, so a frequent one sends no more than most - 1 entries a block."""
+    ids = ids_in_parts(h, parts)
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order].astype(np.int64), row[order].astype("<u2")
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(ids)))
+    own = np.repeat(count >= most, count)
+    lead = np.zeros(len(ids), bool)
+    lead[first] = True
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema) as out:
+        out.write_table(head)
+    rows = [(block % parts, c.packed(ids[own], "<i8"), row[own].tobytes(), sink.getvalue().to_pybytes())]
+    asks = ~own | lead
+    row[own] = NO_ROW
+    ids, row = ids[asks], row[asks]
+    edges = np.searchsorted(ids, np.arange(parts + 1) << LOW_BITS)
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        a, b = edges[p], edges[p + 1]
+        rows.append((p, squeeze(ids[a:b] & (1 << LOW_BITS) - 1), row[a:b].tobytes(), None))
+    part, low, row, heads = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in (low, row, heads))], ["part", "block", "low", "row", "head"])
+
+
+def answers(part: int, table: pa.Table, most: int, counted: bool) -> pa.Table:
+    """The entries of one part that others have as well, to the blocks that asked; a block's own message as it is."""
+    blocks = table.column("block").to_pylist()
+    heads = table.column("head").to_pylist()
+    lows, rows = table.column("low").to_pylist(), table.column("row").to_pylist()
+    total = np.zeros(1 << LOW_BITS, np.uint8)
+    out = []
+    asked = []
+    for block, low, row, head in zip(blocks, lows, rows, heads, strict=True):
+        if head is not None:
+            out.append((block, -1, low, row, None, head))
+            continue
+        low, row = expand(low).astype(np.int32), np.frombuffer(row, "<u2")
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        more = np.where(row[first] == NO_ROW, most, np.diff(np.append(first, len(low))))
+        at = low[first]
+        total[at] = np.minimum(total[at] + more, most)
+        asked.append((block, low, row))
+    for block, low, row in asked:
+        count = total[low]
+        shared = (count > 1) & (row != NO_ROW)
+        if shared.any():
+            out.append((block, part, squeeze(low[shared]) if counted else None, row[shared].tobytes(), count[shared].tobytes() if counted else None, None))
+    block, part_of, low, row, count, head = zip(*out, strict=True) if out else ((),) * 6
+    return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(part_of, pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in (("low", low), ("row", row), ("count", count), ("head", head))}})
+
+
+def shared_shingles(rows: DataFrame, head, parts: int, most: int, then, schema: str) -> DataFrame:
+    """then(head, row, id, count) for each block of rows, whose last column is a text: its shingles that occur twice or more.
+
+    head: from a batch of rows, their edges and hashes to a table with a row for each.  id and count are None where
+    most is 2.  The shingles of a block go to the parts of the hash space they fall in, and what a part knows of them comes
+    back, so no task holds more than a block or a part, whatever the corpus."""
+    counted = most > 2
+
+    def ask(batches):
         c.forget()
-        held, n = [], 0
+        number = TaskContext.get().partitionId() << 32
+        held, heads, n, total = [], [], 0, 0
+
+        def send():
+            h, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            return block_messages(number, h, row, pa.concat_tables(heads), parts, most)
+
         for batch in batches:
-            for _, _, _, h in sets_of(batch.column(0)):
-                held.append(h)
-                n += len(h)
-            if n >= HELD:
-                yield sketch.partition_rows(np.concatenate(held), bits, 1)
-                held, n = [], 0
+            for first, k, edges, h in sets_of(batch.column(batch.num_columns - 1)):
+                held.append((h, np.repeat(np.arange(n, n + k), np.diff(edges))))
+                heads.append(head(batch.slice(first, k), edges, h))
+                n, total = n + k, total + len(h)
+                if total >= HELD or n >= BLOCK_ROWS:
+                    yield send()
+                    held, heads, n, total, number = [], [], 0, 0, number + 1
         if held:
-            yield sketch.partition_rows(np.concatenate(held), bits, 1)
+            yield send()
 
-    return docs.select("text").mapInArrow(run, sketch.PARTS)
+    def answer(key, table):
+        return answers(key[0].as_py(), table, most, counted)
 
+    def gather(table):
+        heads = table.column("head").to_pylist()
+        own = next(i for i, x in enumerate(heads) if x is not None)
+        known = table.column("row").to_pylist()
+        row = c.joined(known, "<u2").astype(np.int64)
+        ids = count = None
+        if counted:
+            ids, count = [], []
+            for i, (part, low, n) in enumerate(zip(table.column("part").to_pylist(), table.column("low").to_pylist(), table.column("count").to_pylist(), strict=True)):
+                ids.append(np.frombuffer(low, "<i8") if i == own else expand(low) + (part << LOW_BITS))
+                count.append(np.full(len(ids[-1]), most, np.int64) if i == own else np.frombuffer(n, np.uint8).astype(np.int64))
+            ids, count = np.concatenate(ids), np.concatenate(count)
+        return then(pa.ipc.open_stream(heads[own]).read_all(), row, ids, count)
 
-BASE = "doc_id long, n_shingles long, d1 long, d2 long, text string"
+    messages = rows.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED)
+    return messages.groupBy("block").applyInArrow(gather, schema)
 
 
-def set_digests(texts: pa.Array, estimate=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Size and 128-bit digest of each text's set, and whether it shares enough by an estimate to have a partner."""
-    n, d1, d2, keep = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, bool))
-    for first, rows, edges, h in sets_of(texts):
-        size = np.diff(edges)
-        n[first : first + rows] = size
-        if estimate is not None:
-            known = np.concatenate([[0], np.cumsum(estimate(h))])
-            keep[first : first + rows] = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
-        some = np.flatnonzero(size)
-        if len(some):
-            for out, salt in ((d1, 0x1F83D9AB), (d2, 0x5BE0CD19)):
-                out[first + some] = c.mix(np.add.reduceat(c.mix(h ^ np.uint64(salt)), edges[some]) + np.uint64(salt)).view(np.int64)
-    return n, d1, d2, keep
+def parts_for(spark: SparkSession, chars: int) -> int:
+    """Parts of the hash space: some six characters to a shingle."""
+    return max(c.parallelism(spark), -(-chars // 6 // PART_SHINGLES))
+
+
+BASE = "doc_id long, n_shingles long, d1 long, d2 long, key long, known boolean"
+
+
+def measured(docs: DataFrame, parts: int) -> DataFrame:
+    """Every row's set size and digest, a hash of its text, and whether it shares enough to have a partner."""
+
+    def head(batch, edges, h):
+        return pa.table({"doc_id": batch.column(0).cast(pa.int64()), **dict(zip(("n_shingles", "d1", "d2"), map(pa.array, digests(edges, h)), strict=True)), "key": batch.column(1)})
 
+    def then(rows, row, ids, count):
+        size = rows.column("n_shingles").to_numpy()
+        known = np.bincount(row, minlength=len(size))
+        return rows.append_column("known", pa.array((size > 0) & (OF * known >= NEED * size)))
 
-def measured(docs: DataFrame, estimate) -> DataFrame:
-    """Every row's set size and digest, and the text of those that share enough by a broadcast estimate to have a partner."""
+    return shared_shingles(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), head, parts, 2, then, BASE)
+
+
+def one_of(keys: DataFrame, n: int) -> sketch.Repeated:
+    """Whether a 64-bit value may be among those of a column: never a missed one.  Eight bits to each of n, within the sketch's bounds."""
+    bits = sketch.width_bits(n)
 
     def run(batches):
-        c.forget()
         for batch in batches:
-            texts = batch.column(1)
-            n, d1, d2, keep = set_digests(texts, estimate.value)
-            kept = pa.array([t if k else None for t, k in zip(texts.to_pylist(), keep, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, (n, d1, d2)), kept], ["doc_id", "n_shingles", "d1", "d2", "text"])
+            if batch.num_rows:  # every value counts twice
+                yield sketch.partition_rows(np.repeat(batch.column(0).to_numpy().view(np.uint64), 2), bits, 1)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BASE)
+    return sketch.collect(keys.mapInArrow(run, sketch.PARTS), bits, 1)
 
 
-def count_parts(classes: DataFrame, bits: int) -> DataFrame:
+def texts_of(docs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes with a text of each.
+
+    Only texts that could be a class's move."""
+    keys = known.select("key")
+    may = docs.sparkSession.sparkContext.broadcast(one_of(keys, keys.count()))
+
     def run(batches):
-        c.forget()
-        held, n = [], 0
         for batch in batches:
-            for _, _, _, h in sets_of(batch.column(0)):
-                held.append(h)
-                n += len(h)
-            if n >= HELD:
-                yield sketch.count_rows(np.concatenate(held), bits)
-                held, n = [], 0
-        if held:
-            yield sketch.count_rows(np.concatenate(held), bits)
+            text = batch.column(1).filter(pa.array(may.value(batch.column(0).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, set_digests(text)[1:]), text], ["d1", "d2", "text"])
 
-    return classes.select("text").mapInArrow(run, sketch.PARTS)
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(run, "d1 long, d2 long, text string")
+    return texts.groupBy("d1", "d2").agg(F.first("text").alias("text")).join(classes, ["d1", "d2"])
 
 
 BLOCK = "part int, h binary, node binary, size binary, sketch binary"
@@ -154,45 +285,31 @@ def parity(edges: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<u8")
 
 
-def prefix_blocks(classes: DataFrame, shared, parts: int) -> DataFrame:
+def prefix_blocks(classes: DataFrame, asked: int, parts: int) -> DataFrame:
     """Blocks of (hash, node, set size, sketch) of the prefixes of the sets that share enough with other classes, by hash.
 
-    shared: the broadcast counts of classes."""
+    asked: the parts of the hash space that count the classes of each shingle."""
 
-    def send(held):
-        h, node, size, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = list(c.split_by((h % np.uint64(parts)).astype(np.int64), parts))
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), *(pa.array([c.packed(x[r], k) for _, r in rows], pa.binary()) for x, k in ((h, "<u8"), (node, "<i8"), (size, "<i4"), (bits, "<u8")))], ["part", "h", "node", "size", "sketch"])
+    def head(batch, edges, h):
+        bits = parity(edges, h)
+        return pa.table({"node": batch.column(0), "n": pa.array(np.diff(edges)), "sketch": pa.array([x.tobytes() for x in bits], pa.binary())})
 
-    def run(batches):
-        c.forget()
-        held, total = [], 0
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, rows, edges, h in sets_of(batch.column(1)):
-                size = np.diff(edges)
-                count = shared.value(h)
-                known = np.concatenate([[0], np.cumsum(count > 1)])
-                enough = (size > 0) & (OF * (known[edges[1:]] - known[edges[:-1]]) >= NEED * size)
-                if not enough.any():
-                    continue
-                bits = parity(edges, h)
-                length = np.where(enough, size - -(-NEED * size // OF) + 1, 0)
-                order = np.lexsort((h, count, np.repeat(np.arange(rows), size)))
-                h, count = h[order], count[order]
-                place = np.arange(len(h)) - np.repeat(edges[:-1], size)
-                # a shingle of one class leads to no other
-                pick = (place < np.repeat(length, size)) & (count > 1)
-                owner = np.repeat(np.arange(rows), size)[pick]
-                held.append((h[pick], nodes[first : first + rows][owner], size[owner].astype(np.int32), bits[owner]))
-                total += len(held[-1][0])
-            if total >= HELD:
-                yield send(held)
-                held, total = [], 0
-        if held:
-            yield send(held)
+    def then(rows, row, ids, count):
+        node, size = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        known = np.bincount(row, minlength=len(size))
+        enough = (size > 0) & (OF * known >= NEED * size)
+        # shingles of one class come first and lead to no other
+        length = np.where(enough, size - -(-NEED * size // OF) + 1 - (size - known), 0)
+        order = np.lexsort((ids, count, row))
+        ids, row = ids[order], row[order]
+        place = np.arange(len(row)) - np.repeat(np.cumsum(known) - known, known)
+        pick = place < length[row]
+        h, owner = c.mix(ids[pick].astype(np.uint64)), row[pick]
+        bits = c.joined(rows.column("sketch").to_pylist(), "<u8").reshape(-1, SKETCH_WORDS)[owner]
+        at = list(c.split_by((h % np.uint64(parts)).astype(np.int64), parts))
+        return pa.table({"part": pa.array([p for p, _ in at], pa.int32()), **{k: pa.array([c.packed(x[r], kind) for _, r in at], pa.binary()) for k, x, kind in (("h", h, "<u8"), ("node", node[owner], "<i8"), ("size", size[owner], "<i4"), ("sketch", bits, "<u8"))}})
 
-    return classes.select("node", "text").mapInArrow(run, BLOCK)
+    return shared_shingles(classes.select("node", "text"), head, asked, MOST, then, BLOCK)
 
 
 def may_be_similar(size_a, bits_a, size_b, bits_b) -> np.ndarray:
@@ -436,26 +553,21 @@ def placed(classes: DataFrame, places: DataFrame) -> tuple[DataFrame, int, DataF
 
 
 def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """base, a written row for each row of docs: doc_id, n_shingles, d1, d2, known; and the known classes: d1, d2, n rows,
+    """base, a written row for each row of docs: doc_id, n_shingles, d1, d2, key, known; and the known classes: d1, d2, n rows,
     component (null without links), component_id."""
     spark = docs.sparkSession
     c.small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch.width_bits(chars // 12)  # some six characters to a shingle, four cells to each
-    estimate = spark.sparkContext.broadcast(sketch.collect(sketch_parts(docs, bits), bits, 1))
-    base = c.written(measured(docs, estimate), "jaccard-base")
-    estimate.destroy()
+    base = c.written(measured(docs, parts_for(spark, chars)), "jaccard-base")
     c.release(spark)
-    known = base.where(F.col("text").isNotNull())
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("text").alias("text"))
+    known = base.where("known")
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     # written once, so the numbers stay; a hash of 64 bits might name two classes alike
-    classes = c.written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = c.written(texts_of(docs, known, classes).withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    c.release(spark)
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(c.parallelism(spark), -(-chars // 24 // BUCKET_HASHES))
-    bits = min(sketch.MAX_COUNT_BITS, sketch.width_bits(chars // 12))
-    counts = spark.sparkContext.broadcast(sketch.collect_counts(count_parts(classes, bits), bits))
-    places = graph.components(candidate_links(prefix_blocks(classes, counts, parts)))
-    counts.destroy()
+    places = graph.components(candidate_links(prefix_blocks(classes, parts_for(spark, chars), parts)))
     c.release(spark)
     rows, tasks, found = placed(classes, places)
     found = graph.components(search(rows, tasks).unionByName(found))
@@ -464,7 +576,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = parts_of.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = classes.select("node", "d1", "d2", "n", "least").join(parts_of.join(least, "component").select("node", "component", "component_id"), "node", "left")
     ids = ids.select("d1", "d2", "n", "component", F.coalesce("component_id", "least").alias("component_id"))
-    return base.withColumn("known", F.col("text").isNotNull()).drop("text"), c.written(ids, "jaccard-ids")
+    return base, c.written(ids, "jaccard-ids")
 
 
 def with_classes(base: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, chat, graph, jaccard, license, lm, media, packing, quality, substring, toxicity, transducer
+from driftframe.llm import bpe, chat, graph, jaccard, license, lm, media, packing, quality, sketch, substring, toxicity, transducer
 
 BPE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 BASE = "the quick brown fox jumps over the lazy dog while nine small birds sing of rain and wind in tall trees near old stone walls"
@@ -536,6 +536,45 @@ def test_jaccard_keeps_unlike_rows_of_one_id(spark):
     assert sum(x.startswith("(1, 'w0 ") for x in got) == 1 and str((5, rows[8][1], "q")) in got
 
 
+def test_jaccard_filter_holds_beyond_the_sketches(spark, monkeypatch):
+    """With many more shingles than the sketches' widest rows have cells, only rows that have a partner stay."""
+    monkeypatch.setattr(sketch, "MAX_BITS", 18)
+    monkeypatch.setattr(sketch, "MAX_COUNT_BITS", 18)
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1 << 30, 60))) for i in range(12_000)]
+    texts += [(12_000 + i, t + " more") for i, t in texts[:30]]
+    base, ids = jaccard.members(spark.createDataFrame(texts, "doc_id long, text string").repartition(6))
+    assert base.where("known").count() == 60 and ids.where("component IS NOT NULL").count() == 60
+    got = {r.doc_id: r.component_id for r in jaccard.linked(spark.createDataFrame(texts[:40] + texts[12_000:], "doc_id long, text string")).collect()}
+    assert got == {i: i % 12_000 for i in [*range(40), *range(12_000, 12_030)]}
+
+
+@pytest.mark.parametrize("most", [2, 3, 255])
+def test_jaccard_shared_shingles(spark, monkeypatch, most):
+    """Counts of every shingle that two texts or more have, from blocks of any size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [None, "", "one two", "one two"] + ["common words of all texts here " + " ".join(f"v{x}" for x in rng.integers(0, 6, rng.integers(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for w in (words(t, True) for t in texts)]
+    count = collections.Counter(x for s in sets for x in s)
+    want = sorted((i, sorted(min(count[x], most) for x in s if count[x] > 1)) for i, s in enumerate(sets))
+
+    def head(batch, edges, h):
+        return pa.table({"i": batch.column(0)})
+
+    def then(rows, row, ids, count):
+        n = np.full(len(row), 2) if count is None else count
+        return pa.table({"i": rows.column("i"), "n": pa.array([n[row == k].tolist() for k in range(len(rows))], pa.list_(pa.int64()))})
+
+    for held, block in ((jaccard.HELD, jaccard.BLOCK_ROWS), (200, 7), (1, 1)):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+        got = jaccard.shared_shingles(rows, head, 5, most, then, "i int, n array<long>").collect()
+        assert sorted((r.i, sorted(r.n)) for r in got) == want
+
+
 def test_jaccard_place_of_dissimilar_sets(spark):
     """20,000 sets share a passage as their rarest part; none is similar to another but for planted ones."""
     rng = np.random.default_rng(2)
