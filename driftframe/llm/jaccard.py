@@ -605,25 +605,37 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id are told apart by their sets, so of unlike ones each stays that is the smallest of its component."""
     base, ids = members(docs.select("doc_id", "text"))
-    rows = with_classes(base, ids).where("doc_id IS NOT NULL")
+    rows = c.written(with_classes(base, ids).where("doc_id IS NOT NULL AND n_shingles > 0"), "jaccard-rows")
     # a component is named by its node, else by its set (a class without links, or a text that none shares enough with)
     key = [F.coalesce("component", F.lit(-1)).alias("k0"), F.when(F.col("component").isNull(), F.col("d1")).alias("k1"), F.when(F.col("component").isNull(), F.col("d2")).alias("k2")]
-    keep = rows.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "d1", "d2")).alias("x"))
-    keep = keep.select(F.col("x.doc_id").alias("__df_id"), F.col("x.d1").alias("__df_d1"), F.col("x.d2").alias("__df_d2"))
+    sets = rows.groupBy("doc_id", "d1", "d2", *key).agg(F.count("*").alias("m"))
+    keep = sets.groupBy("k0", "k1", "k2").agg(F.min(F.struct("doc_id", "d1", "d2", "m")).alias("x")).select("x.*")
+    keep = c.written(keep, "jaccard-keep")
     spark = docs.sparkSession
+    # rows that go, or of which one of several stays; texts of others needn't move
+    doubtful = rows.join(keep.where("m = 1"), ["doc_id", "d1", "d2"], "left_anti").select(F.xxhash64("doc_id", "key").alias("key"))
+    may = spark.sparkContext.broadcast(one_of(doubtful, doubtful.count()))
     c.small_batches(spark)
     names = [F.col(f"`{x}`") for x in docs.columns]
 
+    @F.arrow_udf("boolean")
+    def in_doubt(key: pa.Array) -> pa.Array:
+        return pa.array(may.value(key.to_numpy(zero_copy_only=False).view(np.uint64)))
+
     @F.arrow_udf("struct<n:long,d1:long,d2:long>")
     def digest(text: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(list(map(pa.array, set_digests(text)[:3])), ["n", "d1", "d2"])
+        return pa.StructArray.from_arrays(list(map(pa.array, set_digests(text))), ["n", "d1", "d2"])
 
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("__df_set", digest("text"))
-    some = known.join(keep, (F.col("doc_id") == F.col("__df_id")) & (F.col("__df_set.d1") == F.col("__df_d1")) & (F.col("__df_set.d2") == F.col("__df_d2")), "left_semi").where("__df_set.n > 0")
+    known = docs.where(F.col("doc_id").isNotNull())
+    doubt = in_doubt(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    rest = known.where(doubt).withColumn("__df_set", digest("text"))
+    keep = keep.select(F.col("doc_id").alias("__df_id"), F.col("d1").alias("__df_d1"), F.col("d2").alias("__df_d2"))
+    some = rest.join(keep, (F.col("doc_id") == F.col("__df_id")) & (F.col("__df_set.d1") == F.col("__df_d1")) & (F.col("__df_set.d2") == F.col("__df_d2")), "left_semi").where("__df_set.n > 0")
     # of rows with one id and set, one
     order = Window.partitionBy("doc_id", "__df_set").orderBy(*(F.col(f"`{x}`") for x in docs.columns if x != "doc_id"))
     some = some.withColumn("__df_place", F.row_number().over(order)).where("__df_place = 1")
-    return some.select(*names).unionByName(known.where("__df_set.n = 0").select(*names)).unionByName(docs.where(F.col("doc_id").isNull()))
+    out = known.where(~doubt).select(*names).unionByName(some.select(*names)).unionByName(rest.where("__df_set.n = 0").select(*names))
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

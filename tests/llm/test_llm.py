@@ -575,6 +575,30 @@ def test_jaccard_shared_shingles(spark, monkeypatch, most):
         assert sorted((r.i, sorted(r.n)) for r in got) == want
 
 
+def test_jaccard_dedup_moves_no_text_that_stays(spark, tmp_path):
+    """Of texts that have no partner and one row each, none is shuffled; copies, near copies and repeated rows are."""
+
+    def moved(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return moved(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return moved(node.plan())
+        kids = node.children()
+        own = node.metrics().apply("dataSize").value() if node.nodeName() == "Exchange" else 0
+        return own + sum(moved(kids.apply(i)) for i in range(kids.size()))
+
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1 << 30, 400)), i % 3) for i in range(500)]
+    more = [(500 + i, t + " more", 0) for i, t, _ in rows[:10]] + [(510 + i, t, 0) for i, t, _ in rows[10:20]] + [(i, t.upper(), 9) for i, t, _ in rows[20:30]] + rows[30:35]
+    odd = [(None, rows[0][1], 1), (900, None, 1), (901, "", 1)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows + more + odd, "doc_id long, text string, extra int").repartition(4).write.parquet(path)
+    out = jaccard.deduplicated(spark.read.parquet(path))
+    got = sorted(map(str, map(tuple, out.collect())))
+    assert got == sorted(map(str, rows[:20] + [(i, t.upper(), 9) for i, t, _ in rows[20:30]] + rows[30:] + odd))
+    assert moved(out._jdf.queryExecution().executedPlan()) < 0.3 * sum(len(t) for _, t, _ in rows)
+
+
 def test_jaccard_place_of_dissimilar_sets(spark):
     """20,000 sets share a passage as their rarest part; none is similar to another but for planted ones."""
     rng = np.random.default_rng(2)
