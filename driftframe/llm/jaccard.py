@@ -41,7 +41,7 @@ SHINGLE = 5
 #: Similarity as a ratio of integers.
 NEED, OF = 75, 100
 #: Bytes of text to a task of the search; bytes and sets to a block of a large place; prefix hashes to a bucket.
-TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 600_000, 1_000_000
+TASK_BYTES, BLOCK_BYTES, BLOCK_SETS, BUCKET_HASHES, HELD = 6_000_000, 4_000_000, 4_000, 600_000, 500_000
 #: Shingles to a part of the hash space and rows to a block of those that ask; what stands for no row; bits that tell a part's shingles apart.
 PART_SHINGLES, BLOCK_ROWS, NO_ROW, LOW_BITS = 2_000_000, 32_000, 0xFFFF, 24
 #: Counts of classes that have a shingle go up to this.
@@ -125,9 +125,9 @@ def block_messages(block: int, h: np.ndarray, row: np.ndarray, head: pa.Table, p
     """What a block of sets asks each part, and a message of its own: its rows, and the shingles it has `most` times by itself.
 
     Of such a shingle one entry without a row tells the part, so a frequent one sends no more than most - 1 entries a block."""
-    ids = ids_in_parts(h, parts)
+    ids = ids_in_parts(h, parts).view(np.int64)
     order = np.argsort(ids, kind="stable")
-    ids, row = ids[order].astype(np.int64), row[order].astype("<u2")
+    ids, row = ids[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(ids)))
     own = np.repeat(count >= most, count)
@@ -194,7 +194,7 @@ def shared_shingles(rows: DataFrame, head, parts: int, most: int, then, schema:
 
         for batch in batches:
             for first, k, edges, h in sets_of(batch.column(batch.num_columns - 1)):
-                held.append((h, np.repeat(np.arange(n, n + k), np.diff(edges))))
+                held.append((h, np.repeat(np.arange(n, n + k, dtype="<u2"), np.diff(edges))))
                 heads.append(head(batch.slice(first, k), edges, h))
                 n, total = n + k, total + len(h)
                 if total >= HELD or n >= BLOCK_ROWS:
