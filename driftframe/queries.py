@@ -16,7 +16,7 @@ from .functions.cells import Typed, to_cell
 from .operators import diff, profile
 from .plans.spec import OPERATORS
 from .sinks.report import encoded, safe_text
-from .sources.tables import from_frame
+from .sources.tables import from_frame, ranged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,10 +132,10 @@ def row_diff(spark, sf_dir):
 def row_diff_large(spark, sf_dir):
     """A wide table of many rows, numbered by a unique order, against one without its every 500th order and with others altered."""
     numbers = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    a = table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(numbers))
+    a = ranged(table(spark, sf_dir, "lineitem"), ["l_orderkey"]).withColumn("place", F.row_number().over(numbers))
     b = a.where("l_orderkey % 500 <> 499").withColumn("l_tax", F.when(F.col("l_partkey") % 7 == 0, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
     spec = {"baseline": "A", "mode": {"type": "row"}, "compareColumns": "*", "filters": [], "columnAliases": {}, "normalization": {"columns": {}}, "duplicateKeyPolicy": "report"}
-    r = diff.compare([from_frame("A", a, order_by=["l_orderkey", "place"]), from_frame("B", b.repartition(7), order_by=["l_orderkey", "place"])], spec)
+    r = diff.compare([from_frame("A", a, order_by=["l_orderkey", "place"], dealt=True), from_frame("B", b, order_by=["l_orderkey", "place"], dealt=True)], spec)
     return r.classified.groupBy("status").agg(F.count("*").alias("n"), F.sum("__row").alias("row_sum"))
 
 

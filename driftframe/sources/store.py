@@ -26,12 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table of its own in the shared folder."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df from a table of its own in the shared folder; options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _tables[path] = spark
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -10,6 +10,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ from driftframe.plans import mapping, run
 from driftframe.plans.spec import check_operands, check_spec, rule_for
 from driftframe.queries import orders_diff
 from driftframe.sinks.report import Sink, csv_cell, display_key, safe_text, safe_value
-from driftframe.sources import store, xlsx
+from driftframe.sources import store, tables, xlsx
 from driftframe.sources.tables import from_frame
 
 from .workbooks import write
@@ -194,6 +195,27 @@ def test_row_diff_of_a_table_with_itself_dealt_differently(spark):
     assert {x["status"]: x["count"] for x in r.classified.groupBy("status").count().collect()} == {"identical": 200_000}
 
 
+def test_rows_dealt_before_are_numbered_where_they_are(spark):
+    """Nulls, ties of the key, partitions emptied by a filter; a frame in another order is refused."""
+    frame = spark.range(0, 40_000, 1, 5).select((F.lit(9_999) - F.floor(F.col("id") / 4)).alias("k"), "id").withColumn("k", F.when(F.col("k") > 5, F.col("k")))
+    dealt = tables.ranged(frame, ["k"]).withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("k is null or k > 9000")
+    got = from_frame("A", dealt, order_by=["k", "place"], dealt=True).frame.orderBy("__row").collect()
+    want = sorted(((-1 if 9_999 - i // 4 <= 5 else 9_999 - i // 4, i) for i in range(40_000) if not 5 < 9_999 - i // 4 <= 9_000))
+    assert [(r["__row"], -1 if r["k"] is None else r["k"], r["id"]) for r in got] == [(n, *x) for n, x in enumerate(want, 2)]
+    assert from_frame("A", dealt.where("k = 0"), order_by=["k", "place"], dealt=True).frame.count() == 0
+    with pytest.raises(ValueError, match="dealt to ranges of k"):
+        from_frame("A", frame.repartition(4, "id"), order_by=["k", "id"], dealt=True)
+
+
+def test_row_diff_large_exchanges_its_rows_once_for_each_version(spark, monkeypatch):
+    plans, write = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, *a, **b: plans.append(plan_of(df)) or write(df, *a, **b))
+    tree = plan_of(entry.queries()["row_diff_large"](spark, SF)).split("\n\n")[0]
+    assert [len(set(re.findall(r"\(\d+\) Exchange", p))) for p in plans] == [1, 1]
+    # the hashes are exchanged before they are aggregated: two exchanges, the first of them for the counts by status
+    assert [x for x in re.findall("Aggregate|Exchange|Union", tree.split("BroadcastExchange")[0])] == ["Aggregate", "Exchange", "Aggregate", "Aggregate", "Aggregate", "Exchange", "Union"]
+
+
 def plan_of(df) -> str:
     mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     return df._jdf.queryExecution().explainString(mode)
